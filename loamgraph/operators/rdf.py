@@ -66,6 +66,19 @@ def write_sparql(triples: DataFrame, context: dict, path: str) -> None:
     sparql_lines(triples).rdd.mapPartitions(render).toDF("value string").write.mode("overwrite").text(path)
 
 
+_ENTRY = "array<struct<p:string,o:string,kind:string>>"
+
+
+def _entries(col: Column, pred: str, kind: str, inner: T.DataType, many: bool) -> Column:
+    """The (p, o, kind) entries of one column's values."""
+
+    def make(v):
+        return F.struct(F.lit(pred).alias("p"), js_string(v, inner).alias("o"), F.lit(kind).alias("kind"))
+
+    got = F.transform(F.filter(col, lambda v: v.isNotNull()), make) if many else F.when(col.isNotNull(), F.array(make(col)))
+    return F.coalesce(got, F.array().cast(_ENTRY))
+
+
 def triples(df: DataFrame, id_col: str = "_id", skip: tuple[str, ...] = ()) -> DataFrame:
     """(s, p, o, kind): one row a value of each property column of typed resources.
 
@@ -82,9 +95,7 @@ def triples(df: DataFrame, id_col: str = "_id", skip: tuple[str, ...] = ()) -> D
             continue
         kind = "boolean" if isinstance(inner, T.BooleanType) else "number" if isinstance(inner, T.NumericType) else "string"
         pred = RDF_TYPE if f.name == "at_type" else f.name
-        make = lambda v, p=pred, k=kind, t=inner: F.struct(F.lit(p).alias("p"), js_string(v, t).alias("o"), F.lit(k).alias("kind"))
-        col = F.col(f"`{f.name}`")
-        entries.append(F.coalesce(F.transform(F.filter(col, lambda v: v.isNotNull()), make), F.array().cast("array<struct<p:string,o:string,kind:string>>")) if isinstance(f.dataType, T.ArrayType) else F.when(col.isNotNull(), F.array(make(col))).otherwise(F.array().cast("array<struct<p:string,o:string,kind:string>>")))
+        entries.append(_entries(F.col(f"`{f.name}`"), pred, kind, inner, isinstance(f.dataType, T.ArrayType)))
     if not entries:
         return df.select(F.col(id_col).alias("s"), F.lit("").alias("p"), F.lit("").alias("o"), F.lit("").alias("kind")).where("false")
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("s"), F.explode(F.flatten(F.array(*entries))).alias("t")).select("s", "t.*")

@@ -72,7 +72,7 @@ def _cluster(by: list[str]) -> list[Column]:
 
 
 def _slim(df: DataFrame, cell: Column, group: str, when: str, lat: str, lng: str) -> DataFrame:
-    return df.select("*", cell.alias("__cell"), F.col(group).alias("__group"), F.col(when).alias("t"), F.col(lat).alias("lat"), F.col(lng).alias("lng")).where("__cell is not null")
+    return df.select(cell.alias("__cell"), F.col(group).alias("__group"), F.col(when).alias("t"), F.col(lat).alias("lat"), F.col(lng).alias("lng")).where("__cell is not null")
 
 
 def cell_clusters(df: DataFrame, cell: Column, group: str, when: str, lat: str, lng: str, max_raw: int = MAX_RAW) -> DataFrame:

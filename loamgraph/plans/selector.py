@@ -104,7 +104,7 @@ def _operator(df: DataFrame, field: str, col: Column, kind, op: str, value) -> C
     compare = {"$gte": lambda: col >= F.lit(value), "$gt": lambda: col > F.lit(value), "$lte": lambda: col <= F.lit(value), "$lt": lambda: col < F.lit(value)}
     if op in compare:
         if kind is None:
-            col = F.try_to_number(col, F.lit("S999999999999999999D999999")) if False else col.try_cast("double")
+            col = col.try_cast("double")
             compare = {"$gte": lambda: col >= value, "$gt": lambda: col > value, "$lte": lambda: col <= value, "$lt": lambda: col < value}
         return F.coalesce(compare[op](), F.lit(False))
     raise UnsupportedOperator(op)
