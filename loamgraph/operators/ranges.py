@@ -12,6 +12,8 @@ from loamgraph.functions.tracks import _hull
 
 #: Points of a group that a task holds before it reduces them to their hull.
 REDUCE_AT = 256
+#: Corners that a task sends on at a time.
+FRAME_ROWS = 20_000
 
 
 def group_hulls(df: DataFrame, group: str, lat: str, lng: str, winding: str = "cw") -> DataFrame:
@@ -25,54 +27,56 @@ def group_hulls(df: DataFrame, group: str, lat: str, lng: str, winding: str = "c
     schema = "g string, y double, x double"
 
     def corners(batches):
-        held: dict[str, list] = {}
-        size: dict[str, int] = {}
-        for pdf in batches:
-            codes, names = pd.factorize(pdf["g"])
-            order = np.argsort(codes, kind="stable")
-            xy = pdf[["x", "y"]].to_numpy()[order]
-            cuts = np.searchsorted(codes[order], np.arange(len(names) + 1))
-            for k, name in enumerate(names):
-                part = xy[cuts[k] : cuts[k + 1]]
-                held.setdefault(name, []).append(part)
-                size[name] = size.get(name, 0) + len(part)
-                if size[name] > REDUCE_AT:
-                    held[name] = [_corners(held[name])]
-                    size[name] = len(held[name][0])
-        for name, parts in held.items():
-            xy = _corners(parts)
-            yield pd.DataFrame({"g": name, "y": xy[:, 1], "x": xy[:, 0]})
-
-    def hull(key, pdf):
-        out = shapes.spatial_range(pdf[["x", "y"]].to_numpy(), winding=winding)
-        row = [(key[0], len(out["ring"]) - 1, out["area_km2"], shapes.depiction_text({"type": "Polygon", "coordinates": [out["ring"].tolist()]}))] if out else []
-        return pd.DataFrame(row, columns=["g", "vertices", "area_km2", "ring"])
-
-    out = slim.mapInPandas(_batched(corners), schema).groupBy("g").applyInPandas(hull, "g string, vertices bigint, area_km2 double, ring string")
+        names, parts, n = [], [], 0
+        for name, xy in _reduced(batches):
+            names.append(name)
+            parts.append(xy)
+            n += len(xy)
+            if n >= FRAME_ROWS:
+                yield _frame(names, parts)
+                names, parts, n = [], [], 0
+        if parts:
+            yield _frame(names, parts)
+
+    def hull(batches):
+        rows = []
+        for name, xy in _reduced(batches):
+            out = shapes.spatial_range(xy, winding=winding)
+            if out:
+                rows.append((name, len(out["ring"]) - 1, out["area_km2"], shapes.depiction_text({"type": "Polygon", "coordinates": [out["ring"].tolist()]})))
+        yield pd.DataFrame(rows, columns=["g", "vertices", "area_km2", "ring"])
+
+    out = slim.mapInPandas(corners, schema).repartition("g").mapInPandas(hull, "g string, vertices bigint, area_km2 double, ring string")
     return out.withColumnRenamed("g", group)
 
 
+def _reduced(batches):
+    """(group, corners) of all rows of a stream, of which only corners are held."""
+    held: dict[str, list] = {}
+    size: dict[str, int] = {}
+    for pdf in batches:
+        codes, names = pd.factorize(pdf["g"])
+        order = np.argsort(codes, kind="stable")
+        xy = pdf[["x", "y"]].to_numpy()[order]
+        cuts = np.searchsorted(codes[order], np.arange(len(names) + 1)).tolist()
+        for k, name in enumerate(names):
+            held.setdefault(name, []).append(xy[cuts[k] : cuts[k + 1]])
+            size[name] = size.get(name, 0) + cuts[k + 1] - cuts[k]
+            if size[name] > REDUCE_AT:
+                held[name] = [_corners(held[name])]
+                size[name] = len(held[name][0])
+    for name, parts in held.items():
+        yield name, _corners(parts)
+
+
 def _corners(parts: list[np.ndarray]) -> np.ndarray:
     p = np.unique(np.concatenate(parts), axis=0)
     return _hull(p) if len(p) > 8 else p
 
 
-def _batched(fn, rows: int = 10_000):
-    """Joins small frames of a generator into larger ones."""
-
-    def run(batches):
-        wait: list[pd.DataFrame] = []
-        n = 0
-        for pdf in fn(batches):
-            wait.append(pdf)
-            n += len(pdf)
-            if n >= rows:
-                yield pd.concat(wait, ignore_index=True)
-                wait, n = [], 0
-        if wait:
-            yield pd.concat(wait, ignore_index=True)
-
-    return run
+def _frame(names: list, parts: list[np.ndarray]) -> pd.DataFrame:
+    xy = np.concatenate(parts)
+    return pd.DataFrame({"g": np.repeat(np.array(names, dtype=object), [len(p) for p in parts]), "y": xy[:, 1], "x": xy[:, 0]})
 
 
 def update_ranges(individuals: DataFrame, ranges: DataFrame, id_col: str, property_name: str) -> tuple[DataFrame, DataFrame]:
