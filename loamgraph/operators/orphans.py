@@ -120,8 +120,8 @@ def orphan_references(reports: DataFrame, imports: DataFrame, individuals: DataF
     forms = reports.where("bold_animal is not null").groupBy("bold_animal").agg(F.min("loaded_at").alias("least"), F.max("loaded_at").alias("most"))
     forms = forms.withColumn("target_id", qname(F.col("bold_animal"), ctx)).where("length(target_id) > 0")
     ns, local = split_qname(F.col("target_id"))
-    forms = forms.withColumns({"ns": ns, "local": local})
-    people = _records(individuals, ctx, True)
+    forms = materialize(forms.withColumns({"ns": ns, "local": local}))  # every null mask reads it
+    people = materialize(_records(individuals, ctx, True))
     resolved = resolve_references(forms, ["ns", "local"], people, ["ns", "local"], "full", _FACTS)
     resolved = resolved.withColumn("found", F.coalesce("found", F.lit(False)))
     suspect = resolved.where(~F.col("found") | (F.col("first_loaded") > F.col("least")) | (F.col("deleted_at") <= F.col("most")))
@@ -149,7 +149,7 @@ def orphan_references(reports: DataFrame, imports: DataFrame, individuals: DataF
     wanted = runs.select("run_id", F.explode("errors").alias("e")).select("run_id", qname(F.col("e.resource"), ctx).alias("target_id"))
     wanted = wanted.where("length(target_id) > 0 and target_id <> 'unknown'").distinct().join(first, "run_id")
     ns, local = split_qname(F.col("target_id"))
-    wanted = wanted.withColumns({"ns": ns, "local": local})
+    wanted = materialize(wanted.withColumns({"ns": ns, "local": local}))
     ids = times.select(F.col("_id").alias("id"), F.col("first_seen").alias("first_loaded"), F.lit(None).cast("timestamp").alias("deleted_at"))
     ns, local = split_qname(qname(F.col("id"), ctx))
     known = ids.select(ns.alias("ns"), local.alias("local"), "first_loaded", "deleted_at").unionByName(people).unionByName(_records(observations, ctx, False))
