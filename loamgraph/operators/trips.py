@@ -8,15 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from loamgraph.functions.tracks import find_stops, great_circle, low_speed, noise, on_sphere, simplify
 from loamgraph.operators.heavykeys import epoch_ms
 from loamgraph.operators.ids import qname, read_context
 from loamgraph.operators.spatial import position_counts
-from loamgraph.runtime import table
+from loamgraph.runtime import BROADCAST_ROWS, materialize, table
 
 #: Pings that a task gathers before it works on the complete sessions among them.
 CHUNK = 100_000
+#: Pings of one device and collar beyond which its silences are found first and its stretches spread over tasks.
+HOT_PINGS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -29,11 +32,14 @@ class TripRules:
     tolerance_m: float = 50.0
 
 
+_PING = ["device", "collar", "t", "p", "lat", "lng"]
+
+
 _OUT = "kind string, device string, collar string, start_ms bigint, end_ms bigint, n_pings bigint, distance_m double, lat double, lng double"
 _ARROW = pa.schema([("kind", pa.string()), ("device", pa.string()), ("collar", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("n_pings", pa.int64()), ("distance_m", pa.float64()), ("lat", pa.float64()), ("lng", pa.float64())])
 
 
-def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
+def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings: int = HOT_PINGS) -> DataFrame:
     """Stops and trips of ``pings(ping, device, collar, t, lat, lng)`` (t in epoch milliseconds).
 
     Pings are shuffled by device and collar and sorted by time; each task reads its
@@ -46,13 +52,15 @@ def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules()) -> DataFra
     Pings with a null device or time, or a position that does not count, are left
     out; a null collar is a collar of its own. Pings delivered again with the same
     device, collar and time count once; other ties are ordered by ping id. A silence
-    ends a session. An empty table gives no rows.
+    ends a session. An empty table gives no rows. A device and collar with more than
+    ``hot_pings`` pings are split at silences, see ``split_hot``.
     """
     good = F.col("device").isNotNull() & F.col("t").isNotNull() & position_counts(F.col("lat"), F.col("lng"))
     slim = pings.where(good).select(
         F.col("device").cast("string"), F.col("collar").cast("string"), F.col("t").cast("bigint"), F.xxhash64("ping").alias("p"), F.col("lat").cast("double"), F.col("lng").cast("double")
     )
-    ordered = slim.repartition("device", "collar").sortWithinPartitions("device", "collar", "t", "p")
+    slim = split_hot(slim, rules.max_silence_ms, hot_pings)
+    ordered = slim.repartition("device", "collar", "stretch").sortWithinPartitions("device", "collar", "stretch", "t", "p")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -77,6 +85,39 @@ def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules()) -> DataFra
     return ordered.mapInArrow(run, _OUT)
 
 
+def split_hot(pings: DataFrame, max_silence_ms: int, hot_pings: int) -> DataFrame:
+    """``pings`` with ``stretch`` (0 unless the device and collar are hot) and ``aside`` (true for neighbours that only decide on noise).
+
+    Time is cut into buckets as long as a silence; an empty bucket is a silence for
+    certain. Which buckets are empty is known from counts, which combine map-side,
+    so a hot group is numbered without being gathered. Each stretch also gets the
+    last ping before it and the first one after it, as those decide whether its
+    outer pings are noise.
+    """
+    plain = pings.withColumns({"stretch": F.lit(0), "aside": F.lit(False)})
+    hot = materialize(pings.groupBy("device", "collar").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_pings).select(F.col("device").alias("h_device"), F.col("collar").alias("h_collar")))
+    if hot.isEmpty():
+        return plain
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    same = lambda other: F.col("device").eqNullSafe(other["h_device"]) & F.col("collar").eqNullSafe(other["h_collar"])
+    bucket = F.floor(F.col("t") / max_silence_ms).alias("bucket")
+    end = F.struct("t", "p", "lat", "lng")
+    filled = pings.join(hot, same(hot), "left_semi").groupBy("device", "collar", bucket).agg(F.min(end).alias("first"), F.max(end).alias("last"))
+    order = W.Window.partitionBy("device", "collar").orderBy("bucket")
+    filled = filled.withColumn("opens", F.coalesce((F.col("bucket") - F.lag("bucket").over(order) > 1).cast("int"), F.lit(0))).withColumn("stretch", F.sum("opens").over(order))
+    filled = materialize(filled)
+    ends = filled.groupBy("device", "collar", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    by = W.Window.partitionBy("device", "collar").orderBy("stretch")
+    beside = ends.withColumns({"b": F.lag("last").over(by), "a": F.lead("first").over(by)})
+    beside = beside.select("device", "collar", "stretch", F.explode(F.array_compact(F.array("b", "a"))).alias("e"))
+    beside = beside.select("device", "collar", "e.*", "stretch", F.lit(True).alias("aside")).select(*_PING, "stretch", "aside")
+    number = filled.select(F.col("device").alias("h_device"), F.col("collar").alias("h_collar"), F.col("bucket").alias("h_bucket"), "stretch")
+    numbered = pings.join(number, same(number) & (F.floor(F.col("t") / max_silence_ms) == number["h_bucket"])).select(*_PING, "stretch", F.lit(False).alias("aside"))
+    rest = plain.join(hot, same(hot), "left_anti").select(*_PING, "stretch", "aside")
+    return rest.unionByName(numbered).unionByName(beside)
+
+
 def _changes(column: pa.ChunkedArray) -> np.ndarray:
     code = column.combine_chunks().dictionary_encode(null_encoding="encode")
     code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
@@ -91,14 +132,15 @@ def _work(tab: pa.Table, before, rules: TripRules, final: bool):
         return None, tab, before
     t, p = tab.column("t").to_numpy(), tab.column("p").to_numpy()
     lat, lng = tab.column("lat").to_numpy(), tab.column("lng").to_numpy()
-    new = np.concatenate([[True], _changes(tab.column("device")) | _changes(tab.column("collar"))])
+    new = np.concatenate([[True], _changes(tab.column("device")) | _changes(tab.column("collar")) | _changes(tab.column("stretch"))])
     again = np.concatenate([[False], ~new[1:] & (t[1:] == t[:-1]) & (p[1:] == p[:-1])])
     row = np.flatnonzero(~again)
     new = np.logical_or.reduceat(new, row) if len(row) < n else new
     t, lat, lng = t[row], lat[row], lng[row]
     group = np.cumsum(new)
     xyz = on_sphere(lat, lng)
-    key = (tab.column("device")[0].as_py(), tab.column("collar")[0].as_py())
+    aside = tab.column("aside").to_numpy()[row]
+    key = _key(tab, 0)
     if before is not None and before[0] == key:
         g, tt, pos = np.concatenate([[group[0]], group]), np.concatenate([[before[1]], t]), np.vstack([before[2], xyz])
         bad = noise(g, tt, pos, rules.max_speed)[1:]
@@ -115,15 +157,19 @@ def _work(tab: pa.Table, before, rules: TripRules, final: bool):
         cut = int(places[-1])
         if cut == 0:
             return None, tab, before
-    good = np.flatnonzero(~bad[:cut])
+    good = np.flatnonzero(~bad[:cut] & ~aside[:cut])
     out = _sessions(tab, row, good, group, t, lat, lng, xyz, rules)
     if final:
         return out, None, None
     same = group[cut] == group[cut - 1]
-    last = ((tab.column("device")[int(row[cut])].as_py(), tab.column("collar")[int(row[cut])].as_py()), t[cut - 1], xyz[cut - 1]) if same else None
+    last = (_key(tab, int(row[cut])), t[cut - 1], xyz[cut - 1]) if same else None
     return out, tab.slice(int(row[cut])), last
 
 
+def _key(tab: pa.Table, i: int) -> tuple:
+    return tuple(tab.column(c)[i].as_py() for c in ("device", "collar", "stretch"))
+
+
 def _sessions(tab, row, good, group, t, lat, lng, xyz, rules: TripRules):
     if not len(good):
         return None

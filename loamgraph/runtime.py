@@ -22,8 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamgraph-checkpoint-"))
+    sc.setCheckpointDir(_named_folder(spark) or tempfile.mkdtemp(prefix="loamgraph-checkpoint-"))
+
+
+def _named_folder(spark: SparkSession) -> str | None:
+    """The shared folder that the session or its context names."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -58,7 +62,10 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="loamgraph-package-")) / "loamgraph.zip"
+    shared = (_named_folder(spark) or "").removeprefix("file://")
+    if shared.startswith("/"):
+        Path(shared).mkdir(parents=True, exist_ok=True)
+    target = Path(tempfile.mkdtemp(prefix="loamgraph-package-", dir=shared if shared.startswith("/") else None)) / "loamgraph.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

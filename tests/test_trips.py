@@ -69,7 +69,7 @@ def test_streaming_in_small_chunks_changes_nothing(spark, chunk, monkeypatch):
     import pyarrow as pa
 
     rows.sort(key=lambda r: (r[1], r[3]))
-    batches = [pa.RecordBatch.from_pylist([{"device": r[1], "collar": r[2], "t": r[3], "p": i, "lat": r[4], "lng": r[5]}]) for i, r in enumerate(rows)]
+    batches = [pa.RecordBatch.from_pylist([{"device": r[1], "collar": r[2], "t": r[3], "p": i, "lat": r[4], "lng": r[5], "stretch": 0, "aside": False}]) for i, r in enumerate(rows)]
     monkeypatch.setattr(trips, "CHUNK", chunk)
 
     def through():
@@ -84,6 +84,7 @@ def test_streaming_in_small_chunks_changes_nothing(spark, chunk, monkeypatch):
 
         monkeypatch.setattr(trips, "F", __import__("unittest.mock").mock.MagicMock())
         monkeypatch.setattr(trips, "position_counts", lambda *_: True)
+        monkeypatch.setattr(trips, "split_hot", lambda p, *_: p)
         return stops_and_trips(Frame())
 
     got = through()
@@ -146,3 +147,21 @@ def test_reports(spark):
     trip = out.where("kind = 'trip'").first()
     assert 11_000 < trip["distance_m"] < 11_200 and trip["duration_s"] == 3600
     assert tuple(totals(out).first())[1:3] == (2, 1)
+
+
+def test_hot_devices_are_split_at_silences_and_nothing_changes(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for d, collar in (("hot", "c"), ("hot", None), ("cold", "c")):
+        t, la = 0, 50.0
+        for i in range(400):
+            t += int(rng.choice([10 * MIN, 20 * MIN, 5 * HOUR, 7 * HOUR, 14 * HOUR, 30 * HOUR], p=[0.6, 0.25, 0.05, 0.05, 0.03, 0.02]))
+            la += float(rng.choice([0, 1e-4, 0.02], p=[0.6, 0.3, 0.1]))
+            data.append((f"{d}{collar}-{i}", d, collar, t, la if rng.random() > 0.06 else -la, 8.0))
+    df = spark.createDataFrame(data, SCHEMA)
+    slim = df.select("device", "collar", "t", trips.F.xxhash64("ping").alias("p"), "lat", "lng")
+    parts = trips.split_hot(slim, 6 * HOUR, 300)
+    assert parts.where("not aside").count() == 1200 and parts.select("device", "collar", "stretch").distinct().count() > 20 and parts.where("aside").count() > 20
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    want = key(stops_and_trips(df))
+    assert len(want) > 30 and key(stops_and_trips(df, hot_pings=300)) == want
