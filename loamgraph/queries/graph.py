@@ -14,6 +14,7 @@ from loamgraph.functions.geometry import polygons_of
 from loamgraph.operators import documents, hierarchy, ranges, rdf, reasoning, summary, windows
 from loamgraph.operators.spatial import points_in_regions, position_counts
 from loamgraph.plans.selector import aggregate, find
+from loamgraph.queries.records import _EDGES, _ID
 from loamgraph.runtime import table
 
 COLLECTIONS = ("tracking_report", "individual", "observation", "study_region")
@@ -338,6 +339,7 @@ def queries() -> dict:
         "reasoning_status": _status,
         "unreasoned_detail": _detail,
         "region_tags": _region_tags,
+        "region_bbox": lambda s, d: _boxes(s, d).drop("area_km2"),
         "region_boxes": _boxes,
         "region_simplified": _simplified,
         "region_union": _united,
@@ -378,6 +380,8 @@ def oracle_sql() -> dict[str, str]:
         "pipeline_unwind_group": 'select t _id, count(*) n, min(_when_ms) "first", round(avg(geo_lat) + 1e-9, 6) lat from (select unnest(at_type) t, * from observation) group by 1',
         "pipeline_top": f"select group_id _id, max_by(_id, when_ms) newest, count(*) n from {ev} where value >= 10 group by 1 order by n desc, group_id limit 40",
         "semi_roster": "select 'customer:' || c_custkey _id, c_name from customer where c_custkey in (select o_custkey from orders)",
+        "unmatched_keys": f"with named as ({_ID % 'select bold_animal raw from tracking_report'}) select id animal_id, count(*) n_rows from named where id <> '' and id not in (select _id from individual) group by 1",
+        "region_bbox": f"with {_EDGES} select _id region_id, min(p[1]) west, min(p[2]) south, max(p[1]) east, max(p[2]) north, count(distinct poly) n_polygons from (select _id, poly, unnest(rings[1]) p from polygons) group by 1",
         "outer_merge": "select 'c:' || c_custkey _id, case when c_custkey % 3 = 0 and c_custkey % 9 <> 0 then upper(c_name) when c_custkey % 2 = 0 then c_name end \"name\", case when c_custkey % 2 = 0 then 'old' else 'new' end since from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0",
         "triples": f"with {_TRIPLES} select * from triples",
         "json_triples": "with t as (select _id s, unnest(list_distinct(['at:' || x for x in at_type])) o, 'rdf:type' p from individual union select _id, rdfs_label, 'rdfs:label' from individual where rdfs_label is not null union select _id, species, 'species' from individual where species is not null) "
