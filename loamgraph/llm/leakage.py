@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.letters import GramSet, grams, letters
+from loamgraph.llm.letters import GramSet, grams, letters, slices
 from loamgraph.runtime import table
 
 #: Letters of a seed and of the finer grams that find a line's diagonal.
@@ -476,7 +476,7 @@ def _leaks_of_block(docs: DataFrame, items: Items, n_docs: int, rules: LeakRules
 
     def count(batches):
         df = np.zeros(len(known.value.values), np.int64)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             code, owner, _ = letters(_texts(b.column(1)))
             at, j = known.value.hits(grams(code, owner, SEED))
             df += np.bincount(np.unique(owner[at].astype(np.int64) * len(df) + j) % len(df), minlength=len(df))
@@ -490,7 +490,7 @@ def _leaks_of_block(docs: DataFrame, items: Items, n_docs: int, rules: LeakRules
 
     def search(batches):
         its, seeds = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             found = find_leaks(b.column(0).to_numpy(), _texts(b.column(1)), its, seeds, rules)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["doc_id", "item_id", "n_words"])
 

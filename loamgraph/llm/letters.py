@@ -78,3 +78,20 @@ class GramSet:
         j = np.minimum(np.searchsorted(self.values, g[at]), len(self.values) - 1)
         good = self.values[j] == g[at]
         return at[good], j[good]
+
+
+#: Bytes of text that are turned into arrays at a time (about 60 bytes of memory a letter).
+SLICE_BYTES = 2_000_000
+
+
+def slices(batch, column: int, limit: int = SLICE_BYTES):
+    """A record batch in runs of rows with about ``limit`` bytes of text each; a longer text is a run of its own."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        base = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
