@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.letters import slices
 from loamgraph.runtime import table
 
 #: Rows up to which the list of common words is taken as a list of words at all.
@@ -161,7 +162,7 @@ def text_quality(documents: DataFrame, common_words: DataFrame, rules: QualityRu
 
     def measure(batches):
         common = pa.array(shared.value, pa.string())
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             yield text_statistics(b.column(0), b.column(1).cast(pa.string()), common, rules)
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(measure, SCHEMA)
