@@ -296,7 +296,7 @@ def _chains(code, line, items: Items, item_of, s: dict, rules: LeakRules):
     keep = np.flatnonzero(s["score"] >= 6)
     total = np.bincount(s["cand"][keep], weights=s["score"][keep], minlength=len(item_of))
     keep = keep[total[s["cand"][keep]] >= 2 * rules.min_words]
-    order = keep[np.lexsort((s["j0"][keep], s["piece"][keep], s["cand"][keep]))]
+    order = keep[np.lexsort((s["piece"][keep], s["j0"][keep], s["cand"][keep]))]
     cand = s["cand"][order]
     if not len(cand):
         return
@@ -306,28 +306,47 @@ def _chains(code, line, items: Items, item_of, s: dict, rules: LeakRules):
     for a, b in zip(bounds, np.append(bounds[1:], len(cand))):
         item = int(item_of[cand[a]])
         piece, ln, i0, i1, j0, j1, size = (col[k][a:b] for k in ("piece", "line", "i0", "i1", "j0", "j1", "size"))
-        start, link = list(j0), [None] * len(piece)
-        for y in range(len(piece)):
-            for x in range(y - 1, -1, -1):
-                if ln[y] - ln[x] > rules.skip:
-                    break
-                if piece[x] >= piece[y] or start[x] >= start[y]:
-                    continue
-                tail, gap = size[x] - i1[x], j0[y] - j1[x]
-                joined, via = tail + i0[y] <= 10 and abs(gap - tail - i0[y]) <= 3, -1
-                if not joined and tail <= 5 and i0[y] <= 5 and 0 < gap <= 2 * rules.piece and piece[y] - piece[x] > 1:
-                    via = _bridged(code, items, item, p, piece[x], piece[y], j1[x] + tail, j0[y] - i0[y])
-                if joined or via >= 0:
-                    start[y], link[y] = start[x], (x, via)
         best = 0
-        for y in sorted(range(len(piece)), key=lambda y: start[y] - j1[y]):
-            if items.words_in(item, start[y], j1[y]) < max(rules.min_words, best + 1):
-                break
-            best = max(best, _verified(code, items, item, p, _members(y, link, piece), i0, i1, start[y], j1[y], rules))
+        for upwards, nearest in ((False, False), (False, True), (True, True), (True, False)):
+            if best < rules.min_words:
+                best = max(best, _longest(code, items, item, p, piece, ln, i0, i1, j0, j1, size, upwards, nearest, rules))
         if best >= rules.min_words:
             yield int(cand[a]), best
 
 
+def _longest(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, size, upwards: bool, nearest: bool, rules: LeakRules) -> int:
+    """Verified words of the longest chain.
+
+    With ``upwards`` a chain may go on above, where a column begins anew. Of several
+    segments that another may continue, it continues the one that began first, or
+    with ``nearest`` the one whose line is nearest.
+    """
+    start, link, away = list(j0), [None] * len(piece), [1 << 30] * len(piece)
+    for y in range(len(piece)):  # in order of the item, so what leads to a segment is settled before it
+        for x in range(y - 1, -1, -1):
+            gap = j0[y] - j1[x]
+            far = abs(ln[y] - ln[x])
+            if (far >= away[y] if nearest else start[x] >= start[y]) or j0[x] >= j0[y] or gap < -3 or gap > 2 * rules.piece or not _follows(ln[y] - ln[x], piece[y] - piece[x], upwards, rules):
+                continue
+            tail = size[x] - i1[x]
+            joined, via = tail + i0[y] <= 10 and abs(gap - tail - i0[y]) <= 3, -1
+            if not joined and tail <= 5 and i0[y] <= 5 and gap > 0 and piece[y] - piece[x] > 1:
+                via = _bridged(code, items, item, p, piece[x], piece[y], j1[x] + tail, j0[y] - i0[y])
+            if joined or via >= 0:
+                start[y], link[y], away[y] = start[x], (x, via), far
+    best = 0
+    for y in sorted(range(len(piece)), key=lambda y: start[y] - j1[y]):
+        if items.words_in(item, start[y], j1[y]) < max(rules.min_words, best + 1):
+            break
+        best = max(best, _verified(code, items, item, p, _members(y, link, piece), i0, i1, start[y], j1[y], rules))
+    return best
+
+
+def _follows(lines: int, pieces: int, upwards: bool, rules: LeakRules) -> bool:
+    """Whether a piece may continue another: further down, or above where a page was read across and a column begins anew."""
+    return 0 < lines <= rules.skip or (lines == 0 and pieces > 0) or (upwards and -rules.span <= lines < 0)
+
+
 def _members(y: int, link: list, piece: list[int]) -> list[tuple[int, int]]:
     """(segment, piece) of the chain that ends at y, in reading order; a bridged line has no segment."""
     out = [(y, piece[y])]

@@ -74,6 +74,10 @@ def docs_and_truth(items):
     columns = [x for p in zip(wrap(passage(3, 45)[:30], hyphenate=False), noise(900, 40)) for x in p]
     docs.append((500, "\n".join(columns)))
     truth.add((500, 3))
+    words = wrap(passage(6, 45)[4:34], hyphenate=False)
+    left, right = [*noise(910, 20)[:3], *words[:3]], [*words[3:], *noise(911, 40)]  # the passage goes on at the head of the next column
+    docs.append((502, "\n".join(x for p in zip(left, right) for x in p)))
+    truth.add((502, 6))
     docs.append((501, " ".join(passage(4, 45))))  # one long line
     truth.add((501, 4))
     return docs, truth
@@ -81,7 +85,7 @@ def docs_and_truth(items):
 
 def test_planted_passages(spark, items):
     docs, truth = docs_and_truth(items)
-    docs += [(600, None), (601, ""), (None, " ".join(passage(5, 45))), (602, "x " * 200_000), (500, docs[-2][1])]
+    docs += [(600, None), (601, ""), (None, " ".join(passage(5, 45))), (602, "x " * 200_000), (500, docs[-3][1])]
     d = spark.createDataFrame([(*x, "n") for x in docs], "doc_id bigint, text string, item_id string")
     e = spark.createDataFrame([*items, (77, None, "en"), (None, "a b", "en"), (78, "too short", "en"), items[0]], "item_id bigint, text string, doc_id string")
     got = leaked_items(d, e)
