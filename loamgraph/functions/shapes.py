@@ -220,7 +220,13 @@ def union_polygons(polygons: list[list[np.ndarray]], min_hole_m2: float = MIN_HO
     e = e[(e[:, :2] != e[:, 2:]).any(axis=1)]
     pieces = set()
     size = max(float(np.ptp(e.reshape(-1, 2), axis=0).max()), 1e-9)
-    snap = lambda p: (round(p[0] / size, 11) * size, round(p[1] / size, 11) * size)
+    places: dict[tuple, tuple] = {}  # corners stand for what is rounded to them
+
+    def snap(p):
+        return places.setdefault((round(p[0] / size, 11), round(p[1] / size, 11)), (float(p[0]), float(p[1])))
+
+    for corner in e[:, :2]:
+        snap(corner)
     for a in e:
         p, d = a[:2], a[2:] - a[:2]
         q, f = e[:, :2], e[:, 2:] - e[:, :2]
