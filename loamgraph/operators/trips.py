@@ -59,9 +59,20 @@ def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings:
     slim = pings.where(good).select(
         F.col("device").cast("string"), F.col("collar").cast("string"), F.col("t").cast("bigint"), F.xxhash64("ping").alias("p"), F.col("lat").cast("double"), F.col("lng").cast("double")
     )
-    slim = split_hot(slim, rules.max_silence_ms, hot_pings)
+    # Counts of collars alone bound those of devices and collars and read one column.
+    crowded = pings.groupBy("collar").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_pings)
+    if crowded.isEmpty():
+        slim = slim.withColumns({"stretch": F.lit(0), "aside": F.lit(False)})
+    else:
+        slim = split_hot(slim, rules.max_silence_ms, hot_pings)
     ordered = slim.repartition("device", "collar", "stretch").sortWithinPartitions("device", "collar", "stretch", "t", "p")
 
+    return ordered.mapInArrow(track_reader(rules), _OUT)
+
+
+def track_reader(rules: TripRules):
+    """Turns a stream of batches, sorted by device, collar, stretch and time, into batches of stops and trips."""
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         rows, want = 0, CHUNK
@@ -82,7 +93,7 @@ def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings:
             if out is not None:
                 yield out
 
-    return ordered.mapInArrow(run, _OUT)
+    return run
 
 
 def split_hot(pings: DataFrame, max_silence_ms: int, hot_pings: int) -> DataFrame:
