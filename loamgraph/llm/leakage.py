@@ -306,45 +306,57 @@ def _chains(code, line, items: Items, item_of, s: dict, rules: LeakRules):
     for a, b in zip(bounds, np.append(bounds[1:], len(cand))):
         item = int(item_of[cand[a]])
         piece, ln, i0, i1, j0, j1, size = (col[k][a:b] for k in ("piece", "line", "i0", "i1", "j0", "j1", "size"))
-        best = 0
+        links = _links(code, items, item, p, *(np.array(v) for v in (piece, ln, i0, i1, j0, j1, size)), rules)
+        best, tried = 0, set()
         for upwards, nearest in ((False, False), (False, True), (True, True), (True, False)):
-            if best < rules.min_words:
-                best = max(best, _longest(code, items, item, p, piece, ln, i0, i1, j0, j1, size, upwards, nearest, rules))
+            if best >= rules.min_words:
+                break
+            start, link = _join(links, j0, upwards, nearest)
+            for y in sorted(range(len(piece)), key=lambda y: start[y] - j1[y]):
+                if items.words_in(item, start[y], j1[y]) < max(rules.min_words, best + 1):
+                    break
+                chain = _members(y, link, piece)
+                if tuple(chain) not in tried:
+                    tried.add(tuple(chain))
+                    best = max(best, _verified(code, items, item, p, chain, i0, i1, start[y], j1[y], rules))
         if best >= rules.min_words:
             yield int(cand[a]), best
 
 
-def _longest(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, size, upwards: bool, nearest: bool, rules: LeakRules) -> int:
-    """Verified words of the longest chain.
+def _links(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, size, rules: LeakRules) -> list[tuple[int, int, int, int]]:
+    """(from, to, bridged line or -1, lines between) of segments that continue each other, in order of the item.
 
-    With ``upwards`` a chain may go on above, where a column begins anew. Of several
-    segments that another may continue, it continues the one that began first, or
-    with ``nearest`` the one whose line is nearest.
+    Lines above, where a column begins anew, have negative distances.
     """
-    start, link, away = list(j0), [None] * len(piece), [1 << 30] * len(piece)
-    for y in range(len(piece)):  # in order of the item, so what leads to a segment is settled before it
-        for x in range(y - 1, -1, -1):
-            gap = j0[y] - j1[x]
-            far = abs(ln[y] - ln[x])
-            if (far >= away[y] if nearest else start[x] >= start[y]) or j0[x] >= j0[y] or gap < -3 or gap > 2 * rules.piece or not _follows(ln[y] - ln[x], piece[y] - piece[x], upwards, rules):
-                continue
-            tail = size[x] - i1[x]
-            joined, via = tail + i0[y] <= 10 and abs(gap - tail - i0[y]) <= 3, -1
-            if not joined and tail <= 5 and i0[y] <= 5 and gap > 0 and piece[y] - piece[x] > 1:
-                via = _bridged(code, items, item, p, piece[x], piece[y], j1[x] + tail, j0[y] - i0[y])
-            if joined or via >= 0:
-                start[y], link[y], away[y] = start[x], (x, via), far
-    best = 0
-    for y in sorted(range(len(piece)), key=lambda y: start[y] - j1[y]):
-        if items.words_in(item, start[y], j1[y]) < max(rules.min_words, best + 1):
-            break
-        best = max(best, _verified(code, items, item, p, _members(y, link, piece), i0, i1, start[y], j1[y], rules))
-    return best
+    tail = size - i1
+    gap, cut = j0[None, :] - j1[:, None], tail[:, None] + i0[None, :]
+    lines, pieces = ln[None, :] - ln[:, None], piece[None, :] - piece[:, None]
+    down = ((lines > 0) & (lines <= rules.skip)) | ((lines == 0) & (pieces > 0))
+    up = (lines < 0) & (lines >= -rules.span)
+    rising = j0[:, None] < j0[None, :]
+    joined = rising & (down | up) & (cut <= 10) & (np.abs(gap - cut) <= 3) & (gap >= -3)
+    maybe = rising & down & ~joined & (tail[:, None] <= 5) & (i0[None, :] <= 5) & (gap > 0) & (gap <= 2 * rules.piece) & (pieces > 1)
+    out = [(int(x), int(y), -1, int(lines[x, y])) for x, y in np.argwhere(joined)]
+    for x, y in np.argwhere(maybe):
+        via = _bridged(code, items, item, p, int(piece[x]), int(piece[y]), int(j1[x] + tail[x]), int(j0[y] - i0[y]))
+        if via >= 0:
+            out.append((int(x), int(y), via, int(lines[x, y])))
+    return sorted(out, key=lambda v: (v[1], v[0]))
+
 
+def _join(links, j0, upwards: bool, nearest: bool) -> tuple[list[int], list]:
+    """Where each segment's chain begins, and the segment (and bridged line) before it.
 
-def _follows(lines: int, pieces: int, upwards: bool, rules: LeakRules) -> bool:
-    """Whether a piece may continue another: further down, or above where a page was read across and a column begins anew."""
-    return 0 < lines <= rules.skip or (lines == 0 and pieces > 0) or (upwards and -rules.span <= lines < 0)
+    Of several segments that another may continue, it continues the one that began
+    first, or with ``nearest`` the one whose line is nearest.
+    """
+    start, link, away = list(j0), [None] * len(j0), [1 << 30] * len(j0)
+    for x, y, via, lines in links:
+        if lines < 0 and not upwards:
+            continue
+        if abs(lines) < away[y] if nearest else start[x] < start[y]:
+            start[y], link[y], away[y] = start[x], (x, via), abs(lines)
+    return start, link
 
 
 def _members(y: int, link: list, piece: list[int]) -> list[tuple[int, int]]:
