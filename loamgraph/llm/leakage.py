@@ -326,13 +326,13 @@ def _chains(code, line, items: Items, item_of, s: dict, rules: LeakRules):
 def _links(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, size, rules: LeakRules) -> list[tuple[int, int, int, int]]:
     """(from, to, bridged line or -1, lines between) of segments that continue each other, in order of the item.
 
-    Lines above, where a column begins anew, have negative distances.
+    Lines above, where a column begins anew, have negative distances, however far they are.
     """
     tail = size - i1
     gap, cut = j0[None, :] - j1[:, None], tail[:, None] + i0[None, :]
     lines, pieces = ln[None, :] - ln[:, None], piece[None, :] - piece[:, None]
     down = ((lines > 0) & (lines <= rules.skip)) | ((lines == 0) & (pieces > 0))
-    up = (lines < 0) & (lines >= -rules.span)
+    up = lines < 0
     rising = j0[:, None] < j0[None, :]
     joined = rising & (down | up) & (cut <= 10) & (np.abs(gap - cut) <= 3) & (gap >= -3)
     maybe = rising & down & ~joined & (tail[:, None] <= 5) & (i0[None, :] <= 5) & (gap > 0) & (gap <= 2 * rules.piece) & (pieces > 1)

@@ -94,6 +94,19 @@ def test_planted_passages(spark, items):
     assert leaked_items(d.where("false"), e).count() == 0 and leaked_items(d, e.where("false")).count() == 0
 
 
+def leaks(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    return {(r[0], r[1]) for r in leaked_items(d, spark.createDataFrame(items, "item_id bigint, text string, lang string")).collect()}
+
+
+def test_column_break_far_up(spark, items):
+    words = passage(6, 45)[8:32]  # twelve words at the foot of a long column, twelve at the head of the next
+    left = [*noise(920, 400)[:40], *wrap(words[:12], hyphenate=False)]
+    right = [*wrap(words[12:], hyphenate=False), *noise(921, 400)[:40]]
+    docs = [(1, "\n".join(x for p in zip(left, right) for x in p)), (2, "\n".join([*left, *noise(922, 200), *noise(923, 60)]))]
+    assert leaks(spark, docs, items) == {(1, 6)}
+
+
 def test_openings_are_shared_sentences(items):
     assert shared_openings([t for _, t, _ in items], LeakRules()) == {OPENING}
     its = Items([i for i, _, _ in items], [t for _, t, _ in items], LeakRules())
