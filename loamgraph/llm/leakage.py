@@ -27,6 +27,8 @@ SEED, FINE = 10, 6
 BLOCK_ITEMS = 5_000
 #: Items and letters of a block may not exceed this many letters (100 MB of tables).
 BLOCK_LETTERS = 2_000_000
+#: Letters of documents that are aligned at a time, each counted once a pair (about 150 bytes of memory a letter).
+PAIR_LETTERS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,9 +40,6 @@ class LeakRules:
     block: int = 60  # letters of an item of which ...
     per_block: int = 12  # ... the rarest so many seeds are kept, however frequent
     min_seeds: int = 15  # different seeds that join a document to an item
-    span: int = 40  # lines within which the seeds of a passage stand
-    around: int = 12  # lines before and after the seeds that are aligned
-    skip: int = 15  # lines that may stand between two lines of a passage
     line_grams: int = 4  # fine grams on one diagonal for which a line is aligned
     pair_grams: int = 30  # ... and all lines of a pair together, or it is dropped
     band: int = 4
@@ -131,12 +130,16 @@ def find_leaks(doc_ids: np.ndarray, texts: list[str], items: Items, seeds: GramS
     at, j = seeds.hits(g)
     if not len(at):
         return []
-    pair, doc_of, item_of, first, last = _candidates(at, j, owner, line, items, seeds, rules)
-    if not len(doc_of):
-        return []
-    tasks = _diagonals(code, owner, line, items, doc_of, item_of, first, last, rules)
-    segments = _align(code, items, tasks, rules)
-    return [(int(doc_ids[doc_of[c]]), int(items.ids[item_of[c]]), w) for c, w in _chains(code, line, items, item_of, segments, rules) if w >= rules.min_words]
+    docs, its = _candidates(at, j, owner, items, seeds, rules)
+    out = []
+    # So many pairs at a time that their lines have about PAIR_LETTERS letters.
+    run = np.cumsum(np.bincount(owner, minlength=len(texts))[docs]) // PAIR_LETTERS
+    for k in np.unique(run):
+        doc_of, item_of = docs[run == k], its[run == k]
+        tasks = _diagonals(code, owner, line, items, doc_of, item_of, rules)
+        segments = _align(code, items, tasks, rules)
+        out += [(int(doc_ids[doc_of[c]]), int(items.ids[item_of[c]]), w) for c, w in _chains(code, line, items, item_of, segments, rules) if w >= rules.min_words]
+    return out
 
 
 def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +148,8 @@ def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _candidates(at, j, owner, line, items: Items, seeds: GramSet, rules: LeakRules):
-    """Pairs of document and item with enough different seeds, and the lines between which they stand."""
+def _candidates(at, j, owner, items: Items, seeds: GramSet, rules: LeakRules):
+    """Pairs of document and item with enough different seeds, wherever in the document they stand."""
     place = np.flatnonzero(items.seed >= 0)
     order = np.argsort(items.seed[place], kind="stable")
     sorted_seed, place = items.seed[place][order], place[order]
@@ -154,31 +157,17 @@ def _candidates(at, j, owner, line, items: Items, seeds: GramSet, rules: LeakRul
     hi = np.searchsorted(sorted_seed, seeds.values[j], side="right")
     row, k = _expand(hi - lo)
     where = place[lo[row] + k]
-    doc, item, ln, seed = owner[at[row]].astype(np.int64), items.owner[where], line[at[row]], j[row]
+    doc, item, seed = owner[at[row]].astype(np.int64), items.owner[where], j[row]
     key = doc * len(items.ids) + item
-    # Only places around which enough seeds stand within the span of a passage count.
-    order = np.argsort(key << 32 | ln, kind="stable")
-    key, seed, ln = key[order], seed[order], ln[order].astype(np.int64)
-    spot = key << 32 | ln
-    ahead = np.searchsorted(spot, spot + rules.span, side="right")
-    crowd = np.flatnonzero(ahead - np.arange(len(spot)) >= rules.min_seeds)
-    if not len(crowd):
-        return (np.zeros(0, np.int64),) * 5
-    mark = np.zeros(len(spot) + 1, np.int64)
-    np.add.at(mark, crowd, 1)
-    np.add.at(mark, ahead[crowd], -1)
-    inside = np.cumsum(mark[:-1]) > 0
-    key, seed, ln = key[inside], seed[inside], ln[inside]
     order = np.lexsort((seed, key))
-    key, seed, ln = key[order], seed[order], ln[order]
+    key, seed = key[order], seed[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     different = new | np.concatenate([[True], seed[1:] != seed[:-1]])
     start = np.flatnonzero(new)
     n = np.add.reduceat(different.astype(np.int64), start)
     good = n >= rules.min_seeds
-    lowest, highest = np.minimum.reduceat(ln, start), np.maximum.reduceat(ln, start)
     pair = key[start][good]
-    return pair, pair // len(items.ids), pair % len(items.ids), lowest[good] - rules.around, highest[good] + rules.around
+    return pair // len(items.ids), pair % len(items.ids)
 
 
 @dataclass
@@ -204,13 +193,12 @@ def _pieces(line: np.ndarray, owner: np.ndarray, size: int):
     return begin, np.minimum(size, start[row] + length[row] - begin)
 
 
-def _diagonals(code, owner, line, items: Items, doc_of, item_of, first, last, rules: LeakRules) -> Tasks:
-    """For each piece of a line near a pair's seeds, the two diagonals that most fine grams agree on."""
+def _diagonals(code, owner, line, items: Items, doc_of, item_of, rules: LeakRules) -> Tasks:
+    """For each piece of a line of a pair's document, the two diagonals that most fine grams agree on."""
     begin, size = _pieces(line, owner, rules.piece)
     piece_line, piece_doc = line[begin], owner[begin]
-    lo = np.maximum(np.searchsorted(piece_line, first), np.searchsorted(piece_doc, doc_of))
-    hi = np.minimum(np.searchsorted(piece_line, last, side="right"), np.searchsorted(piece_doc, doc_of, side="right"))
-    cand, k = _expand(np.maximum(0, hi - lo))
+    lo, hi = np.searchsorted(piece_doc, doc_of), np.searchsorted(piece_doc, doc_of, side="right")
+    cand, k = _expand(hi - lo)
     piece = lo[cand] + k
     fine = grams(code, owner, FINE)
     row, i = _expand(np.maximum(0, size[piece] - FINE + 1))
@@ -331,19 +319,36 @@ def _links(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, si
     tail = size - i1
     gap, cut = j0[None, :] - j1[:, None], tail[:, None] + i0[None, :]
     lines, pieces = ln[None, :] - ln[:, None], piece[None, :] - piece[:, None]
-    down = ((lines > 0) & (lines <= rules.skip)) | ((lines == 0) & (pieces > 0))
+    down = (lines > 0) | ((lines == 0) & (pieces > 0))
     up = lines < 0
     rising = j0[:, None] < j0[None, :]
     joined = rising & (down | up) & (cut <= 10) & (np.abs(gap - cut) <= 3) & (gap >= -3)
     maybe = rising & down & ~joined & (tail[:, None] <= 5) & (i0[None, :] <= 5) & (gap > 0) & (gap <= 2 * rules.piece) & (pieces > 1)
     out = [(int(x), int(y), -1, int(lines[x, y])) for x, y in np.argwhere(joined)]
-    for x, y in np.argwhere(maybe):
+    bridges = [(int(x), int(y)) for x, y in np.argwhere(maybe)]
+    for x, y in _promising([v[:2] for v in out] + bridges, items, item, j0.tolist(), j1.tolist(), rules, bridges):
         via = _bridged(code, items, item, p, int(piece[x]), int(piece[y]), int(j1[x] + tail[x]), int(j0[y] - i0[y]))
         if via >= 0:
             out.append((int(x), int(y), via, int(lines[x, y])))
     return sorted(out, key=lambda v: (v[1], v[0]))
 
 
+def _promising(links, items: Items, item: int, j0: list, j1: list, rules: LeakRules, bridges: list) -> list[tuple[int, int]]:
+    """Those of the ``bridges`` by which a chain could have enough words if every link held."""
+    if not bridges:
+        return []
+    start, end = list(j0), list(j1)
+    for x, y in sorted(links, key=lambda v: j0[v[1]]):
+        start[y] = min(start[y], start[x])
+    for x, y in sorted(links, key=lambda v: -j0[v[0]]):
+        end[x] = max(end[x], end[y])
+    enough = {}
+    for x, y in bridges:
+        if (v := (start[x], end[y])) not in enough:
+            enough[v] = items.words_in(item, *v) >= rules.min_words
+    return [(x, y) for x, y in bridges if enough[start[x], end[y]]]
+
+
 def _join(links, j0, upwards: bool, nearest: bool) -> tuple[list[int], list]:
     """Where each segment's chain begins, and the segment (and bridged line) before it.
 
@@ -432,26 +437,35 @@ def _bridged(code, items: Items, item: int, p: dict, x: int, y: int, a: int, b:
     if want <= 0:
         return -1
     text = items.code[items.start[item] + a : items.start[item] + b]
-    for z in range(x + 1, y):
-        size = int(p["size"][z])
-        if abs(size - want) <= max(2, want // 6):
-            got = code[p["begin"][z] : p["begin"][z] + size]
-            n = min(size, want)
-            if max((got[:n] == text[:n]).sum(), (got[-n:] == text[-n:]).sum()) < 0.25 * n:
-                continue
-            if _edits(got, text) <= max(2, int(0.34 * want)):
-                return z
+    z = x + 1 + np.flatnonzero(np.abs(p["size"][x + 1 : y] - want) <= max(2, want // 6))
+    if not len(z):
+        return -1
+    size, k = p["size"][z][:, None], np.arange(want)
+    first = p["begin"][z][:, None]
+    n, inside = np.minimum(size, want), k < size
+    # Letters that agree from the front, and from the back.
+    ahead = (inside & (code[np.minimum(first + k, len(code) - 1)] == text)).sum(axis=1)
+    behind = (inside & (code[np.maximum(first + size - 1 - k, 0)] == text[::-1])).sum(axis=1)
+    for i in np.flatnonzero(np.maximum(ahead, behind) >= 0.25 * n[:, 0]):
+        most = max(2, int(0.34 * want))
+        if _edits(code[p["begin"][z[i]] :][: p["size"][z[i]]], text, most) <= most:
+            return int(z[i])
     return -1
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> int:
+def _edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two texts; once it must exceed ``most``, any greater number."""
     row = np.arange(len(b) + 1)
     offset = np.arange(len(b) + 1)
     for i, x in enumerate(a, 1):
         new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
         new = np.concatenate([[i], new])
         row = np.minimum.accumulate(new - offset) + offset
-    return int(row[-1])
+        if row.min() > most:
+            break
+    else:
+        return int(row[-1])
+    return most + 1
 
 
 def _texts(column: pa.Array) -> list[str]:

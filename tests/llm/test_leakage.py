@@ -107,6 +107,15 @@ def test_column_break_far_up(spark, items):
     assert leaks(spark, docs, items) == {(1, 6)}
 
 
+def test_any_lines_between(spark, items):
+    words = passage(7, 45)[8:32]  # twelve words, a column of adverts, twelve words
+    head, foot = wrap(words[:12], hyphenate=False), wrap(words[12:], hyphenate=False)
+    docs = [(k, "\n".join([*noise(930, 60), *head, *["", "SALE THIS DAY"] * k, *foot, *noise(931, 60)])) for k in (3, 10, 40, 400)]
+    few = wrap(words[:4], hyphenate=False)  # a few words alone, far from the rest
+    docs.append((1, "\n".join([*few, *adverts(noise(932, 300), 1), *wrap(words[4:], hyphenate=False)])))
+    assert leaks(spark, docs, items) == {(3, 7), (10, 7), (40, 7), (400, 7), (1, 7)}
+
+
 def test_openings_are_shared_sentences(items):
     assert shared_openings([t for _, t, _ in items], LeakRules()) == {OPENING}
     its = Items([i for i, _, _ in items], [t for _, t, _ in items], LeakRules())
