@@ -40,6 +40,7 @@ class LeakRules:
     block: int = 60  # letters of an item of which ...
     per_block: int = 12  # ... the rarest so many seeds are kept, however frequent
     min_seeds: int = 15  # different seeds that join a document to an item
+    gram_share: float = 0.35  # ... or this share of all n-grams of min_words words of it, rare or not
     line_grams: int = 4  # fine grams on one diagonal for which a line is aligned
     pair_grams: int = 30  # ... and all lines of a pair together, or it is dropped
     band: int = 4
@@ -73,6 +74,18 @@ class Items:
         self.fine_key, self.fine_first, self.fine_n = np.unique(key[order], return_index=True, return_counts=True)
         self.fine = GramSet(self.fine_key)
 
+    def reach(self, n_words: int) -> np.ndarray:
+        """For each letter, where the run of ``n_words`` words that begins with its word ends, within its item."""
+        word = np.searchsorted(self.word_at, np.arange(len(self.code)), side="right") - 1
+        begins = np.append(self.word_at, np.full(n_words, len(self.code)))
+        return np.minimum(begins[word + n_words], self.start[self.owner + 1])
+
+    def least_letters(self, item: int, n_words: int) -> int:
+        """Letters without which ``words_in`` can not count so many words."""
+        lo, hi = np.searchsorted(self.word_at, [self.start[item], self.start[item + 1]])
+        edge = np.append(self.word_at[lo:hi], self.start[item + 1])
+        return int((edge[n_words:] - edge[:-n_words]).min()) - 8 if len(edge) > n_words else 1 << 30
+
     def words_in(self, item: int, a: int, b: int) -> int:
         """Words of an item that its letters a..b cover, up to a few letters at either end."""
         lo, hi = np.searchsorted(self.word_at, [self.start[item], self.start[item + 1]])
@@ -121,16 +134,16 @@ def pick_seeds(items: Items, values: np.ndarray, df: np.ndarray, n_docs: int, ru
     return np.unique(items.seed[at[rare]])
 
 
-def find_leaks(doc_ids: np.ndarray, texts: list[str], items: Items, seeds: GramSet, rules: LeakRules) -> list[tuple[int, int, int]]:
-    """(doc_id, item_id, words): the longest run of each pair that is long enough."""
+def find_leaks(doc_ids: np.ndarray, texts: list[str], items: Items, known: GramSet, seeds: np.ndarray, rules: LeakRules) -> list[tuple[int, int, int]]:
+    """(doc_id, item_id, words): the longest run of each pair that is long enough; ``known`` are all n-grams of the items."""
     if not len(texts) or not len(items.ids):
         return []
     code, owner, line = letters(texts)
     g = grams(code, owner, SEED)
-    at, j = seeds.hits(g)
+    at, j = known.hits(g)
     if not len(at):
         return []
-    docs, its = _candidates(at, j, owner, items, seeds, rules)
+    docs, its = _candidates(at, j, owner, items, known, seeds, rules)
     out = []
     # So many pairs at a time that their lines have about PAIR_LETTERS letters.
     run = np.cumsum(np.bincount(owner, minlength=len(texts))[docs]) // PAIR_LETTERS
@@ -148,26 +161,37 @@ def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _candidates(at, j, owner, items: Items, seeds: GramSet, rules: LeakRules):
-    """Pairs of document and item with enough different seeds, wherever in the document they stand."""
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different numbers; for millions of them sorting is faster than the hashing of ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, rules: LeakRules):
+    """Pairs of document and item with enough different seeds, or enough of all n-grams of some words, wherever they stand."""
     place = np.flatnonzero(items.seed >= 0)
     order = np.argsort(items.seed[place], kind="stable")
     sorted_seed, place = items.seed[place][order], place[order]
-    lo = np.searchsorted(sorted_seed, seeds.values[j])
-    hi = np.searchsorted(sorted_seed, seeds.values[j], side="right")
-    row, k = _expand(hi - lo)
-    where = place[lo[row] + k]
-    doc, item, seed = owner[at[row]].astype(np.int64), items.owner[where], j[row]
-    key = doc * len(items.ids) + item
-    order = np.lexsort((seed, key))
-    key, seed = key[order], seed[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    different = new | np.concatenate([[True], seed[1:] != seed[:-1]])
-    start = np.flatnonzero(new)
-    n = np.add.reduceat(different.astype(np.int64), start)
-    good = n >= rules.min_seeds
-    pair = key[start][good]
-    return pair // len(items.ids), pair % len(items.ids)
+    n_items, n_grams, n_letters = len(items.ids), len(known.values), len(items.code)
+    once = _distinct(owner[at].astype(np.int64) * n_grams + j)
+    doc, j = once // n_grams, once % n_grams
+    lo = np.searchsorted(sorted_seed, known.values)
+    hi = np.searchsorted(sorted_seed, known.values, side="right")
+    row, k = _expand(hi[j] - lo[j])
+    where = place[lo[j[row]] + k]
+    # Different seeds of a pair, as a gram may stand at several places of an item.
+    picked = np.isin(known.values, seeds)[j[row]]
+    pair = _distinct((doc[row] * n_items + items.owner[where])[picked] * n_grams + j[row][picked]) // n_grams
+    pair, n = np.unique(pair, return_counts=True)
+    # N-grams of the words that follow each place, found and in all.
+    key = np.sort(doc[row] * n_letters + where)
+    at = key % n_letters
+    last = np.maximum(at + 1, items.reach(rules.min_words)[at] - SEED + 1)
+    found = np.searchsorted(key, key - at + last) - np.arange(len(key))
+    crowd = found >= rules.gram_share * (last - at)
+    crowd &= found >= rules.min_seeds  # the item's end may leave few
+    pair = np.union1d(pair[n >= rules.min_seeds], (key // n_letters * n_items + items.owner[at])[crowd])
+    return pair // n_items, pair % n_items
 
 
 @dataclass
@@ -325,28 +349,27 @@ def _links(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, si
     joined = rising & (down | up) & (cut <= 10) & (np.abs(gap - cut) <= 3) & (gap >= -3)
     maybe = rising & down & ~joined & (tail[:, None] <= 5) & (i0[None, :] <= 5) & (gap > 0) & (gap <= 2 * rules.piece) & (pieces > 1)
     out = [(int(x), int(y), -1, int(lines[x, y])) for x, y in np.argwhere(joined)]
-    bridges = [(int(x), int(y)) for x, y in np.argwhere(maybe)]
-    for x, y in _promising([v[:2] for v in out] + bridges, items, item, j0.tolist(), j1.tolist(), rules, bridges):
-        via = _bridged(code, items, item, p, int(piece[x]), int(piece[y]), int(j1[x] + tail[x]), int(j0[y] - i0[y]))
-        if via >= 0:
-            out.append((int(x), int(y), via, int(lines[x, y])))
+    if maybe.any():
+        out += _bridges(code, items, item, p, out, np.argwhere(maybe).tolist(), piece.tolist(), lines, (j1 + tail).tolist(), (j0 - i0).tolist(), j0.tolist(), j1.tolist(), rules)
     return sorted(out, key=lambda v: (v[1], v[0]))
 
 
-def _promising(links, items: Items, item: int, j0: list, j1: list, rules: LeakRules, bridges: list) -> list[tuple[int, int]]:
-    """Those of the ``bridges`` by which a chain could have enough words if every link held."""
-    if not bridges:
-        return []
-    start, end = list(j0), list(j1)
-    for x, y in sorted(links, key=lambda v: j0[v[1]]):
-        start[y] = min(start[y], start[x])
-    for x, y in sorted(links, key=lambda v: -j0[v[0]]):
+def _bridges(code, items: Items, item: int, p: dict, joined: list, maybe: list, piece: list, lines, after: list, before: list, j0: list, j1: list, rules: LeakRules) -> list[tuple[int, int, int, int]]:
+    """The links over a bridged line, sought only where a chain could have enough words if every later link held."""
+    links = [(j0[x], x, y, False) for x, y, _, _ in joined] + [(j0[x], x, y, True) for x, y in maybe]
+    start, end, out, enough, least = list(j0), list(j1), [], {}, items.least_letters(item, rules.min_words)
+    for _, x, y, _ in sorted(links, reverse=True):
         end[x] = max(end[x], end[y])
-    enough = {}
-    for x, y in bridges:
-        if (v := (start[x], end[y])) not in enough:
-            enough[v] = items.words_in(item, *v) >= rules.min_words
-    return [(x, y) for x, y in bridges if enough[start[x], end[y]]]
+    for _, x, y, open_ in sorted(links):  # all links to x come before those from it
+        if open_:
+            if (v := (start[x], end[y])) not in enough:
+                enough[v] = v[1] - v[0] >= least and items.words_in(item, *v) >= rules.min_words
+            via = _bridged(code, items, item, p, piece[x], piece[y], after[x], before[y]) if enough[v] else -1
+            if via < 0:
+                continue
+            out.append((x, y, via, int(lines[x, y])))
+        start[y] = min(start[y], start[x])
+    return out
 
 
 def _join(links, j0, upwards: bool, nearest: bool) -> tuple[list[int], list]:
@@ -524,19 +547,19 @@ def _leaks_of_block(docs: DataFrame, items: Items, n_docs: int, rules: LeakRules
         for b in (x for whole in batches for x in slices(whole, 1)):
             code, owner, _ = letters(_texts(b.column(1)))
             at, j = known.value.hits(grams(code, owner, SEED))
-            df += np.bincount(np.unique(owner[at].astype(np.int64) * len(df) + j) % len(df), minlength=len(df))
+            df += np.bincount(_distinct(owner[at].astype(np.int64) * len(df) + j) % len(df), minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["gram", "n"])
 
     totals = docs.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(known.value.values), np.int64)
     df[totals["gram"].to_numpy(np.int64)] = totals["n"].to_numpy(np.int64)
-    shared = sc.broadcast((items, GramSet(pick_seeds(items, known.value.values, df, n_docs, rules))))
+    shared = sc.broadcast((items, pick_seeds(items, known.value.values, df, n_docs, rules)))
 
     def search(batches):
         its, seeds = shared.value
         for b in (x for whole in batches for x in slices(whole, 1)):
-            found = find_leaks(b.column(0).to_numpy(), _texts(b.column(1)), its, seeds, rules)
+            found = find_leaks(b.column(0).to_numpy(), _texts(b.column(1)), its, known.value, seeds, rules)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["doc_id", "item_id", "n_words"])
 
     return docs.mapInArrow(search, "doc_id bigint, item_id bigint, n_words bigint")

@@ -116,6 +116,17 @@ def test_any_lines_between(spark, items):
     assert leaks(spark, docs, items) == {(3, 7), (10, 7), (40, 7), (400, 7), (1, 7)}
 
 
+def test_item_in_a_third_of_the_documents(spark, items):
+    words = passage(8, 45)[11:33]  # all its n-grams are frequent, and blocks at its ends have rarer ones
+    docs = []
+    for k in range(60):
+        lines = noise(1000 + k, 100)
+        if k % 3 == 0:
+            lines += [x for p in zip(wrap(words, 22, hyphenate=False), noise(1100 + k, 100)) for x in p]
+        docs.append((k, "\n".join(lines)))
+    assert leaks(spark, docs, items) == {(k, 8) for k in range(0, 60, 3)}
+
+
 def test_openings_are_shared_sentences(items):
     assert shared_openings([t for _, t, _ in items], LeakRules()) == {OPENING}
     its = Items([i for i, _, _ in items], [t for _, t, _ in items], LeakRules())
