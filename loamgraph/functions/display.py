@@ -7,7 +7,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from loamgraph.runtime import numbered
 
 #: Label properties in order, the colours of individuals, the colour of none.
 LABEL_PROPERTIES = ("dcterms:title", "foaf:name", "rdfs:label")
@@ -68,9 +69,8 @@ def group_options(df: DataFrame, group: Column, labels: DataFrame | None = None)
     """
     counts = df.groupBy(F.nullif(group.cast("string"), F.lit("")).alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
     named = counts.where("group_id is not null")
-    order = W.Window.orderBy("group_id")
     colours = F.array(*[F.lit(c) for c in COLOURS])
-    named = named.withColumn("colour", F.element_at(colours, (F.row_number().over(order) - 1) % len(COLOURS) + 1))
+    named = numbered(named, ["group_id"], "__rank").withColumn("colour", F.element_at(colours, ((F.col("__rank") - 1) % len(COLOURS) + 1).cast("int"))).drop("__rank")
     if labels is not None:
         named = named.join(labels.select(F.col("_id").alias("group_id"), "label"), "group_id", "left")
     else:

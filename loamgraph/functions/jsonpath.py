@@ -6,7 +6,8 @@ import json
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from loamgraph.runtime import arrow_udf
 
 _STEP = re.compile(r"\.\.(?=[\w*@\[])|\.(?P<dot>[\w@:-]+|\*)|(?P<name>[\w@:-]+|\*)|\[(?P<inside>(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^\]'\"])*)\]")
 
@@ -82,4 +83,4 @@ def path_values(doc: Column, path: str) -> Column:
         except (ValueError, TypeError):
             return []
 
-    return F.udf(at, "array<string>")(doc)
+    return arrow_udf(at, "array<string>")(doc)

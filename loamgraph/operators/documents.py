@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from loamgraph.runtime import arrow_udf
+
 #: Types whose resources belong to the ontology, by QName and IRI.
 TBOX_TYPES = (
-    "owl:Class", "owl:ObjectProperty", "owl:DatatypeProperty", "owl:AnnotationProperty", "owl:FunctionalProperty", "owl:InverseFunctionalProperty",
-    "owl:TransitiveProperty", "owl:SymmetricProperty", "owl:Restriction", "owl:Ontology", "owl:AllDisjointClasses", "owl:AllDifferent",
-    "owl:DataRange", "owl:DeprecatedClass", "owl:DeprecatedProperty", "rdfs:Class", "rdfs:Datatype", "rdf:Property",
+    "owl:Class", "rdfs:Class", "rdfs:Datatype", "owl:ObjectProperty", "owl:DatatypeProperty", "owl:AnnotationProperty", "rdf:Property",
+    "owl:Ontology", "owl:Restriction", "owl:FunctionalProperty", "owl:InverseFunctionalProperty", "owl:AllDisjointClasses", "owl:AllDisjointProperties",
+    "owl:TransitiveProperty", "owl:SymmetricProperty", "owl:AsymmetricProperty", "owl:ReflexiveProperty", "owl:IrreflexiveProperty",
 )
 NAMESPACES = {"owl": "http://www.w3.org/2002/07/owl#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
 STATEMENT_KEYS = ("rdf:subject", "rdf:predicate", "rdf:object")
@@ -171,15 +173,14 @@ def merge_columns(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     return out.select([c for c in df.columns])
 
 
-def merge_json(df: DataFrame, id_col: str, doc: str, order: str) -> DataFrame:
-    """``fold`` of JSON texts per id; a resource's deliveries are few, its rows meet in one group."""
+def _folded(docs) -> str:
+    return json.dumps(fold([json.loads(d) for d in docs]), ensure_ascii=False, separators=(",", ":"))
 
-    def one(rows):
-        return json.dumps(fold([json.loads(r["d"]) for r in sorted(rows, key=lambda r: r["o"])]), ensure_ascii=False, separators=(",", ":"))
 
-    merge = F.udf(one, "string")
-    g = df.groupBy(id_col).agg(F.collect_list(F.struct(F.col(order).cast("string").alias("o"), F.col(doc).alias("d"))).alias("rows"))
-    return g.select(id_col, F.when(F.size("rows") == 1, F.col("rows")[0]["d"]).otherwise(merge("rows")).alias(doc))
+def merge_json(df: DataFrame, id_col: str, doc: str, order: str) -> DataFrame:
+    """``fold`` of JSON texts per id, in ascending ``order``; a resource's deliveries are few, its rows meet in one group."""
+    g = df.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(doc).alias("d"))))["d"].alias("docs"))
+    return g.select(id_col, F.when(F.size("docs") == 1, F.get("docs", F.lit(0))).otherwise(arrow_udf(_folded, "string")(F.col("docs"))).alias(doc))
 
 
 def upsert(old: DataFrame, new: DataFrame, id_col: str = "_id", merge: bool = False, first_wins: tuple[str, ...] = ()) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from loamgraph.runtime import materialize
+from loamgraph.runtime import materialize, numbered
 
-#: Rounds after which a closure that still grows is refused; cycles end by themselves.
-MAX_ROUNDS = 200
+#: Rounds after which a closure that still grows is refused: paths of 2**40 edges.
+MAX_ROUNDS = 40
+#: Levels after which a depth that still grows is searched for cycles.
+CYCLE_CHECK = 8
 
 
 def _edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -19,41 +22,70 @@ def _edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(node, ancestor, distance): every ancestor at its shortest distance; a node on a cycle is its own ancestor.
 
-    Semi-naive: each round joins only the pairs that are new, and a checkpoint cuts
-    the lineage. Rounds are as many as the hierarchy is deep.
+    Each round doubles the distances known: paths of just the greatest length so
+    far are continued by all known ones. Rounds are therefore the logarithm of the
+    depth, and a round writes only the pairs it found, never those known before.
     """
-    direct = materialize(_edges(edges, child, parent))
+    direct = _edges(edges, child, parent)
     known = materialize(direct.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     fresh = known
-    for distance in range(2, MAX_ROUNDS):
-        step = fresh.select("node", F.col("ancestor").alias("child")).join(direct, "child").select("node", F.col("parent").alias("ancestor")).distinct()
-        fresh = materialize(step.join(known, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
-        if fresh.isEmpty():
+    for k in range(MAX_ROUNDS):
+        longest = fresh.where(F.col("distance") == 1 << k)
+        if longest.isEmpty():
             return known
-        known = materialize(known.unionByName(fresh))
-    raise RuntimeError(f"the hierarchy is deeper than {MAX_ROUNDS}")
+        go_on = known.select(F.col("node").alias("via"), F.col("ancestor").alias("end"), F.col("distance").alias("more"))
+        step = longest.join(go_on, longest["ancestor"] == go_on["via"]).groupBy("node", F.col("end").alias("ancestor")).agg((F.min("more") + (1 << k)).alias("distance"))
+        fresh = materialize(step.join(known, ["node", "ancestor"], "left_anti"))
+        known = known.unionByName(fresh)
+    raise RuntimeError(f"the hierarchy is deeper than 2**{MAX_ROUNDS}")
+
+
+def cycles(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, component): the nodes that reach themselves, named by the least node of their cycle."""
+    up = materialize(closure(edges, child, parent).select("node", "ancestor"))
+    looped = up.where("node = ancestor").select("node")
+    inside = up.join(looped, "node", "left_semi").join(looped.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi")
+    back = inside.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
+    return inside.join(back, ["node", "ancestor"], "left_semi").groupBy("node").agg(F.min("ancestor").alias("component"))
 
 
 def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, depth): the longest path up to a root, where roots have 0; nodes on cycles count each node once.
+    """(node, depth): the longest path up to a root, where roots have 0.
 
-    Rounds push the depth down one level at a time, as far as the number of
-    ancestors allows, so cycles end.
+    A cycle counts as one node: all its nodes are one below the deepest parent
+    outside it, at 0 if there is none. Rounds push the depth down one level at a
+    time; only if levels do not end soon, or leave nodes out, are cycles sought
+    (``cycles``) and drawn together.
     """
     direct = materialize(_edges(edges, child, parent))
     nodes = direct.select(F.col("child").alias("node")).union(direct.select("parent")).distinct()
-    roots = nodes.join(direct.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0))
-    parts = [materialize(roots)]
-    for depth in range(1, MAX_ROUNDS):
-        level = parts[-1].select(F.col("node").alias("parent")).join(direct, "parent").select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(depth))
+    found = _levels(direct, nodes, CYCLE_CHECK)
+    if found is not None and nodes.join(found, "node", "left_anti").isEmpty():
+        return found
+    component = materialize(cycles(direct))
+    drawn = _drawn(_drawn(direct, component, "child"), component, "parent").where("child <> parent").distinct()
+    heads = _drawn(nodes, component, "node").distinct()
+    found = _levels(materialize(drawn), heads, None)
+    named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return named.join(found.withColumnRenamed("node", "component"), "component").select("node", "depth")
+
+
+def _drawn(df: DataFrame, component: DataFrame, name: str) -> DataFrame:
+    """``df`` with the nodes of a column replaced by their component."""
+    c = component.select(F.col("node").alias("__node"), "component")
+    return df.join(c, F.col(name) == F.col("__node"), "left").withColumn(name, F.coalesce("component", name)).drop("__node", "component")
+
+
+def _levels(direct: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame | None:
+    """(node, depth) of all nodes below a root; None if there are more than ``most`` levels."""
+    parts = [materialize(nodes.join(direct.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))]
+    while most is None or len(parts) <= most:
+        level = parts[-1].select(F.col("node").alias("parent")).join(direct, "parent").select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(len(parts)))
         level = materialize(level)
         if level.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.max("depth").alias("depth"))
         parts.append(level)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return nodes.join(out.groupBy("node").agg(F.max("depth").alias("depth")), "node", "left").na.fill(0, ["depth"])
+    return None
 
 
 def direct_parents(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -90,8 +122,8 @@ def types_by_specificity(rows: DataFrame, id_col: str, type_col: str, depth: Dat
 
 def class_order(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(node, depth, rank): parents before children, then by name; blank nodes last."""
-    w = W.Window.orderBy(F.col("node").startswith("_:"), "depth", "node")
-    return depths(edges, child, parent).withColumn("rank", F.row_number().over(w))
+    d = depths(edges, child, parent).withColumn("__blank", F.col("node").startswith("_:"))
+    return numbered(d, ["__blank", "depth", "node"], "rank").drop("__blank")
 
 
 def merge_schemas(base, other):

@@ -6,6 +6,7 @@ only, under a declared match rule:
 
 ``simple``   a reference with any null column refers to nothing and is never an orphan;
 ``full``     all null refers to nothing, partly null is an orphan by itself;
+``exact``    all null refers to nothing, otherwise a null agrees with a null only;
 ``partial``  all null refers to nothing, otherwise some key must agree in the non-null columns.
 """
 
@@ -15,22 +16,25 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from loamgraph.operators.ids import qname, read_context, split_qname
 from loamgraph.runtime import join_checked, materialize, table
 
-MATCHES = ("simple", "full", "partial")
+MATCHES = ("simple", "full", "exact", "partial")
 
 
 def resolve_references(refs: DataFrame, ref_cols: list[str], keys: DataFrame, key_cols: list[str], match: str = "full", facts: dict | None = None) -> DataFrame:
     """``refs`` plus ``found`` (null where the tuple refers to nothing) and the aggregated ``facts`` of its keys.
 
     ``facts`` maps an output name to an aggregate over ``keys`` (for example the
-    least load time). Nulls follow ``match``; repeated keys are one key; repeated
-    reference rows are kept; empty tables give no matches or no rows. Columns of
-    ``keys`` never reach the output except through ``facts``, so names may clash.
-    A mask that no row has costs one empty join, as masks come from the number of
-    columns and not from the data.
+    least load time). Per mask the orphans are those that an anti-join on its
+    non-null columns leaves; the others take their facts from the keys they meet.
+    Nulls follow ``match``; repeated keys are one key; repeated reference rows are
+    kept; empty tables give no matches or no rows. Columns of ``keys`` never reach
+    the output except through ``facts``, so names may clash. A mask that no row has
+    costs empty joins, as masks come from the number of columns and not from the
+    data; ``refs`` and ``keys`` are read once a mask, so give tables.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}, not {match!r}")
@@ -40,7 +44,7 @@ def resolve_references(refs: DataFrame, ref_cols: list[str], keys: DataFrame, ke
     n, everything = len(ref_cols), (1 << len(ref_cols)) - 1
     mask = reduce(lambda a, b: a + b, [F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(ref_cols)])
     marked = refs.withColumn("__mask", mask)
-    parts = []
+    parts, types = [], None
     for m in range(1 << n):
         rows = marked.where(F.col("__mask") == m).drop("__mask")
         use = [i for i in range(n) if not m >> i & 1]
@@ -50,12 +54,16 @@ def resolve_references(refs: DataFrame, ref_cols: list[str], keys: DataFrame, ke
             parts.append((rows, False))
         else:
             known = [f"__k{i}" for i in use]
-            side = keys.select([F.col(f"`{key_cols[i]}`").alias(f"__k{i}") for i in use] + [F.col(f"`{c}`").alias(f"__f_{c}") for c in _inputs(keys, facts)])
-            side = side.dropna(subset=known).groupBy(*known).agg(F.lit(True).alias("found"), *[a(side, "__f_").alias(k) for k, a in facts.items()])
+            side = keys
+            for i in range(n):
+                if match != "partial" or i in use:
+                    side = side.where(F.col(f"`{key_cols[i]}`").isNotNull() if i in use else F.col(f"`{key_cols[i]}`").isNull())
+            side = side.select([F.col(f"`{key_cols[i]}`").alias(f"__k{i}") for i in use] + [F.col(f"`{c}`").alias(f"__f_{c}") for c in _inputs(facts)])
+            side = side.groupBy(*known).agg(F.lit(True).alias("found"), *[a(side, "__f_").alias(k) for k, a in facts.items()])
             cond = reduce(lambda a, b: a & b, [rows[f"`{ref_cols[i]}`"] == side[f"__k{i}"] for i in use])
-            parts.append((rows.join(side, cond, "left").drop(*known).withColumn("found", F.coalesce("found", F.lit(False))), True))
-    template = next(p for p, kind in parts if kind is True)
-    types = dict(template.dtypes)
+            met = rows.join(side, cond).drop(*known)
+            types = dict(met.dtypes)
+            parts += [(met, True), (rows.join(side, cond, "left_anti"), False)]
     out = []
     for p, kind in parts:
         if kind is not True:
@@ -66,7 +74,7 @@ def resolve_references(refs: DataFrame, ref_cols: list[str], keys: DataFrame, ke
     return reduce(DataFrame.unionByName, out)
 
 
-def _inputs(keys: DataFrame, facts: dict) -> list[str]:
+def _inputs(facts: dict) -> list[str]:
     return sorted({c for a in facts.values() for c in a.reads})
 
 
@@ -108,40 +116,28 @@ _FACTS = {"first_loaded": fact(F.min, "first_loaded"), "deleted_at": fact(F.min,
 def orphan_references(reports: DataFrame, imports: DataFrame, individuals: DataFrame, observations: DataFrame, context: DataFrame) -> DataFrame:
     """Every reference of reports and import errors that was not there at its time.
 
-    The heavy side is never joined on its (skewed) target: distinct written forms
-    are counted map-side first and resolved; only forms that can be an orphan at
-    some delivery are carried back to the rows. Null, blank and 'unknown' targets
-    are no references. Empty tables give missing references or none.
+    An id is a prefix and a local part; an id without a prefix is a whole id too, so
+    nulls agree with nulls only (``exact``). The heavy side is never joined on its
+    (skewed) target beyond a lookup of written forms: distinct forms are resolved
+    first, and the reports are then brought together once, by record id, which gives
+    each record its first load, its doubtful references and whether an import error
+    names it. Null, blank and 'unknown' targets are no references. Empty tables give
+    missing references or none.
     """
     ctx = read_context(context)
     reports = reports.select("_id", "bold_animal", F.col("loaded_at").cast("timestamp").alias("loaded_at"))
 
-    # Reports: resolve distinct written forms, with the time range of their rows.
-    forms = reports.where("bold_animal is not null").groupBy("bold_animal").agg(F.min("loaded_at").alias("least"), F.max("loaded_at").alias("most"))
+    # Distinct written forms, and the reasons that any delivery of them could have.
+    forms = reports.where("bold_animal is not null").groupBy("bold_animal").agg(F.min("loaded_at").alias("least"))
     forms = forms.withColumn("target_id", qname(F.col("bold_animal"), ctx)).where("length(target_id) > 0")
     ns, local = split_qname(F.col("target_id"))
-    forms = materialize(forms.withColumns({"ns": ns, "local": local}))  # every null mask reads it
+    forms = materialize(forms.withColumns({"ns": ns, "local": local, "form": F.monotonically_increasing_id()}))  # every null mask reads it
     people = materialize(_records(individuals, ctx, True))
-    resolved = resolve_references(forms, ["ns", "local"], people, ["ns", "local"], "full", _FACTS)
-    resolved = resolved.withColumn("found", F.coalesce("found", F.lit(False)))
-    suspect = resolved.where(~F.col("found") | (F.col("first_loaded") > F.col("least")) | (F.col("deleted_at") <= F.col("most")))
-    suspect = materialize(suspect.select("bold_animal", "target_id", "found", "first_loaded", "deleted_at"))
-
-    # One exchange by record id serves both the reports' own times and the lookups of import errors.
-    times = reports.groupBy("_id").agg(F.min("loaded_at").alias("first_seen"))
-    doubtful = join_checked(reports, suspect, ["bold_animal"])
-    doubtful = doubtful.where(~F.col("found") | (F.col("first_loaded") > F.col("loaded_at")) | (F.col("deleted_at") <= F.col("loaded_at")))
-    from_reports = (
-        doubtful.drop("loaded_at", "bold_animal")
-        .join(times, "_id")
-        .select(
-            F.lit("tracking_report").alias("ref_table"),
-            F.col("_id").alias("record_id"),
-            "target_id",
-            F.explode(_reasons(F.col("found"), F.col("first_loaded"), F.col("deleted_at"), F.col("first_seen"))).alias("reason"),
-            F.date_format("first_seen", "yyyy-MM").alias("ref_month"),
-        )
-    )
+    resolved = resolve_references(forms, ["ns", "local"], people, ["ns", "local"], "exact", _FACTS).where("found is not null")
+    # A record's first load may be earlier than the delivery that names the target.
+    earliest = forms.agg(F.min("least")).first()[0]
+    suspect = resolved.where(~F.col("found") | (F.col("first_loaded") > F.lit(earliest)) | F.col("deleted_at").isNotNull())
+    suspect = materialize(suspect.select("bold_animal", "form", "target_id", "found", "first_loaded", "deleted_at"))
 
     # Import errors: few runs with lists of very different length.
     runs = imports.select("run_id", F.col("finished_at").cast("timestamp").alias("finished_at"), "errors")
@@ -150,15 +146,33 @@ def orphan_references(reports: DataFrame, imports: DataFrame, individuals: DataF
     wanted = wanted.where("length(target_id) > 0 and target_id <> 'unknown'").distinct().join(first, "run_id")
     ns, local = split_qname(F.col("target_id"))
     wanted = materialize(wanted.withColumns({"ns": ns, "local": local}))
-    ids = times.select(F.col("_id").alias("id"), F.col("first_seen").alias("first_loaded"), F.lit(None).cast("timestamp").alias("deleted_at"))
-    ns, local = split_qname(qname(F.col("id"), ctx))
-    known = ids.select(ns.alias("ns"), local.alias("local"), "first_loaded", "deleted_at").unionByName(people).unionByName(_records(observations, ctx, False))
-    looked = resolve_references(wanted, ["ns", "local"], known, ["ns", "local"], "full", _FACTS)
-    from_imports = looked.select(
+    named = materialize(wanted.select(F.col("target_id").alias("__named"), F.lit(True).alias("named")).distinct())
+
+    # One exchange by record id; what travels is an id, a time and the number of a form.
+    rows = join_checked(reports, suspect.select("bold_animal", "form"), ["bold_animal"], "left").select("_id", "loaded_at", "form")
+    record = W.Window.partitionBy("_id")
+    rows = rows.where("_id is not null").withColumn("first_seen", F.min("loaded_at").over(record)).withColumn("id", qname(F.col("_id"), ctx))
+    rows = join_checked(rows, named, F.col("id") == F.col("__named"), "left").where("form is not null or named")
+    rows = materialize(rows.dropDuplicates(["_id", "form"]).select("_id", "id", "form", "first_seen", "named"))
+
+    doubtful = join_checked(rows.where("form is not null"), suspect.drop("bold_animal"), ["form"])
+    from_reports = doubtful.select(
+        F.lit("tracking_report").alias("ref_table"),
+        F.col("_id").alias("record_id"),
+        "target_id",
+        F.explode(_reasons(F.col("found"), F.col("first_loaded"), F.col("deleted_at"), F.col("first_seen"))).alias("reason"),
+        F.date_format("first_seen", "yyyy-MM").alias("ref_month"),
+    )
+
+    ns, local = split_qname(F.col("id"))
+    known = rows.where("named").select(ns.alias("ns"), local.alias("local"), F.col("first_seen").alias("first_loaded"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    known = known.unionByName(people).unionByName(_records(observations, ctx, False))
+    looked = resolve_references(wanted, ["ns", "local"], known, ["ns", "local"], "exact", _FACTS)
+    from_imports = looked.where("found is not null").select(
         F.lit("import_result").alias("ref_table"),
         F.col("run_id").alias("record_id"),
         "target_id",
-        F.explode(_reasons(F.coalesce("found", F.lit(False)), F.col("first_loaded"), F.col("deleted_at"), F.col("finished_at"))).alias("reason"),
+        F.explode(_reasons(F.col("found"), F.col("first_loaded"), F.col("deleted_at"), F.col("finished_at"))).alias("reason"),
         F.date_format("finished_at", "yyyy-MM").alias("ref_month"),
     )
     return from_reports.distinct().unionByName(from_imports.distinct())

@@ -7,7 +7,6 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from loamgraph.operators.ids import let
 
@@ -202,8 +201,3 @@ def _is_statement(value) -> bool:
 
 def strip_statements_text(text: str | None) -> str | None:
     return None if text is None else json.dumps(strip_embedded_statements(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-
-
-def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = W.Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

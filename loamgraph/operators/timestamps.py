@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.zones import ABBREVIATIONS, wall_to_utc, zone_version
+from loamgraph.functions.zones import ABBREVIATIONS, wall_to_utc, zone_files, zone_version
 from loamgraph.runtime import table
 
 #: English month names, by their first three letters.
@@ -25,7 +26,8 @@ MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct no
 _FULL = "january february march april may june july august september october november december".split()
 _WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 
-_CLASSES = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
+#: Letters up to which a mask's parser is kept; longer masks are parsed anew.
+KEPT_MASK = 200
 
 _DATE = (
     r"(?:(?P<y>9999)-(?P<m>99?)-(?P<d>99?)"
@@ -41,51 +43,83 @@ _ZONE = r"(?: ?(?P<ap>aa)(?= |$))?(?: ?(?P<z>a{1,5})| ?(?P<sign>[+-])(?P<oh>99):
 _GRAMMAR = re.compile(rf"{_DATE}(?:{_TIME}{_ZONE})?")
 
 
-def clean(value: str) -> str:
+_CLASS_OF = (("[0-9]", "9"), ("[A-Za-z]", "a"))
+
+
+def clean(values: pa.Array) -> pa.Array:
     """Compatibility forms (full-width digits) made plain, outer blanks and a value object's wrapping off."""
-    s = unicodedata.normalize("NFKC", value).strip().strip("﻿​").strip()
-    if s[:1] == "{":
-        try:
-            inner = json.loads(s).get("@value")
-        except (ValueError, AttributeError, RecursionError):
-            return s
-        s = str(inner).strip() if isinstance(inner, (str, int)) and not isinstance(inner, bool) else ""
-    return s
+    plain = _trimmed(pc.utf8_normalize(values, form="NFKC"))
+    objects = np.flatnonzero(pc.starts_with(plain, "{").to_numpy(zero_copy_only=False))
+    if len(objects):
+        inner = pa.array([_inner(x) for x in plain.take(pa.array(objects)).to_pylist()], pa.string())
+        mask = np.zeros(len(plain), bool)
+        mask[objects] = True
+        plain = pc.replace_with_mask(plain, pa.array(mask), inner)
+    return plain
+
+
+def _trimmed(values: pa.Array) -> pa.Array:
+    return pc.utf8_trim_whitespace(pc.utf8_trim(pc.utf8_trim_whitespace(values), characters="\ufeff\u200b"))
 
 
-def mask_of(value: str) -> str:
-    return value.translate(_CLASSES)
+def _inner(text: str) -> str:
+    """What a value object holds; other objects are left as they are."""
+    try:
+        inner = json.loads(text).get("@value")
+    except (ValueError, AttributeError, RecursionError):
+        return text
+    return str(inner).strip() if isinstance(inner, (str, int)) and not isinstance(inner, bool) else ""
+
+
+def masks_of(values: pa.Array) -> pa.Array:
+    """The character classes of each value, place by place."""
+    for pattern, letter in _CLASS_OF:
+        values = pc.replace_substring_regex(values, pattern, letter)
+    return values
 
 
 @lru_cache(maxsize=20_000)
+def _kept_parser(mask: str):
+    return _parser(mask)
+
+
 def parser_of(mask: str):
     """The spans of the fields in values of this mask; a scale for bare epochs; None if it names no instant."""
+    return _kept_parser(mask) if len(mask) <= KEPT_MASK else _parser(mask)
+
+
+def _parser(mask: str):
     if set(mask) == {"9"} and len(mask) != 8:
         return {10: 1000.0, 13: 1.0, 16: 0.001}.get(len(mask))
     m = _GRAMMAR.fullmatch(mask)
     return {k: m.span(k) for k, v in m.groupdict().items() if v is not None} if m else None
 
 
-def to_utc_ms(values: list[str], zones: np.ndarray, day_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(utc milliseconds, whether each value names an instant, masks) of cleaned values."""
+def to_utc_ms(values: pa.Array, zones: np.ndarray, day_first: np.ndarray, files: dict[str, bytes] | None = None):
+    """(utc milliseconds, whether each value names an instant, whether it is a date alone, masks) of cleaned values.
+
+    ``zones`` holds names ('' for none), ``day_first`` 1, 0 or NaN where it is not known.
+    """
     n = len(values)
-    out, good = np.zeros(n, np.int64), np.zeros(n, bool)
-    masks = [mask_of(v) for v in values]
-    by: dict[str, list[int]] = {}
-    for i, m in enumerate(masks):
-        by.setdefault(m, []).append(i)
-    for mask, at in by.items():
-        plan = parser_of(mask) if len(mask) <= 80 else None
+    out, good, bare = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    masks = masks_of(values)
+    coded = masks.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    cuts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    for k, mask in enumerate(coded.dictionary.to_pylist()):
+        plan = parser_of(mask)
         if plan is None:
             continue
-        at = np.array(at)
-        chars = np.array([values[i] for i in at], dtype=f"U{len(mask)}").view(np.uint32).reshape(len(at), len(mask))
+        at = order[cuts[k] : cuts[k + 1]]
+        chars = np.frombuffer("".join(values.take(pa.array(at)).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), len(mask))
         if isinstance(plan, float):
             number = _number(chars, 0, len(mask))
             out[at], good[at] = (number * int(plan) if plan >= 1 else number // 1000), True
             continue
-        out[at], good[at] = _convert(plan, chars, zones[at], day_first[at])
-    return out, good, masks
+        out[at], good[at] = _convert(plan, chars, zones[at], day_first[at], files)
+        bare[at] = not ("H" in plan or "H2" in plan)
+    return out, good, bare, masks
 
 
 def _number(chars: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -113,7 +147,7 @@ def _month(word: str) -> int:
     return k if k and (len(w) == 3 or w == "sept" or w == _FULL[k - 1]) else 0
 
 
-def _convert(plan: dict, chars: np.ndarray, zones: np.ndarray, day_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _convert(plan: dict, chars: np.ndarray, zones: np.ndarray, day_first: np.ndarray, files) -> tuple[np.ndarray, np.ndarray]:
     n = len(chars)
     get = lambda *names: next((_number(chars, *plan[k]) for k in names if k in plan), None)
     good = np.ones(n, bool)
@@ -126,8 +160,9 @@ def _convert(plan: dict, chars: np.ndarray, zones: np.ndarray, day_first: np.nda
             good &= _looked(chars, plan[k], lambda w: w.lower() in _WEEKDAYS or any(d[:3] == w.lower() for d in _WEEKDAYS)).astype(bool)
     if "p" in plan:
         p, q = get("p"), get("q")
-        first = np.array([bool(d) if d is not None else (a > 12) for d, a in zip(day_first, p)])
-        good &= np.array([d is not None or a > 12 or b > 12 for d, a, b in zip(day_first, p, q)], bool)
+        unknown = np.isnan(day_first)
+        first = np.where(unknown, p > 12, day_first > 0)
+        good &= ~unknown | (p > 12) | (q > 12)
         day, month = np.where(first, p, q), np.where(first, q, p)
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     length = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.where((month >= 1) & (month <= 12), month, 0)] + ((month == 2) & leap)
@@ -170,11 +205,11 @@ def _convert(plan: dict, chars: np.ndarray, zones: np.ndarray, day_first: np.nda
     if named:
         names, inverse = _words(chars, named)
     else:
-        names, inverse = np.unique(np.array([z or "" for z in zones], dtype=str), return_inverse=True)
+        inverse, names = pd.factorize(zones)
     out = np.zeros(n, np.int64)
     for k, name in enumerate(names):
         rows = inverse == k
-        utc = wall_to_utc(wall[rows], str(name)) if len(name) else None
+        utc = wall_to_utc(wall[rows], str(name), files) if len(name) else None
         if utc is None:
             good &= ~rows
         else:
@@ -182,32 +217,41 @@ def _convert(plan: dict, chars: np.ndarray, zones: np.ndarray, day_first: np.nda
     return out * 1000 + ms, good
 
 
-_OUT = "id string, prop string, utc_ms bigint, mask string, zone_version string"
+_OUT = "id string, prop string, utc_ms bigint, date_only boolean, mask string, zone_version string"
 
 
 def normalise_times(df: DataFrame, id_col: str, value_cols: dict[str, str], zone_col: str, day_first_col: str) -> DataFrame:
-    """(id, prop, utc_ms, mask, zone_version) for each non-null value; utc_ms is null where it names no instant.
+    """(id, prop, utc_ms, date_only, mask, zone_version) for each non-null value; utc_ms is null where it names no instant.
 
     ``value_cols`` maps a column to its name in ``prop``. A zone in the value wins
     over ``zone_col``; a null or unknown zone leaves zone-less values without an
     instant. Slashes follow ``day_first_col``; where that is null only dates that
-    read one way count. Null ids are kept as null; long values name nothing; ties
-    and repeated rows are kept; an empty table gives no rows.
+    read one way count. Null ids are kept as null; values of any length are read
+    whole, and their masks are reported up to ``KEPT_MASK`` letters; ties and repeated
+    rows are kept; an empty table gives no rows.
     """
     cols = list(value_cols)
-    slim = df.select(F.col(id_col).cast("string").alias("id"), F.col(zone_col).alias("zone"), F.col(day_first_col).cast("boolean").alias("day_first"), *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)])
+    slim = df.select(F.col(id_col).cast("string").alias("id"), F.col(zone_col).cast("string").alias("zone"), F.col(day_first_col).cast("boolean").alias("day_first"), *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)])
+    shared = df.sparkSession.sparkContext.broadcast((zone_files(), zone_version()))
 
     def convert(batches):
-        for pdf in batches:
-            ids, zones = pdf["id"].astype(object).to_numpy(), pdf["zone"].astype(object).where(pdf["zone"].notna(), None).to_numpy()
-            days = pdf["day_first"].astype(object).where(pdf["day_first"].notna(), None).to_numpy()
+        files, version = shared.value
+        for b in batches:
             for i, c in enumerate(cols):
-                there = np.flatnonzero(pdf[f"v{i}"].notna().to_numpy())
-                raw = pdf[f"v{i}"].astype(object).to_numpy()
-                utc, good, masks = to_utc_ms([clean(raw[k]) for k in there], zones[there], days[there])
-                yield pd.DataFrame({"id": ids[there], "prop": value_cols[c], "utc_ms": pd.Series(utc, dtype="Int64").where(pd.Series(good)), "mask": np.array([m[:200] for m in masks], dtype=object), "zone_version": zone_version()})
-
-    return slim.mapInPandas(convert, _OUT)
+                part = b.filter(pc.is_valid(b.column(f"v{i}")))
+                if not part.num_rows:
+                    continue
+                zones = np.array(pc.fill_null(part.column("zone").cast(pa.string()), "").to_pylist(), dtype=object)
+                days = pc.cast(part.column("day_first"), pa.float64()).to_numpy(zero_copy_only=False)
+                utc, good, bare, masks = to_utc_ms(clean(part.column(f"v{i}").cast(pa.string())), zones, days, files)
+                n = len(utc)
+                same = lambda v: pa.array([v] * n, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").cast(pa.string()), same(value_cols[c]), pa.array(utc, mask=~good), pa.array(bare & good), pc.utf8_slice_codeunits(masks, 0, KEPT_MASK), same(version)],
+                    ["id", "prop", "utc_ms", "date_only", "mask", "zone_version"],
+                )
+
+    return slim.mapInArrow(convert, _OUT)
 
 
 def publication_bounds(individuals: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from loamgraph.plans.selector import aggregate, find
 from loamgraph.runtime import BROADCAST_ROWS
 
 DEFAULT_ZONE = "America/Los_Angeles"
-DATE_ONLY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
 def day_cutoff_ms(now_ms: int, delay_days: float, zone: str = DEFAULT_ZONE) -> int | None:
@@ -37,7 +36,7 @@ def parse_bounds(individuals: DataFrame, id_col: str, start: str, end: str, zone
     """
     values = individuals.select(F.col(id_col).alias("id"), F.col(start).cast("string").alias("s"), F.col(end).cast("string").alias("e"), F.lit(zone).alias("z"), F.lit(None).cast("boolean").alias("o"))
     read = normalise_times(values, "id", {"s": "s", "e": "e"}, "z", "o").where("utc_ms is not null and length(id) > 0")
-    date = F.col("mask").rlike("^9999-99-99$")
+    date = F.col("date_only")
     next_day = F.unix_millis(F.to_utc_timestamp(F.date_add(F.from_utc_timestamp(F.timestamp_millis("utc_ms"), zone).cast("date"), 1).cast("timestamp"), zone))
     side = lambda p, v: F.max(F.when(F.col("prop") == p, v))
     return read.groupBy(F.col("id").alias("individual_id")).agg(
@@ -45,29 +44,39 @@ def parse_bounds(individuals: DataFrame, id_col: str, start: str, end: str, zone
     )
 
 
-def windowed(df: DataFrame, group: str, when: str, cutoff_ms: int | None = None, bounds: DataFrame | None = None, id_col: str = "_id") -> DataFrame:
+def windowed(df: DataFrame, group: str, when: str, cutoff_ms: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """The rows that may be shown.
 
     With a cutoff, rows at or before it (a null time never passes). With bounds, a
     row of a bounded individual must lie inside its bounds; rows that name no
     bounded individual pass. A row with several groups passes if any bounded one
-    admits it. Bounds up to ``BROADCAST_ROWS`` are broadcast, more are shuffled.
+    admits it. That depends on a row's groups and time only, so arrays are judged
+    once per distinct pair of these and every row gets the verdict of its own pair,
+    whatever its id; bounds of one individual given twice must both admit a row's
+    time to count. Bounds up to ``BROADCAST_ROWS`` are broadcast, more are shuffled.
     """
     out = df
     if cutoff_ms is not None:
         out = out.where(F.coalesce(F.col(when) <= F.lit(cutoff_ms), F.lit(False)))
     if bounds is None:
         return out
-    b = bounds.where("start_ms is not null or end_ms is not null or end_before_ms is not null").select(F.col("individual_id").alias("__who"), F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"), F.col("end_before_ms").alias("__x"))
+    b = bounds.where("individual_id is not null and (start_ms is not null or end_ms is not null or end_before_ms is not null)")
+    b = b.groupBy(F.col("individual_id").alias("__who")).agg(F.max("start_ms").alias("__s"), F.min("end_ms").alias("__e"), F.min("end_before_ms").alias("__x"))
     if b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         b = F.broadcast(b)
-    t = F.col(when)
-    inside = (F.col("__s").isNull() | (t >= F.col("__s"))) & (F.col("__e").isNull() | (t <= F.col("__e"))) & (F.col("__x").isNull() | (t < F.col("__x")))
-    inside = F.coalesce(inside, F.lit(False))
+
+    def inside(t):
+        held = (F.col("__s").isNull() | (t >= F.col("__s"))) & (F.col("__e").isNull() | (t <= F.col("__e"))) & (F.col("__x").isNull() | (t < F.col("__x")))
+        return F.coalesce(held, F.lit(False))
+
     if not isinstance(df.schema[group].dataType, T.ArrayType):
-        return out.join(b, F.col(group) == F.col("__who"), "left").where(F.col("__who").isNull() | inside).drop("__who", "__s", "__e", "__x")
-    verdict = out.select(id_col, when, F.explode(group).alias("__g")).join(b, F.col("__g") == F.col("__who")).groupBy(F.col(id_col).alias("__id")).agg(F.max(inside).alias("__ok"))
-    return out.join(verdict, F.col(id_col) == F.col("__id"), "left").where(F.coalesce("__ok", F.lit(True))).drop("__id", "__ok")
+        return out.join(b, F.col(group) == F.col("__who"), "left").where(F.col("__who").isNull() | inside(F.col(when))).drop("__who", "__s", "__e", "__x")
+    pairs = out.where(F.size(group) > 0).select(F.col(group).alias("__groups"), F.col(when).alias("__t")).distinct()
+    each = pairs.select("__groups", "__t", F.explode(F.array_distinct("__groups")).alias("__g"))
+    verdict = each.join(b, F.col("__g") == F.col("__who")).groupBy("__groups", "__t").agg(F.max(inside(F.col("__t"))).alias("__ok"))
+    judged = out.join(verdict, F.col(group).eqNullSafe(F.col("__groups")) & F.col(when).eqNullSafe(F.col("__t")), "left")
+    # Only rows that name no bounded individual have no verdict.
+    return judged.where(F.coalesce("__ok", F.lit(True))).drop("__groups", "__t", "__ok")
 
 
 @dataclass

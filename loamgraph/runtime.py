@@ -1,4 +1,4 @@
-"""Session helpers shared by all operators: materialising, size checks, salting."""
+"""Session helpers shared by all operators: materialising, size checks, numbering."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-#: Rows up to which a narrow key table is broadcast (about 60 bytes a row, 12 MB).
+#: Rows and bytes up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; a temporary folder only where none is named."""
+    """Uses the cluster's spark.checkpoint.dir; a temporary folder only on one machine, where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(_named_folder(spark) or tempfile.mkdtemp(prefix="loamgraph-checkpoint-"))
+    folder = _named_folder(spark)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loamgraph-checkpoint-"))
 
 
 def _named_folder(spark: SparkSession) -> str | None:
@@ -36,21 +43,59 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with 1, 2, ... in ``order``, in as many tasks as a shuffle has.
 
+    Rows are sorted by ranges; only the sizes of the ranges are brought together,
+    so no task sorts or numbers them all, as a window without partitions would.
+    Ties have any order among themselves.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    low = (1 << 33) - 1
+    placed = ranges.withColumns({"__id": F.monotonically_increasing_id()})
+    placed = materialize(placed.withColumns({"__range": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND(F.lit(low).cast("bigint"))}).drop("__id"))
+    sizes = placed.groupBy("__range").count()
+    before = W.Window.orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    out = placed.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    return out.withColumn(name, F.col("__start") + F.col("__row") + 1).drop("__range", "__row", "__r", "__start")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, nbytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table may be broadcast: at most so many rows and bytes."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        text = isinstance(f.dataType, (T.StringType, T.BinaryType))
+        wide = F.octet_length(f"`{f.name}`") if text else F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.lit(0)
+        size = size + F.coalesce(wide, F.lit(0)) + 16
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and total <= nbytes
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a materialised ``right``: broadcast if it is ``small``, else shuffled.
 
-def salt(n: int, *cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    Beyond the bound AQE splits skewed partitions of the shuffled join.
+    """
+    return left.join(F.broadcast(right) if small(right, bound) else right, on, how)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins a materialised ``right``: broadcast up to ``bound`` rows, else shuffled.
+def arrow_udf(fn, kind: str):
+    """``fn`` of one value (or of several columns' values) as a function of columns that runs over Arrow batches."""
 
-    Beyond the bound AQE splits skewed partitions of the shuffled join.
-    """
-    n = right.limit(bound + 1).count()
-    return left.join(F.broadcast(right) if n <= bound else right, on, how)
+    def run(*columns):
+        return pd.Series([fn(*row) for row in zip(*columns)], dtype=object)
+
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    for f in (one, two):
+        f.__annotations__ = {k: pd.Series for k in f.__annotations__}
+    single, double = F.pandas_udf(one, kind), F.pandas_udf(two, kind)
+    return lambda *columns: single(*columns) if len(columns) == 1 else double(*columns)
 
 
 _SHIPPED: set[str] = set()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-from pathlib import Path
+from functools import reduce
+from itertools import chain, islice
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loamgraph.operators.documents import NAMESPACES, Routing, both_forms, deep_merge, fold
+from loamgraph.operators.documents import NAMESPACES, STATEMENT_KEYS, Routing, both_forms, deep_merge
+from loamgraph.runtime import arrow_udf, materialize
+from loamgraph.sources.files import Files, written
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 DEFAULT_CONTEXT = {**NAMESPACES, "xsd": XSD, "_id": "@id"}
@@ -180,6 +182,9 @@ def context_and_resources(data) -> tuple[dict, list[dict]]:
 
 
 RESOURCE_SCHEMA = "collection string, _id string, types array<string>, partitions array<string>, doc string, error string"
+ROW_SCHEMA = "delivery int, position bigint, kind string, value string, partitions array<string>"
+#: Terms that the ontology may add to a context, which is a document of the driver.
+MAX_TERMS = 200_000
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -187,42 +192,99 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def import_data(spark: SparkSession, data, context: dict | None = None, routing: Routing = Routing(), add_partitions: bool = False, before_save=None) -> tuple[DataFrame, dict]:
-    """(resources, context): a document normalised, merged by id and routed; errors stay as rows with ``error`` set.
-
-    The context and the ontology are settled first and then frozen, so the result
-    does not depend on the order of resources.
-    """
-    found, resources = context_and_resources(data)
-    ctx = merge_contexts({**DEFAULT_CONTEXT, **(context or {})}, found)
-    leading: list[str] = []
+def _rows_of(data, delivery: int) -> list[tuple]:
+    """The context and the resources of a document as rows; leading ontologies are the partitions of the others."""
+    context, resources = context_and_resources(data)
+    leading = []
     for r in resources:
         if "owl:Ontology" not in listed(r.get("@type")):
             break
         leading.append(r.get("@id") or r.get("_id"))
-    for r in resources:
-        if set(listed(r.get("@type"))) & set(both_forms(("owl:ObjectProperty", "owl:DatatypeProperty", "owl:AnnotationProperty", "rdf:Property"))) and isinstance(r.get("@id") or r.get("_id"), str):
-            name, term = compact_name(expand_name(r.get("@id") or r.get("_id"), ctx), ctx), property_term(r)
-            if term and not isinstance(ctx.get(name), str):
-                ctx[name] = {**term, **(ctx.get(name) or {})}
-    ctx = sort_context(ctx)
-    rows = spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in resources], "value string")
-    return normalise(rows, ctx, routing, leading if add_partitions else [], before_save), ctx
+    rows = [(delivery, -1, "context", json.dumps(context, ensure_ascii=False), [])] if context else []
+    return rows + [(delivery, k, "resource", json.dumps(r, ensure_ascii=False), leading) for k, r in enumerate(resources)]
 
 
-def normalise(rows: DataFrame, context: dict, routing: Routing = Routing(), partitions: list[str] = (), before_save=None) -> DataFrame:
-    """Rows of JSON text made resources: expanded and compacted in batches, merged by id, routed by expression."""
+def read_resources(documents: DataFrame) -> DataFrame:
+    """``ROW_SCHEMA`` rows of documents (delivery, value), parsed where they are; a document that is no JSON is one row of kind error."""
+
+    def parse(batches):
+        for pdf in batches:
+            rows = []
+            for delivery, text in zip(pdf["delivery"], pdf["value"]):
+                try:
+                    rows += _rows_of(json.loads(text), int(delivery))
+                except (ValueError, RecursionError) as e:
+                    rows.append((int(delivery), -1, "error", str(e)[:500], []))
+            yield pd.DataFrame(rows, columns=["delivery", "position", "kind", "value", "partitions"])
+
+    return documents.select("delivery", "value").mapInPandas(parse, ROW_SCHEMA)
+
+
+def settle_context(rows: DataFrame, context: dict) -> tuple[dict, dict[int, str]]:
+    """(context, deliveries that can not be merged into it and why): all contexts in order, then the terms of the ontology's properties.
+
+    Only contexts and terms come to the driver, at most ``MAX_TERMS``.
+    """
+    ctx, refused = dict(context), {}
+    for r in rows.where("kind <> 'resource'").orderBy("delivery").collect():
+        try:
+            if r["kind"] == "error":
+                raise ValueError(r["value"])
+            ctx = merge_contexts(ctx, json.loads(r["value"]))
+        except ValueError as e:
+            refused[r["delivery"]] = str(e)
+    kinds = set(both_forms(PROPERTY_TYPES))
+
+    def terms(batches):
+        for pdf in batches:
+            out = []
+            for delivery, position, text in zip(pdf["delivery"], pdf["position"], pdf["value"]):
+                r = json.loads(text)
+                if set(map(str, listed(r.get("@type")))) & kinds and isinstance(r.get("@id") or r.get("_id"), str) and (term := property_term(r)):
+                    out.append((delivery, position, r.get("@id") or r.get("_id"), json.dumps(term)))
+            yield pd.DataFrame(out, columns=["delivery", "position", "id", "term"])
+
+    likely = rows.where("kind = 'resource'").where(F.col("value").contains("Property"))
+    found = likely.select("delivery", "position", "value").mapInPandas(terms, "delivery int, position bigint, id string, term string").limit(MAX_TERMS + 1).collect()
+    if len(found) > MAX_TERMS:
+        raise ValueError(f"the ontology has more than {MAX_TERMS} terms")
+    for r in sorted(found):
+        if r["delivery"] not in refused:
+            name = compact_name(expand_name(r["id"], ctx), ctx)
+            if not isinstance(ctx.get(name), str):
+                ctx[name] = {**json.loads(r["term"]), **(ctx.get(name) or {})}
+    return sort_context(ctx), refused
+
+
+def import_data(spark: SparkSession, data, context: dict | None = None, routing: Routing = Routing(), add_partitions: bool = False, before_save=None, stored: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """(resources, context) of one document that the caller holds; see ``import_rows``."""
+    rows = spark.createDataFrame(_rows_of(data, 0), ROW_SCHEMA)
+    ctx, refused = settle_context(rows, {**DEFAULT_CONTEXT, **(context or {})})
+    if refused:
+        raise ValueError(next(iter(refused.values())))
+    return normalise(rows, ctx, routing, add_partitions, before_save, stored), ctx
+
+
+def normalise(rows: DataFrame, context: dict, routing: Routing = Routing(), add_partitions: bool = False, before_save=None, stored: DataFrame | None = None) -> DataFrame:
+    """``ROW_SCHEMA`` rows made resources: expanded and compacted in batches, routed, and joined by collection and id.
+
+    Errors stay as rows with ``error`` set. Deliveries of one resource take effect
+    in order of (delivery, position): in the ontology and among statements they
+    merge, elsewhere the last replaces those before it. A resource without types
+    belongs to the ontology if its id stands there, in this import or in ``stored``.
+    The context is settled before, so it does not depend on that order.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(context)
 
-    def one(text: str):
+    def one(text: str, partitions):
         try:
             doc = compact(expand(json.loads(text), shared.value), shared.value, "_id")
             if not isinstance(doc.get("_id"), str) or not doc["_id"]:
                 return None, None, None, text, "a resource needs an id"
             doc["@type"] = listed(doc.get("@type"))
-            if all(k in doc for k in ("rdf:subject", "rdf:predicate", "rdf:object")) and "rdf:Statement" not in doc["@type"]:
+            if all(k in doc for k in STATEMENT_KEYS) and "rdf:Statement" not in doc["@type"]:
                 doc["@type"].append("rdf:Statement")
-            if partitions and "owl:Ontology" not in doc["@type"]:
+            if len(partitions) and "owl:Ontology" not in doc["@type"]:
                 doc["dcterms:isPartOf"] = list(dict.fromkeys([*(p.get("@id", p) if isinstance(p, dict) else p for p in listed(doc.get("dcterms:isPartOf"))), *partitions]))
             doc = before_save(doc) if before_save else doc
             if not doc:
@@ -232,20 +294,54 @@ def normalise(rows: DataFrame, context: dict, routing: Routing = Routing(), part
         except (ValueError, TypeError, AttributeError, KeyError) as e:
             return None, None, None, text, f"{type(e).__name__}: {e}"[:500]
 
-    import pandas as pd
-
     def batch(batches):
         for pdf in batches:
-            out = [x for t in pdf["value"] if (x := one(t)) is not None]
-            yield pd.DataFrame(out, columns=["_id", "types", "partitions", "doc", "error"], dtype=object)
+            out = [(d, p, *x) for d, p, t, parts in zip(pdf["delivery"], pdf["position"], pdf["value"], pdf["partitions"]) if (x := one(t, parts if add_partitions else ())) is not None]
+            yield pd.DataFrame(out, columns=["delivery", "position", "_id", "types", "partitions", "doc", "error"], dtype=object)
 
-    flat = rows.select("value").mapInPandas(batch, "_id string, types array<string>, partitions array<string>, doc string, error string")
+    flat = rows.where("kind = 'resource'").mapInPandas(batch, "delivery int, position bigint, _id string, types array<string>, partitions array<string>, doc string, error string")
+    flat = materialize(flat)
     errors = flat.where("error is not null").select(F.lit(None).cast("string").alias("collection"), "_id", "types", "partitions", "doc", "error")
-    merge = F.udf(lambda docs: json.dumps(fold([json.loads(d) for d in docs]), ensure_ascii=False, separators=(",", ":")), "string")
-    good = flat.where("error is null").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"), F.array_distinct(F.flatten(F.collect_list("partitions"))).alias("partitions"), F.collect_list("doc").alias("docs"))
-    good = good.withColumn("doc", F.when(F.size("docs") == 1, F.col("docs")[0]).otherwise(merge(F.array_sort("docs"))))
-    good = good.select(routing.collection(F.col("_id"), F.col("types")).alias("collection"), "_id", "types", "partitions", "doc", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(errors)
+    good = flat.where("error is null").withColumn("collection", routing.collection(F.col("_id"), F.col("types")))
+    if not flat.where("error is null and size(types) = 0").isEmpty():
+        tbox = good.where((F.col("collection") == routing.ontology) & (F.size("types") > 0)).select("_id")
+        if stored is not None:
+            tbox = tbox.unionByName(stored.where(F.col("collection") == routing.ontology).select("_id"))
+        good = good.join(tbox.distinct().withColumn("__known", F.lit(True)), "_id", "left")
+        good = good.withColumn("collection", F.when((F.size("types") == 0) & F.col("__known"), routing.ontology).otherwise(F.col("collection")))
+    when = F.struct("delivery", "position")
+    united = lambda c: F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.struct(when.alias("w"), F.col(c).alias("v"))))["v"])).alias(c)
+    merges = F.col("collection").isin(routing.ontology, routing.statements)
+    last = good.where(~merges).groupBy("collection", "_id").agg(F.max_by(F.struct("types", "partitions", "doc"), when).alias("r")).select("collection", "_id", "r.*")
+    merged = good.where(merges).groupBy("collection", "_id").agg(united("types"), united("partitions"), F.array_sort(F.collect_list(F.struct(when.alias("w"), F.col("doc").alias("v"))))["v"].alias("docs"))
+    merged = merged.withColumn("doc", F.when(F.size("docs") == 1, F.get("docs", F.lit(0))).otherwise(arrow_udf(deep_folded, "string")(F.col("docs")))).drop("docs")
+    return last.unionByName(merged).withColumn("error", F.lit(None).cast("string")).unionByName(errors)
+
+
+def deep_folded(docs) -> str:
+    """JSON texts saved one over the other."""
+    return json.dumps(reduce(deep_merge, [json.loads(d) for d in docs]), ensure_ascii=False, separators=(",", ":"))
+
+
+def save(stored: DataFrame, incoming: DataFrame, routing: Routing = Routing(), share_tbox: str | None = None, share_statements: str | None = None) -> DataFrame:
+    """The stored resources with the incoming ones saved over them, by collection and id.
+
+    Ontology and statements merge with what is stored, other resources replace it.
+    With ``share_tbox`` or ``share_statements`` the incoming ontology or statements
+    are also written to that collection, where they replace. Rows with an error are
+    not saved.
+    """
+    new = incoming.where("error is null").drop("error")
+    for source, target in ((routing.ontology, share_tbox), (routing.statements, share_statements)):
+        if target:
+            new = new.unionByName(incoming.where("error is null").drop("error").where(F.col("collection") == source).withColumn("collection", F.lit(target)))
+    n = new.select("collection", "_id", F.struct("types", "partitions", "doc").alias("n"))
+    both = stored.select("collection", "_id", F.struct("types", "partitions", "doc").alias("o")).join(n, ["collection", "_id"], "full_outer")
+    merges = F.col("collection").isin(routing.ontology, routing.statements) & F.col("o").isNotNull() & F.col("n").isNotNull()
+    pick = lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    united = lambda c: F.when(merges, F.array_union(f"o.{c}", f"n.{c}")).otherwise(pick(c)).alias(c)
+    docs = F.when(merges, F.array("o.doc", "n.doc")).otherwise(F.array(pick("doc")))
+    return both.select("collection", "_id", united("types"), united("partitions"), F.when(F.size(docs) == 1, F.get(docs, F.lit(0))).otherwise(arrow_udf(deep_folded, "string")(docs)).alias("doc"))
 
 
 def import_stats(resources: DataFrame) -> DataFrame:
@@ -254,20 +350,30 @@ def import_stats(resources: DataFrame) -> DataFrame:
     return resources.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("processed"), F.count_if(~ok).alias("errors"), F.count_if(ok & (F.col("collection") == "ontology")).alias("tbox"), F.count_if(ok & (F.col("collection") == "statements")).alias("statements"), F.count_if(ok & ~F.col("collection").isin("ontology", "statements")).alias("abox"))
 
 
-def bootstrap(spark: SparkSession, paths: list[str], routing: Routing = Routing()) -> tuple[DataFrame | None, dict, list[tuple[str, str]]]:
-    """Files imported in order into one table: a failure of the first is fatal, later ones are recorded and skipped."""
-    out, context, failed = None, {}, []
+def bootstrap(spark: SparkSession, paths: list[str], routing: Routing = Routing(), add_partitions: bool = False, stored: DataFrame | None = None) -> tuple[DataFrame | None, dict, list[tuple[str, str]]]:
+    """(resources, context, failures) of files imported in order as deliveries of one table, read and parsed by the executors.
+
+    A failure of the first file is fatal, later ones are recorded and skipped.
+    """
+    documents, failed = None, []
     for k, p in enumerate(paths):
         try:
-            data = json.loads(Path(p).read_text(encoding="utf-8"))
-            part, context = import_data(spark, data, context, routing)
-        except (OSError, ValueError) as e:
+            part = load_documents(spark, p).select(F.lit(k).alias("delivery"), "value")
+        except AnalysisException as e:  # no such file
             if k == 0:
-                raise
-            failed.append((p, str(e)))
+                raise OSError(f"{p}: {e}") from e
+            failed.append((p, str(e)[:500]))
             continue
-        out = part if out is None else out.unionByName(part)
-    return out, context, failed
+        documents = part if documents is None else documents.unionByName(part)
+    if documents is None:
+        return None, {}, failed
+    rows = materialize(read_resources(documents))
+    context, refused = settle_context(rows, DEFAULT_CONTEXT)
+    if 0 in refused:
+        raise ValueError(f"{paths[0]}: {refused[0]}")
+    failed += [(paths[k], why) for k, why in sorted(refused.items())]
+    kept = rows.where(~F.col("delivery").isin(list(refused))) if refused else rows
+    return normalise(kept, context, routing, add_partitions, None, stored), context, failed
 
 
 def export_documents(resources: DataFrame, context: dict, expanded: bool = False) -> DataFrame:
@@ -280,48 +386,55 @@ def export_documents(resources: DataFrame, context: dict, expanded: bool = False
         return json.dumps(expand(d, shared.value) if expanded else d, ensure_ascii=False, separators=(",", ":"))
 
     good = resources.where("error is null") if "error" in resources.columns else resources
-    return good.where("doc is not null").select(F.udf(one, "string")("doc").alias("value"))
+    return good.where("doc is not null").select(arrow_udf(one, "string")(F.col("doc")).alias("value"))
 
 
 def export_file(resources: DataFrame, context: dict, path: str) -> int:
-    """One file: a single resource with its context inside, several under ``@graph``; rows are streamed."""
-    n = 0
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write('{"@context":' + json.dumps(context, ensure_ascii=False) + ',"@graph":[')
-        for row in export_documents(resources.orderBy("_id"), context).toLocalIterator():
-            f.write(("," if n else "") + "\n" + row["value"])
+    """One file: a single resource with its context inside, several under ``@graph``; rows are streamed to it.
+
+    The path may be of any file system the session knows; it appears only when complete.
+    """
+    rows = export_documents(resources.orderBy("_id"), context).toLocalIterator()
+    head = list(islice(rows, 2))
+    with written(resources.sparkSession, path) as put:
+        if len(head) == 1:
+            put(json.dumps({"@context": context, **json.loads(head[0]["value"])}, ensure_ascii=False))
+            return 1
+        put('{"@context":' + json.dumps(context, ensure_ascii=False) + ',"@graph":[')
+        n = 0
+        for row in chain(head, rows):
+            put(("," if n else "") + "\n" + row["value"])
             n += 1
-        f.write("\n]}\n")
-    if n == 1:
-        data = json.loads(Path(tmp).read_text(encoding="utf-8"))
-        Path(tmp).write_text(json.dumps({"@context": data["@context"], **data["@graph"][0]}, ensure_ascii=False), encoding="utf-8")
-    os.replace(tmp, path)
+        put("\n]}\n")
     return n
 
 
 def dump_archive(tables: dict[str, DataFrame], path: str) -> int:
     """All tables as parquet, written beside and then renamed, so an archive is whole or not there; bytes written."""
-    tmp = Path(f"{path}.tmp")
-    shutil.rmtree(tmp, ignore_errors=True)
+    fs = Files(SparkSession.active(), path)
+    fs.delete(f"{path}.tmp")
     for name, df in tables.items():
-        df.write.parquet(str(tmp / name))
-    shutil.rmtree(path, ignore_errors=True)
-    tmp.rename(path)
-    return sum(p.stat().st_size for p in Path(path).rglob("*") if p.is_file())
+        df.write.parquet(f"{path}.tmp/{name}")
+    fs.delete(path)
+    fs.rename(f"{path}.tmp", path)
+    return fs.size(path)
 
 
-def restore_archive(spark: SparkSession, path: str, rename: tuple[str, str] | None = None) -> dict[str, DataFrame]:
-    """The tables of an archive, a name's leading part replaced if asked (both parts or neither)."""
+def restore_archive(spark: SparkSession, path: str, rename: tuple[str, str] | None = None, into: str | None = None) -> dict[str, DataFrame]:
+    """The tables of an archive, a name's leading part replaced if asked (both parts or neither).
+
+    With ``into`` each table also replaces the one of its name in that folder.
+    """
+    if rename and not all(rename):
+        raise ValueError("give both names or neither")
     out = {}
-    for p in sorted(Path(path).iterdir()):
-        name = p.name
-        if rename:
-            a, b = rename
-            if not a or not b:
-                raise ValueError("give both names or neither")
-            name = b + name[len(a) :] if name.startswith(a) else name
-        out[name] = spark.read.parquet(str(p))
+    for name in Files(spark, path).names(path):
+        a, b = rename or ("", "")
+        target = b + name[len(a) :] if rename and name.startswith(a) else name
+        out[target] = spark.read.parquet(f"{path}/{name}")
+        if into:
+            out[target].write.mode("overwrite").parquet(f"{into}/{target}")
+            out[target] = spark.read.parquet(f"{into}/{target}")
     return out
 
 
@@ -349,4 +462,4 @@ def embedded(doc: DataFrame, col: str = "doc") -> DataFrame:
             pass
         return out
 
-    return doc.select("_id", F.explode(F.udf(walk, T.ArrayType(T.StringType()))(col)).alias("type"))
+    return doc.select("_id", F.explode(arrow_udf(walk, "array<string>")(F.col(col))).alias("type"))

@@ -68,6 +68,11 @@ def test_window(spark):
     assert seen(windows.windowed(docs, "g", "t", 20, bounds)) == ["6"]
     many = docs.select("_id", F.when(F.col("g").isNotNull(), F.array("g", F.lit("b"))).alias("g"), "t").union(spark.createDataFrame([("8", ["a", "c"], 15)], "_id string, g array<string>, t bigint"))
     assert seen(windows.windowed(many, "g", "t", None, bounds)) == ["2", "3", "4", "6", "8"]
+    # The verdict is that of a row's own groups and time, whatever its id.
+    wide = spark.createDataFrame([(None, ["a"], 999), (None, ["a"], 150), ("same", ["a"], 999), ("same", ["a"], 150), ("same", [None], 999), ("e", [], 999), ("n", None, 999), ("u", ["a", "b"], None)], "_id string, g array<string>, t bigint")
+    hundred = spark.createDataFrame([("a", 100, 200, None), (None, 1, 2, None)], "individual_id string, start_ms bigint, end_ms bigint, end_before_ms bigint")
+    assert sorted(map(str, seen(windows.windowed(wide, "g", "t", None, hundred)))) == ["None", "e", "n", "same", "same"]
+    assert sorted((str(r["_id"]), r["t"]) for r in windows.windowed(wide, "g", "t", None, hundred).collect() if r["g"] == ["a"]) == [("None", 150), ("same", 150)]
     clock = [0.0]
     calls = []
     p = WindowProvider(lambda: calls.append(1) or bounds, lambda: 0, clock=lambda: clock[0])
@@ -82,9 +87,9 @@ def test_window(spark):
 
 
 def test_bounds_and_cutoff(spark):
-    who = spark.createDataFrame([("a", "2024-03-09", "2024-03-10"), ("b", "2024-01-01T00:00:00Z", None), ("c", "soon", None), ("d", None, None), (None, "2024-01-01", None)], "_id string, s string, e string")
+    who = spark.createDataFrame([("a", "2024-03-09", "2024-03-10"), ("b", "2024-01-01T00:00:00Z", None), ("c", "soon", None), ("d", None, None), ("f", None, "10 March 2024"), (None, "2024-01-01", None)], "_id string, s string, e string")
     ms = lambda *x: int(dt.datetime(*x, tzinfo=dt.UTC).timestamp() * 1000)
-    assert rows(windows.parse_bounds(who, "_id", "s", "e")) == [("a", ms(2024, 3, 9, 8), None, ms(2024, 3, 11, 7)), ("b", ms(2024, 1, 1), None, None)]
+    assert rows(windows.parse_bounds(who, "_id", "s", "e")) == [("a", ms(2024, 3, 9, 8), None, ms(2024, 3, 11, 7)), ("b", ms(2024, 1, 1), None, None), ("f", None, None, ms(2024, 3, 11, 7))]
     assert windows.day_cutoff_ms(ms(2024, 3, 11, 12), 1) == ms(2024, 3, 10, 8) and windows.day_cutoff_ms(5, 0) is None
 
 

@@ -19,6 +19,18 @@ def test_closure_depth_and_direct_parents_with_a_cycle(spark):
     assert hierarchy.closure(e.where("false")).count() == 0
 
 
+def test_depths_with_cycles_below_a_root_and_long_chains(spark):
+    frame = lambda pairs: spark.createDataFrame(pairs, "child string, parent string")
+    assert rows(hierarchy.depths(frame([("a", "b"), ("b", "a"), ("a", "root"), ("c", "a"), ("c", "c")]))) == [("a", 1), ("b", 1), ("c", 2), ("root", 0)]
+    assert rows(hierarchy.depths(frame([("x", "y"), ("y", "x"), ("z", "x"), ("p", "q")]))) == [("p", 1), ("q", 0), ("x", 0), ("y", 0), ("z", 1)]
+    chain = frame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("n00", "n18")])
+    assert {r["node"]: r["depth"] for r in hierarchy.depths(chain).collect()} == {f"n{i:02d}": 20 - i for i in range(21)}
+    up = {(r["node"], r["ancestor"]): r["distance"] for r in hierarchy.closure(chain).collect()}
+    assert len(up) == 210 and up["n00", "n20"] == 3 and up["n01", "n20"] == 19
+    assert rows(hierarchy.depths(frame([]))) == [] and rows(hierarchy.closure(frame([]))) == []
+    assert [r["rank"] for r in hierarchy.class_order(frame([("b", "a"), ("_:k", "a"), ("c", "b")])).orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
 def test_types_by_specificity(spark):
     depth = spark.createDataFrame([("a", 2), ("b", 1), ("_:z", 9)], "node string, depth int")
     t = spark.createDataFrame([("i", "b"), ("i", "_:z"), ("i", "a"), ("i", "q"), ("i", "a")], "_id string, type string")
@@ -61,6 +73,13 @@ def test_upsert_replaces_or_merges_and_repeats_safely(spark):
     assert rows(documents.upsert(old, new)) == [("a", ["y"], None, "t1"), ("b", None, "2", "t0"), ("c", ["z"], "3", "t1")]
 
 
+def test_every_ontology_type_is_routed_to_the_ontology(spark):
+    kinds = ("AllDisjointProperties", "AsymmetricProperty", "ReflexiveProperty", "IrreflexiveProperty", "AllDifferent", "DataRange")
+    df = spark.createDataFrame([(k, [f"http://www.w3.org/2002/07/owl#{k}"]) for k in kinds], "_id string, types array<string>")
+    got = {r["_id"]: r["c"] for r in df.select("_id", documents.Routing(default="other").collection(F.col("_id"), F.col("types")).alias("c")).collect()}
+    assert got == {**dict.fromkeys(kinds[:4], "ontology"), **dict.fromkeys(kinds[4:], "other")}
+
+
 def test_routing_order(spark):
     route = documents.Routing(types={"x:T": "typed"}, id_patterns={"^ns:report-": "reports"}, namespaces={"ns": "space"}, default="rest")
     data = [("ns:report-1", ["x:T"]), ("ns:report-1", ["x:Q"]), ("ns:a", []), ("zz:a", None), ("ns:c", ["owl:Class"]), ("ns:s", ["rdf:Statement", "x:T"]), ("_id", ["x:Q"])]

@@ -19,6 +19,7 @@ def test_match_rules_by_null_mask(spark):
     base = [("r0", True, 1), ("r0", True, 1)]
     assert resolved(spark, "simple") == base + [("r1", None, None), ("r2", None, None), ("r3", None, None), ("r4", False, None), ("r5", None, None)]
     assert resolved(spark, "full") == base + [("r1", False, None), ("r2", False, None), ("r3", None, None), ("r4", False, None), ("r5", False, None)]
+    assert resolved(spark, "exact") == base + [("r1", False, None), ("r2", True, 9), ("r3", None, None), ("r4", False, None), ("r5", False, None)]
     assert resolved(spark, "partial") == base + [("r1", True, 1), ("r2", True, 1), ("r3", None, None), ("r4", False, None), ("r5", False, None)]
 
 
@@ -62,5 +63,14 @@ def test_orphans_of_reports_and_imports(spark):
     assert orphan_counts(out).agg(F.sum("n_references")).first()[0] == 7
 
 
+def test_ids_without_prefix_and_records_told_again(spark):
+    reports = [("p:1", "bare", T(5), None), ("p:2", "none", T(5), None), ("p:3", "t:a", T(5), None), ("p:3", "t:late", T(20), None), ("bare:x", "t:a", T(2), None)]
+    imports = [("run1", [("bare", "e"), ("plain", "e"), ("x", "e")], T(6))]
+    individuals = [("bare", T(1), None, None), ("t:a", T(1), None, None), ("t:late", T(10), None, None)]
+    out = orphan_references(*tables(spark, reports, imports, individuals, [("plain", T(1))]))
+    # The report told again names an individual that was there by then, but not when the record was first seen.
+    assert sorted(tuple(r)[1:4] for r in out.collect()) == [("p:2", "none", "missing"), ("p:3", "t:late", "later"), ("run1", "x", "missing")]
+
+
 def test_empty_tables(spark):
     assert orphan_references(*tables(spark, [], [], [], [])).count() == 0

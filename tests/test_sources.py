@@ -44,7 +44,7 @@ def test_import_export(spark, tmp_path):
     got = {r["_id"]: r for r in out.collect()}
     assert {k: r["collection"] for k, r in got.items()} == {"x:onto": "ontology", "x:p": "ontology", "x:1": "things", "x:s": "statements", None: None}
     one = json.loads(got["x:1"]["doc"])
-    assert sorted(one["@type"]) == ["x:T", "x:U"] and one["x:p"] == "x:2" and got["x:1"]["partitions"] == ["x:onto"] and got["x:onto"]["partitions"] == []
+    assert one["@type"] == ["x:U"] and one["x:n"] == 2 and "x:p" not in one and got["x:1"]["partitions"] == ["x:onto"] and got["x:onto"]["partitions"] == []
     assert tuple(jsonld.import_stats(out).first()) == (5, 4, 1, 2, 1, 1)
     assert jsonld.export_file(out.where("collection = 'things'"), ctx, str(tmp_path / "one.jsonld")) == 1
     assert json.loads((tmp_path / "one.jsonld").read_text())["@id"] == "x:1"
@@ -56,12 +56,43 @@ def test_import_export(spark, tmp_path):
     assert jsonld.load_documents(spark, str(tmp_path / "*.jsonld")).count() == 2
 
 
+def test_last_delivery_replaces_and_the_ontology_merges(spark):
+    docs = lambda *v: [{"@context": {"x": "http://x/"}}] + [{"@id": "x:1", "@type": "x:T", "x:v": t} for t in v]
+    for values in (("zzz", "aaa"), ("aaa", "zzz"), ("b", "a", "c")):
+        out, _ = jsonld.import_data(spark, docs(*values), routing=Routing(default="things"))
+        assert [json.loads(r["doc"])["x:v"] for r in out.collect()] == [values[-1]]
+    cls = [{"@id": "x:C", "@type": "owl:Class", "rdfs:label": "one", "x:l": ["a", "c"]}, {"@id": "x:C", "x:l": ["b", "a"]}, {"@id": "x:C", "@type": ["owl:Class"], "rdfs:label": "two"}]
+    out, _ = jsonld.import_data(spark, [{"@context": {"x": "http://x/"}}, *cls], routing=Routing(default="things"))
+    row = out.first()
+    assert row["collection"] == "ontology" and out.count() == 1 and json.loads(row["doc"]) == {"_id": "x:C", "@type": ["owl:Class"], "rdfs:label": "two", "x:l": ["a", "c", "b"]}
+
+
+def test_save_over_stored_resources(spark):
+    schema = "collection string, _id string, types array<string>, partitions array<string>, doc string"
+    stored = spark.createDataFrame([("ontology", "x:C", ["owl:Class"], [], '{"_id":"x:C","l":["a"],"o":{"k":1}}'), ("things", "x:1", ["x:T"], ["p"], '{"_id":"x:1","a":1}'), ("things", "x:2", [], [], '{"_id":"x:2"}')], schema)
+    new = spark.createDataFrame([("ontology", "x:C", ["x:M"], ["q"], '{"_id":"x:C","l":["b"],"o":{"m":2}}', None), ("things", "x:1", ["x:U"], [], '{"_id":"x:1","b":2}', None), (None, None, None, None, "bad", "no id")], schema + ", error string")
+    out = {(r["collection"], r["_id"]): r for r in jsonld.save(stored, new, share_tbox="things").collect()}
+    assert set(out) == {("ontology", "x:C"), ("things", "x:1"), ("things", "x:2"), ("things", "x:C")}
+    assert json.loads(out["ontology", "x:C"]["doc"]) == {"_id": "x:C", "l": ["a", "b"], "o": {"k": 1, "m": 2}} and out["ontology", "x:C"]["types"] == ["owl:Class", "x:M"]
+    assert json.loads(out["things", "x:1"]["doc"]) == {"_id": "x:1", "b": 2} and out["things", "x:1"]["types"] == ["x:U"] and out["things", "x:1"]["partitions"] == []
+    assert json.loads(out["things", "x:C"]["doc"])["l"] == ["b"]
+
+
 def test_bootstrap(spark, tmp_path):
     good, bad = tmp_path / "a.jsonld", tmp_path / "b.jsonld"
     good.write_text(json.dumps({"@context": {"x": "http://x/"}, "@graph": [{"@id": "x:1"}]}))
     bad.write_text("{")
     out, _, failed = jsonld.bootstrap(spark, [str(good), str(bad)])
     assert out.count() == 1 and failed[0][0] == str(bad)
+    later = tmp_path / "c.jsonld"
+    later.write_text(json.dumps({"@context": {"x": "http://x/", "y": "http://y/"}, "@graph": [{"@id": "x:1", "y:n": 5}, {"@id": "y:p", "@type": "owl:DatatypeProperty", "rdfs:range": "xsd:integer"}]}))
+    clash = tmp_path / "d.jsonld"
+    clash.write_text(json.dumps({"@context": {"x": "http://other/"}, "@graph": [{"@id": "x:9"}]}))
+    out, ctx, failed = jsonld.bootstrap(spark, [str(good), str(later), str(clash), str(tmp_path / "none.jsonld")])
+    assert {r["_id"]: json.loads(r["doc"]).get("y:n") for r in out.collect()} == {"x:1": 5, "y:p": None} and ctx["y:p"]["@type"].endswith("#integer")
+    assert sorted(f[0] for f in failed) == sorted([str(clash), str(tmp_path / "none.jsonld")])
+    with pytest.raises(OSError):
+        jsonld.bootstrap(spark, [str(tmp_path / "none.jsonld")])
     with pytest.raises(ValueError):
         jsonld.bootstrap(spark, [str(bad)])
 
@@ -70,6 +101,8 @@ def test_archive(spark, tmp_path):
     df = spark.createDataFrame([("a",)], "_id string")
     assert jsonld.dump_archive({"old.t": df}, str(tmp_path / "arc")) > 0
     assert set(jsonld.restore_archive(spark, str(tmp_path / "arc"), ("old", "new"))) == {"new.t"}
+    assert jsonld.dump_archive({"old.t": df}, str(tmp_path / "arc")) > 0
+    assert jsonld.restore_archive(spark, str(tmp_path / "arc"), into=str(tmp_path / "live"))["old.t"].count() == 1 and spark.read.parquet(str(tmp_path / "live" / "old.t")).count() == 1
     with pytest.raises(ValueError):
         jsonld.restore_archive(spark, str(tmp_path / "arc"), ("old", ""))
 

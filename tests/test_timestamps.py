@@ -2,18 +2,21 @@ import datetime as dt
 from zoneinfo import ZoneInfo
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamgraph.functions.zones import transitions, wall_to_utc
+from pyspark.sql import functions as F
+
+from loamgraph.functions.zones import wall_to_utc, zone_files
 from loamgraph.operators.timestamps import clean, normalise_times, to_utc_ms
 
 NY = "America/New_York"
 
 
 def one(value, zone=NY, day_first=False):
-    utc, good, _ = to_utc_ms([clean(value)], np.array([zone], dtype=object), np.array([day_first], dtype=object))
+    utc, good, _, _ = to_utc_ms(clean(pa.array([value])), np.array([zone or ""], dtype=object), np.array([np.nan if day_first is None else float(day_first)]))
     return int(utc[0]) if good[0] else None
 
 
@@ -77,7 +80,23 @@ def test_wall_times_follow_the_zone(zone, when):
 
 
 def test_unknown_zone_has_no_table():
-    assert transitions("Nowhere/City") is None and transitions("") is None
+    wall = np.zeros(1, np.int64)
+    assert wall_to_utc(wall, "Nowhere/City") is None and wall_to_utc(wall, "") is None and wall_to_utc(wall, "UTC", {}) is None
+
+
+def test_every_zone_before_1900_and_after_2100():
+    moments = [dt.datetime(y, m, 7, 12, 30) for y in (1850, 1890, 1899, 2101, 2150, 2499, 2505, 2901, 9000) for m in (1, 7)]
+    wall = np.array([(t - dt.datetime(1970, 1, 1)).total_seconds() for t in moments]).astype(np.int64)
+    for zone in zone_files():
+        assert wall_to_utc(wall, zone).tolist() == [int(t.replace(tzinfo=ZoneInfo(zone)).timestamp()) for t in moments], zone
+
+
+def test_long_values_are_read_whole(spark):
+    long = "2024-01-02T03:04:05." + "1" * 500 + "Z"
+    assert one(long) == ms(2024, 1, 2, 3, 4, 5) + 111
+    df = spark.createDataFrame([("a", long, None)], "_id string, s string, e string")
+    out = normalise_times(df.withColumns({"z": F.lit(NY), "o": F.lit(True)}), "_id", {"s": "s", "e": "e"}, "z", "o").collect()
+    assert [(r["utc_ms"], r["date_only"], len(r["mask"])) for r in out] == [(ms(2024, 1, 2, 3, 4, 5) + 111, False, 200)]
 
 
 def test_operator_keeps_values_without_instant(spark):
