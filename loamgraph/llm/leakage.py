@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.letters import GramSet, grams, letters, slices
+from loamgraph.llm.letters import GramSet, grams, letters, slices, words_of
 from loamgraph.runtime import table
 
 #: Letters of a seed and of the finer grams that find a line's diagonal.
 SEED, FINE = 10, 6
 #: Items that are searched for at a time; more are taken in blocks of as many.
 BLOCK_ITEMS = 5_000
-#: Items and letters of a block may not exceed this many letters (100 MB of tables).
+#: Letters of the items of a block (100 MB of tables); a longer item is a block of its own.
 BLOCK_LETTERS = 2_000_000
 #: Letters of documents that are aligned at a time, each counted once a pair (about 150 bytes of memory a letter).
 PAIR_LETTERS = 1_000_000
@@ -54,9 +54,9 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], rules: LeakRules, openings: set[str] | None = None):
         openings = shared_openings(texts, rules) if openings is None else openings
         bodies = [_without(t, openings) for t in texts]
-        kept = [(i, b) for i, b in zip(ids, bodies) if len(re.findall(r"\w+", b)) >= rules.min_words]
+        kept = [(i, w) for i, b in zip(ids, bodies) if len(w := words_of(b)) >= rules.min_words]
         self.ids = np.array([i for i, _ in kept], np.int64)
-        words = [[w for w in b.split() if any(c.isalnum() for c in w)] for _, b in kept]
+        words = [w for _, w in kept]
         # One "text" a word, so that owners give the letters of each word.
         flat = [w for ws in words for w in ws]
         self.code, word, _ = letters(flat) if flat else (np.zeros(0, np.uint8), np.zeros(0, np.int64), None)
@@ -100,18 +100,17 @@ def shared_openings(texts: list[str], rules: LeakRules) -> set[str]:
     """Opening sentences, and what follows them, that several items have in common."""
     out: set[str] = set()
     rest = [t.strip() for t in texts]
-    for _ in range(5):
+    while True:
         count = Counter(_opening(t) for t in rest if t)
         new = {s for s, n in count.items() if s and n >= rules.shared_opening}
         if not new:
-            break
+            return out
         out |= new
         rest = [t[len(s) :].strip() if (s := _opening(t)) in new else "" for t in rest]
-    return out
 
 
 def _opening(text: str) -> str:
-    m = re.match(r".*?[.?!:](?=\s|$)", text, re.S)
+    m = re.match(r".*?(?:[.?!:](?=\s|$)|[。？！])", text, re.S)
     return m.group() if m else ""
 
 
@@ -127,7 +126,7 @@ def pick_seeds(items: Items, values: np.ndarray, df: np.ndarray, n_docs: int, ru
     at = np.flatnonzero(items.seed >= 0)
     f = df[np.searchsorted(values, items.seed[at])]
     rare = f <= max(rules.rare_least, rules.rare_share * n_docs)
-    block = items.owner[at].astype(np.int64) * 1_000_000 + (at - items.start[items.owner[at]]) // rules.block
+    block = items.owner[at].astype(np.int64) * (len(items.code) // rules.block + 1) + (at - items.start[items.owner[at]]) // rules.block
     order = np.lexsort((f, block))
     place = np.arange(len(order)) - np.searchsorted(block[order], block[order], side="left")
     rare[order[place < rules.per_block]] = True
@@ -234,9 +233,11 @@ def _diagonals(code, owner, line, items: Items, doc_of, item_of, rules: LeakRule
     hit = known[hit]
     item_pos = item_pos - items.start[item_of[cand[row[hit]]]]
     shift = item_pos - i[hit]
-    group = row[hit].astype(np.int64) * 100_000 + shift + 10_000
+    # Shifts lie between minus the letters of a piece and the letters of an item.
+    stride = int(np.diff(items.start).max()) + 2 * rules.piece + 2
+    group = row[hit].astype(np.int64) * stride + shift + rules.piece
     values, counts = np.unique(group, return_counts=True)
-    of = values // 100_000
+    of = values // stride
     # Shifts next to each other are one diagonal with a letter more or less.
     near = counts.copy()
     for step in (1, -1):
@@ -244,7 +245,7 @@ def _diagonals(code, owner, line, items: Items, doc_of, item_of, rules: LeakRule
         other = np.minimum(other, len(values) - 1) if len(values) else other
         near += np.where(values[other] == values + step, counts[other], 0) if len(values) else 0
     order = np.lexsort((-counts, -near, of))
-    of, shift_sorted, near = of[order], values[order] % 100_000 - 10_000, near[order]
+    of, shift_sorted, near = of[order], values[order] % stride - rules.piece, near[order]
     rank = np.arange(len(of)) - np.searchsorted(of, of, side="left")
     best = shift_sorted[np.searchsorted(of, of, side="left")]
     other = (rank > 0) & (np.abs(shift_sorted - best) > rules.band)
@@ -498,62 +499,78 @@ def _texts(column: pa.Array) -> list[str]:
 def leaked_items(documents: DataFrame, eval_items: DataFrame, rules: LeakRules = LeakRules(), block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, n_words) for every document that holds enough consecutive words of an item.
 
-    The items are the query set: they are read in blocks of ``block_items`` and
-    each block goes over all documents twice, first to count how many documents
-    have each n-gram (map-side, one row an n-gram of the items), then to join by
-    the rare ones and align. Null texts and ids are left out, empty texts hold
-    nothing, items shorter than the rule can not leak; repeated documents and
-    items give their pairs once; texts of any length are read whole.
+    The items are the query set: they are read in blocks of at most ``block_items``
+    and about ``BLOCK_LETTERS`` letters, and each block goes over all documents
+    twice, first to count how many documents have each n-gram (map-side, one row an
+    n-gram of the items), then to join by the rare ones and align. Letters of all
+    scripts count, see ``letters``; scripts without blanks have words by ``words_of``.
+    Null texts and ids are left out, empty texts hold nothing, items shorter than the
+    rule can not leak; repeated documents and items give their pairs once; texts of
+    any length are read whole.
     """
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ids = eval_items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    total = ids.count()
-    blocks = max(1, -(-total // block_items))
+    total, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-total // block_items), -(-size // BLOCK_LETTERS))
     openings = _openings(ids, rules)
-    n_docs = docs.count() if total else 0
     out = None
     for k in range(blocks):
         rows = ids.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        part = _leaks_of_block(docs, Items([r[0] for r in rows], [r[1] for r in rows], rules, openings), n_docs, rules)
-        out = part if out is None else out.unionByName(part)
+        for part in _runs(rows, block_items):
+            found = _leaks_of_block(docs, Items([r[0] for r in part], [r[1] for r in part], rules, openings), rules)
+            out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
+def _runs(rows: list, most: int) -> list[list]:
+    """Items in runs of at most ``most`` and about ``BLOCK_LETTERS`` letters; one run if there are none."""
+    out, letters_ = [[]], 0
+    for r in rows:
+        if out[-1] and (len(out[-1]) >= most or letters_ + len(r[1]) > BLOCK_LETTERS):
+            out.append([])
+            letters_ = 0
+        out[-1].append(r)
+        letters_ += len(r[1])
+    return out
+
+
 def _openings(ids: DataFrame, rules: LeakRules) -> set[str]:
-    """Shared openings over all items: one aggregate a round, of which only shared ones return."""
+    """Shared openings over all items: one aggregate a round, of which only shared ones return; rounds go on while there are any."""
     out: set[str] = set()
-    first = r"(?s)^\s*(.*?[.?!:])(?=\s|$)"
+    first = r"(?s)^\s*(.*?(?:[.?!:](?=\s|$)|[。？！]))"
     rest = ids.select(F.trim("text").alias("t"))
-    for _ in range(5):
+    while True:
         opened = rest.select("t", F.regexp_extract("t", first, 1).alias("s")).where("s <> ''")
-        shared = [r[0] for r in opened.groupBy("s").count().where(F.col("count") >= rules.shared_opening).collect()]
-        if not shared:
-            break
-        out |= set(shared)
-        rest = opened.where(F.col("s").isin(shared)).select(F.trim(F.substr("t", F.length("s") + 1)).alias("t"))
-    return out
+        shared = opened.groupBy("s").count().where(F.col("count") >= rules.shared_opening).select("s")
+        new = [r[0] for r in shared.collect()]
+        if not new:
+            return out
+        out |= set(new)
+        rest = opened.join(shared, "s", "left_semi").select(F.trim(F.substr("t", F.length("s") + 1)).alias("t"))
 
 
-def _leaks_of_block(docs: DataFrame, items: Items, n_docs: int, rules: LeakRules) -> DataFrame:
+def _leaks_of_block(docs: DataFrame, items: Items, rules: LeakRules) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    if len(items.code) > BLOCK_LETTERS:
-        raise ValueError(f"a block of items has more than {BLOCK_LETTERS} letters; lower block_items")
-    if not len(items.ids) or not n_docs:
+    if not len(items.ids):
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_words")).where("false")
     known = sc.broadcast(GramSet(items.seed))
 
     def count(batches):
-        df = np.zeros(len(known.value.values), np.int64)
+        """Documents that have each n-gram, and under -1 all documents."""
+        df, n = np.zeros(len(known.value.values), np.int64), 0
         for b in (x for whole in batches for x in slices(whole, 1)):
+            n += b.num_rows
             code, owner, _ = letters(_texts(b.column(1)))
             at, j = known.value.hits(grams(code, owner, SEED))
             df += np.bincount(_distinct(owner[at].astype(np.int64) * len(df) + j) % len(df), minlength=len(df))
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["gram", "n"])
 
     totals = docs.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    gram, n = totals["gram"].to_numpy(np.int64), totals["n"].to_numpy(np.int64)
+    n_docs = int(n[gram < 0].sum())
     df = np.zeros(len(known.value.values), np.int64)
-    df[totals["gram"].to_numpy(np.int64)] = totals["n"].to_numpy(np.int64)
+    df[gram[gram >= 0]] = n[gram >= 0]
     shared = sc.broadcast((items, pick_seeds(items, known.value.values, df, n_docs, rules)))
 
     def search(batches):

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
 
-#: Letters a to z are 0 to 25, digits 26 to 35; everything else is dropped.
-DROP = 255
+#: Letters a to z are 0 to 25, digits 26 to 35; letters of other scripts share the codes 36 to 63; the rest is dropped.
+DROP, FIRST_OTHER, OTHERS = 255, 36, 28
 _TABLE: np.ndarray | None = None
 #: Letters that stand for two.
 _TWO = {"ß": "ss", "ẞ": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe"}
 
 
+def letter_code(char: str) -> int:
+    """The code of a character, ``DROP`` for what is no letter or digit.
+
+    Compatibility forms, case and accents are folded first. A letter outside a to z
+    and 0 to 9 takes one of ``OTHERS`` codes by its code point, so one misread letter
+    in that many goes unseen; vowel signs that take a place of their own count as
+    letters, marks above or below do not.
+    """
+    folded = "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", char).casefold()) if unicodedata.category(c) != "Mn")
+    for c in folded:
+        if c.isascii() and c.isalnum():
+            return ord(c) - 97 if c.isalpha() else ord(c) - 22
+    kept = [c for c in folded if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Mc"]
+    if not kept:
+        return DROP
+    mixed = 0
+    for c in kept:
+        mixed = (mixed * 31 + ord(c)) & 0xFFFFFFFF
+    return FIRST_OTHER + ((mixed * 2654435761) & 0xFFFFFFFF) * OTHERS // (1 << 32)
+
+
 def _table() -> np.ndarray:
+    """Codes of the basic plane; what lies above it is looked up as it occurs."""
     global _TABLE
     if _TABLE is None:
-        t = np.full(0x10000, DROP, np.uint8)
-        for cp in range(0x10000):
-            if 0xD800 <= cp < 0xE000:
-                continue
-            plain = [c for c in unicodedata.normalize("NFKD", chr(cp)).lower() if c.isascii() and c.isalnum()]
-            if plain:
-                t[cp] = ord(plain[0]) - 97 if plain[0].isalpha() else ord(plain[0]) - 22
-        _TABLE = t
+        _TABLE = np.array([DROP if 0xD800 <= cp < 0xE000 else letter_code(chr(cp)) for cp in range(0x10000)], np.uint8)
     return _TABLE
 
 
@@ -39,10 +55,25 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), lengths)[: len(cp)]
     line = np.cumsum(cp == 10)
     code = _table()[np.minimum(cp, 0xFFFF)]
-    keep = np.flatnonzero((code != DROP) & (cp < 0x10000))
+    above = np.flatnonzero(cp >= 0x10000)
+    if len(above):
+        rare, which = np.unique(cp[above], return_inverse=True)
+        code[above] = np.array([letter_code(chr(c)) for c in rare], np.uint8)[which]
+    keep = np.flatnonzero(code != DROP)
     return code[keep], owner[keep], line[keep]
 
 
+#: Scripts written without blanks: letters that count as a word together.
+_HAN_KANA = "\u2e80-\u2fdf\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SOUTH_EAST = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff"
+_RUNS = re.compile(f"[{_HAN_KANA}]{{1,2}}|[{_SOUTH_EAST}]{{1,5}}|[^{_HAN_KANA}{_SOUTH_EAST}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text: between blanks, and in scripts without blanks two (Han, kana) or five (Thai, Lao, Burmese, Khmer) letters each."""
+    return [w for token in text.split() for w in _RUNS.findall(token) if any(letter_code(c) != DROP for c in w)]
+
+
 def grams(code: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
     """The k letters from each place as one number (k up to 10); -1 where they leave their text."""
     n = len(code) - k + 1

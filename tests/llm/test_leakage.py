@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loamgraph.llm.leakage import Items, LeakRules, leaked_items, shared_openings
-from loamgraph.llm.letters import GramSet, grams, letters
+from loamgraph.llm.letters import GramSet, grams, letter_code, letters, words_of
 
 WORDS = "harbour lantern timber copper valley orchard silver bridge meadow castle thunder winter market garden river stone church school pepper saddle mirror window barrel candle anchor feather hammer kettle ladder needle pocket ribbon".split()
 
@@ -140,3 +140,47 @@ def test_letters_drop_what_does_not_matter():
     g = grams(a, owner, 4)
     assert (g[-1:] == -1).all() and len(GramSet(g).hits(g)[0]) == (g >= 0).sum()
     assert letters([""])[0].size == 0 and grams(np.zeros(2, np.uint8), np.zeros(2, int), 4).size == 0
+
+
+def script_words(seed, n, low, high, least=2, most=7):
+    r = random.Random(seed)
+    letters_ = [c for c in map(chr, range(low, high)) if c.isalpha()]
+    return ["".join(r.choice(letters_) for _ in range(r.randint(least, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("low, high", [(0x430, 0x450), (0x3B1, 0x3C9), (0x627, 0x64A), (0x915, 0x939), (0x5D0, 0x5EA), (0x10D0, 0x10F0)], ids=["cyrillic", "greek", "arabic", "devanagari", "hebrew", "georgian"])
+def test_passages_of_other_scripts(spark, low, high):
+    say = lambda seed, n: script_words(seed, n, low, high)
+    items = [(k, " ".join(say(k, 40)) + ".", "xx") for k in range(6)]
+    docs = []
+    for k in range(6):
+        words = items[k][1][:-1].split()
+        docs.append((2 * k, "\n".join([*wrap(say(100 + k, 60), seed=k), *adverts(wrap(words[6:32], seed=k)), *wrap(say(200 + k, 40), seed=k)]).upper()))
+        docs.append((2 * k + 1, "\n".join([*wrap(say(300 + k, 60), seed=k), *wrap(words[6:18], seed=k), *wrap(say(400 + k, 60), seed=k)])))
+    assert leaks(spark, docs, items) == {(2 * k, k) for k in range(6)}
+
+
+def test_passages_without_blanks(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rows = lambda t, w=15: "\n".join(t[i : i + w] for i in range(0, len(t), w))
+    items = [(k, text(100) + "。" + text(60), "zh") for k in range(4)] + [(9, "".join(chr(r.randrange(0x20000, 0x2A000)) for _ in range(90)), "zh")]
+    docs = [(k, "\n".join([rows(text(120)), rows(items[k][1][20:75]), rows(text(120))])) for k in range(4)]
+    docs += [(9, "\n".join([rows(text(60)), rows(items[4][1][10:70]), rows(text(60))])), (7, "\n".join([rows(text(60)), rows(items[0][1][20:45]), rows(text(60))]))]
+    assert leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (3, 3), (9, 9)}
+
+
+def test_long_items_and_blocks_by_letters(spark, monkeypatch):
+    long = passage(70, 24_000)  # more than 100,000 letters
+    items = [(1, " ".join(long), "en"), *((k, " ".join(passage(k, 45)), "en") for k in range(2, 8))]
+    docs = [(1, "\n".join([*noise(940, 40), *wrap(long[23_000:23_030], seed=1), *noise(941, 40)])), (2, "\n".join([*noise(942, 40), *wrap(long[9:40], seed=2)])), (3, "\n".join([*wrap(passage(3, 45)[5:35], seed=3), *noise(943, 40)]))]
+    assert leaks(spark, docs, items) == {(1, 1), (2, 1), (3, 3)}
+    monkeypatch.setattr("loamgraph.llm.leakage.BLOCK_LETTERS", 900)
+    assert leaks(spark, docs, items[1:]) == {(3, 3)}
+
+
+def test_codes_of_letters():
+    code = {c: letter_code(c) for c in "aÀẶ9９ЖжΣσςｱア中가漢 ,。️"}
+    assert code["a"] == code["À"] == code["Ặ"] == 0 and code["9"] == code["９"] == 35 and code["Ж"] == code["ж"] >= 36 and code["Σ"] == code["σ"] == code["ς"] and code["ｱ"] == code["ア"]
+    assert all(code[c] == 255 for c in " ,。") and 36 <= code["가"] < 64
+    assert words_of("It's  — 12 中文字漢 ok。") == ["It's", "12", "中文", "字漢", "ok。"]
