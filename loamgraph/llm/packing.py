@@ -2,13 +2,14 @@
 
 Sizes are reduced to one global histogram. Dynamic programming over it chooses
 the length buckets that need least padding, and token-budget batches are planned
-from whole buckets. Only this plan - bounded by the capacity and the number of
-buckets, not by the items - is made on the driver; every item then finds its
+from whole buckets. Only these plans - bounded by the capacity and the number of
+buckets, not by the items - come to the driver; every item then finds its
 container from its rank in its bucket.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,8 @@ from loamgraph.runtime import materialize, table
 
 #: Length buckets of each capacity.
 BUCKETS = 128
-#: Capacities up to this have a histogram that the driver may hold (16 bytes a size).
-MAX_CAPACITY = 1_000_000
+#: Capacities up to this are planned: a task holds 4 bytes a size and bucket (100 MB) and the driver 24 bytes a size.
+MAX_CAPACITY = 200_000
 #: Containers of different capacity that are planned together.
 MAX_CONTAINERS = 1_000
 #: Parts of equal size into which items of one size are ranked.
@@ -38,32 +39,42 @@ def byt5_size(text):
 def optimal_buckets(sizes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """Upper bounds of at most ``k`` buckets over ascending ``sizes`` with least total padding.
 
-    A bucket of sizes a..b pads every item to b, so its cost is linear in b for
-    each start; lines are kept in a lower hull and asked in ascending order.
+    A bucket of sizes a..b pads every item to b. The best start of a last bucket
+    never falls as b grows, so each layer is filled by halving: the middle of every
+    open stretch is settled among the starts that its neighbours leave, all
+    stretches of a level at once.
     """
     m = len(sizes)
     if m <= k:
         return sizes.copy()
-    n, s = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(sizes * counts)]).astype(float)
-    x = sizes.astype(float)
+    n = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    s = np.concatenate([[0], np.cumsum(sizes * counts)]).astype(np.int64)
+    x = sizes.astype(np.int64)
     best = x * n[1:] - s[1:]
     back = np.zeros((k, m), np.int32)
     for layer in range(1, k):
-        new = best.copy()
-        choice = back[layer]
-        hull: list[tuple[float, float, int]] = []
-        head = 0
-        for b in range(1, m):
-            slope, icept = -n[b], best[b - 1] + s[b]
-            while len(hull) - head > 1 and (icept - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
-                hull.pop()
-            hull.append((slope, icept, b))
-            while len(hull) - head > 1 and hull[head + 1][0] * x[b] + hull[head + 1][1] <= hull[head][0] * x[b] + hull[head][1]:
-                head += 1
-            cost = hull[head][0] * x[b] + hull[head][1] + x[b] * n[b + 1] - s[b + 1]
-            if cost < new[b] - 1e-9:
-                new[b], choice[b] = cost, hull[head][2]
-        if new[-1] >= best[-1] - 1e-9:
+        new, choice = best.copy(), np.zeros(m, np.int64)
+        # Stretches lo..hi of last sizes, whose starts lie in from_..to.
+        lo, hi, from_, to = (np.array([v]) for v in (1, m - 1, 1, m - 1))
+        while len(lo):
+            mid = (lo + hi) // 2
+            last = np.minimum(to, mid)
+            width = last - from_ + 1
+            row = np.repeat(np.arange(len(mid)), width)
+            head = np.cumsum(width) - width
+            start = np.arange(len(row)) - head[row] + from_[row]
+            b = mid[row]
+            cost = best[start - 1] + x[b] * (n[b + 1] - n[start]) - (s[b + 1] - s[start])
+            least = np.minimum.reduceat(cost, head)
+            hit = np.flatnonzero(cost == least[row])
+            at = np.zeros(len(mid), np.int64)
+            at[row[hit[::-1]]] = start[hit[::-1]]
+            better = least < new[mid]
+            new[mid[better]], choice[mid[better]] = least[better], at[better]
+            left, right = lo < mid, mid < hi
+            lo, hi, from_, to = (np.concatenate(v) for v in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]), (from_[left], at[right]), (at[left], to[right])))
+        back[layer] = choice
+        if new[-1] >= best[-1]:
             k = layer
             break
         best = new
@@ -119,6 +130,27 @@ def plan_batches(bounds: np.ndarray, counts: np.ndarray, capacity: int, across:
     return Plan(bounds, runs, base)
 
 
+def _plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int, across: bool) -> dict:
+    """What places an item: per size its bucket and the items before it there, and the runs of each bucket."""
+    bounds = optimal_buckets(sizes, counts, buckets)
+    of = np.searchsorted(bounds, sizes)
+    plan = plan_batches(bounds, np.bincount(of, weights=counts, minlength=len(bounds)).astype(np.int64), capacity, across)
+    start = np.cumsum(counts) - counts
+    return {"sizes": sizes, "of": of, "before": start - start[np.searchsorted(of, of)], "runs": {b: np.array(r, np.int64) for b, r in plan.runs.items()}, "containers": plan.containers}
+
+
+def _bins(plan: dict, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(plan["sizes"], size)
+    bucket, index = plan["of"][at], plan["before"][at] + rank
+    out = np.zeros(len(size), np.int64)
+    for b in np.unique(bucket):
+        rows = np.flatnonzero(bucket == b)
+        runs = plan["runs"][int(b)]
+        run = runs[np.searchsorted(runs[:, 0], index[rows], side="right") - 1]
+        out[rows] = run[:, 2] + (index[rows] - run[:, 0]) // run[:, 1]
+    return out
+
+
 def pack(items: DataFrame, id_col: str, size_col: str, specs: DataFrame, container_col: str, capacity_col: str, buckets: int = BUCKETS, across: bool = True) -> DataFrame:
     """(container_id, id, piece, pieces, tokens, bin): every item in a container of each capacity.
 
@@ -128,6 +160,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, specs: DataFrame, contain
     null id or size are left out; sizes below 1 count as 1 and repeated rows are
     items of their own, with any rank among equals. Null or non-positive capacities
     and an empty table give no rows.
+
+    Sizes are written once (an id and a number an item), so the items are read once
+    whatever their width. Each capacity is planned from the histogram in a task of its own.
     """
     rows = specs.select(container_col, capacity_col).where(F.col(capacity_col) > 0).where(F.col(container_col).isNotNull()).distinct().limit(MAX_CONTAINERS + 1).collect()
     if len(rows) > MAX_CONTAINERS or any(r[1] > MAX_CAPACITY for r in rows):
@@ -135,6 +170,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, specs: DataFrame, contain
     id_type, spec_type = items.schema[id_col].dataType, specs.schema[container_col].dataType
     caps = F.array(*[F.struct(F.lit(r[0]).cast(spec_type).alias("container_id"), F.lit(int(r[1])).cast("bigint").alias("cap")) for r in rows]) if rows else F.array().cast(T.ArrayType(T.StructType([T.StructField("container_id", spec_type), T.StructField("cap", T.LongType())])))
     slim = items.where(F.col(size_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.greatest(F.col(size_col).cast("bigint"), F.lit(1).cast("bigint")).alias("size"))
+    slim = materialize(slim)
     each = slim.select("id", "size", F.explode(caps).alias("c")).select("id", "size", "c.*")
     each = each.withColumn("full", F.when(F.col("size") > F.col("cap"), F.floor(F.col("size") / F.col("cap"))).otherwise(0))
     each = each.withColumn("rest", F.col("size") - F.col("full") * F.col("cap")).withColumn("pieces", F.col("full") + (F.col("rest") > 0).cast("bigint"))
@@ -144,17 +180,15 @@ def pack(items: DataFrame, id_col: str, size_col: str, specs: DataFrame, contain
     groups = materialize(open_.groupBy("container_id", "cap", "rest", "part").agg(F.count(F.lit(1)).alias("n")))
     before = W.Window.partitionBy("container_id", "rest").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = groups.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("container_id", "rest", "part", "offset")
-    histogram = groups.groupBy("container_id", "cap", "rest").agg(F.sum("n").alias("n")).toPandas()
-
-    plans = {}
-    for (cid, cap), h in histogram.groupby(["container_id", "cap"]):
-        h = h.sort_values("rest")
-        sizes, counts = h["rest"].to_numpy(np.int64), h["n"].to_numpy(np.int64)
-        bounds = optimal_buckets(sizes, counts, buckets)
-        of = np.searchsorted(bounds, sizes)
-        plan = plan_batches(bounds, np.bincount(of, weights=counts, minlength=len(bounds)).astype(np.int64), int(cap), across)
-        start = np.cumsum(counts) - counts
-        plans[cid] = (dict(zip(sizes.tolist(), zip(of.tolist(), (start - start[np.searchsorted(of, of)]).tolist()))), {b: np.array(r, np.int64) for b, r in plan.runs.items()}, plan.containers)
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = pdf.groupby("rest", sort=True)["n"].sum()
+        made = _plan(h.index.to_numpy(np.int64), h.to_numpy(np.int64), int(pdf["cap"].iloc[0]), buckets, across)
+        return pd.DataFrame({"container_id": pdf["container_id"].iloc[:1], "plan": [pickle.dumps(made)]})
+
+    histogram = groups.groupBy("container_id", "cap", "rest").agg(F.sum("n").alias("n"))
+    made = histogram.groupBy("container_id").applyInPandas(plan, f"container_id {spec_type.simpleString()}, plan binary").collect()
+    plans = {r["container_id"]: pickle.loads(bytes(r["plan"])) for r in made}
     shared = items.sparkSession.sparkContext.broadcast(plans)
 
     rank = W.Window.partitionBy("container_id", "rest", "part").orderBy("id")
@@ -166,15 +200,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, specs: DataFrame, contain
             bins = np.zeros(len(pdf), np.int64)
             cid, rest, rank = pdf["container_id"].to_numpy(), pdf["rest"].to_numpy(), pdf["rank"].to_numpy()
             for c in pd.unique(cid):
-                of_size, runs, _ = shared.value[c]
                 mine = np.flatnonzero(cid == c)
-                at = np.array([of_size[int(r)] for r in rest[mine]])
-                for b in np.unique(at[:, 0]):
-                    rows = mine[at[:, 0] == b]
-                    index = at[at[:, 0] == b, 1] + rank[rows]
-                    table_ = runs[int(b)]
-                    run = table_[np.searchsorted(table_[:, 0], index, side="right") - 1]
-                    bins[rows] = run[:, 2] + (index - run[:, 0]) // run[:, 1]
+                bins[mine] = _bins(shared.value[c], rest[mine], rank[mine])
             yield pd.DataFrame({"container_id": cid, "id": pdf["id"], "piece": pdf["pieces"], "pieces": pdf["pieces"], "tokens": rest, "bin": bins})
 
     packed = ranked.select("container_id", "id", "rest", "pieces", "rank").mapInPandas(place, out)
@@ -185,8 +212,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, specs: DataFrame, contain
     part_before = W.Window.partitionBy("container_id").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     per_part = per_part.withColumn("offset", F.coalesce(F.sum("n").over(part_before), F.lit(0))).select("container_id", "part", "offset")
     used = F.lit(0).cast("bigint")
-    for cid, (_, _, containers) in plans.items():
-        used = F.when(F.col("container_id") == F.lit(cid.item() if hasattr(cid, "item") else cid), F.lit(containers).cast("bigint")).otherwise(used)
+    for cid, made in plans.items():
+        used = F.when(F.col("container_id") == F.lit(cid), F.lit(made["containers"]).cast("bigint")).otherwise(used)
     inside = W.Window.partitionBy("container_id", "part").orderBy("id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
     split = split.withColumn("inside", F.coalesce(F.sum("full").over(inside), F.lit(0))).join(per_part, ["container_id", "part"])
     fulls = split.withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))))

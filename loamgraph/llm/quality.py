@@ -23,11 +23,15 @@ MAX_COMMON_WORDS = 1_000_000
 
 #: Counted per line: places, not whole matches.
 LINE_COUNTS = {
-    "letters": r"\pL",
+    "letters": r"[\pL\pM]",
+    "uncased": r"\p{Lo}",
     "digits": r"\pN",
     "blanks": r"\s",
     "words": r"\pL[\pL\pM'’\-]*",
     "semicolons": r";",
+    "tokens": r"\S+",
+    "alphabetic": r"[^\pL\s]*\pL\S*",
+    "marks": r"#|…|\.\.\.",
     "symbols": r"[^\pL\pM\pN\s.,;:!?'’‘\"“”()\-–—…]",
 }
 
@@ -48,7 +52,7 @@ LINE_TESTS = {
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Thresholds; the first group decides on prose, the second is published practice for web text and only recorded."""
+    """Thresholds. Those of running lines, symbols and bullets decide on prose; the published ones are recorded, and decide alone in ``published``."""
 
     min_running_lines: float = 0.5
     max_symbols: float = 0.3  # of all marks that are not blank
@@ -63,16 +67,24 @@ class QualityRules:
     line_letters: float = 0.72
     line_lower_words: float = 0.3
     capital_words: int = 4
+    line_uncased: float = 0.5  # of its letters, in scripts without case ...
+    uncased_letters: int = 8  # ... and as many of them
+    # Published rules for web text (Rae et al. 2021, table A1):
+    max_marks: float = 0.1  # hash signs and ellipses a word
+    min_alphabetic: float = 0.8
+    min_stop_words: int = 2  # different common words
 
 
 #: Failing one of these makes a document other than natural prose.
 STRUCTURAL = ("no_words", "few_running_lines", "symbols", "bullets")
+#: The published rules, which ``published`` applies alone.
+PUBLISHED = ("too_short", "too_long", "word_length", "marks", "bullets", "ellipses", "few_alphabetic", "few_stop_words")
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_share", pa.float64()), ("digit_share", pa.float64()), ("n_lines", pa.int64()),
-    ("punctuated_share", pa.float64()), ("bullet_share", pa.float64()), ("ellipsis_share", pa.float64()), ("common_share", pa.float64()), ("running_share", pa.float64()), ("reasons", pa.string()), ("is_prose", pa.bool_()),
+    ("punctuated_share", pa.float64()), ("bullet_share", pa.float64()), ("ellipsis_share", pa.float64()), ("common_share", pa.float64()), ("mark_ratio", pa.float64()), ("alphabetic_share", pa.float64()), ("n_stop_words", pa.int64()), ("running_share", pa.float64()), ("reasons", pa.string()), ("is_prose", pa.bool_()),
 ]
-SCHEMA = "doc_id bigint, n_words bigint, mean_word_length double, symbol_share double, digit_share double, n_lines bigint, punctuated_share double, bullet_share double, ellipsis_share double, common_share double, running_share double, reasons string, is_prose boolean"
+SCHEMA = "doc_id bigint, n_words bigint, mean_word_length double, symbol_share double, digit_share double, n_lines bigint, punctuated_share double, bullet_share double, ellipsis_share double, common_share double, mark_ratio double, alphabetic_share double, n_stop_words bigint, running_share double, reasons string, is_prose boolean"
 
 
 def _number(a) -> np.ndarray:
@@ -97,13 +109,25 @@ def line_statistics(lines: pa.Array) -> dict[str, np.ndarray]:
 
 
 def running_lines(s: dict[str, np.ndarray], rules: QualityRules) -> np.ndarray:
-    """Lines that read as part of a sentence: mostly letters, no list or table marks, and words in lower case - or many words all in capitals."""
+    """Lines that read as part of a sentence: mostly letters, no list or table marks, and words in lower case.
+
+    Many words all in capitals will do, and so will many letters of a script that has no case.
+    """
     solid = s["length"] - s["blanks"]
     plain = ~(s["bullet"] | s["numbered"] | s["leaders"] | s["columns"]) & (s["semicolons"] < 2)
     wordy = (s["words"] >= 1) & (s["letters"] >= rules.line_letters * solid)
     lower = s["lower_words"] >= np.maximum(1, rules.line_lower_words * s["words"])
     capitals = ~s["has_lower"] & (s["words"] >= rules.capital_words) & (s["digits"] == 0)
-    return plain & wordy & (lower | capitals)
+    uncased = s["uncased"] >= np.maximum(rules.uncased_letters, rules.line_uncased * s["letters"])
+    return plain & wordy & (lower | capitals | uncased)
+
+
+def _joined(fails: dict[str, np.ndarray]) -> list[str]:
+    """The names that hold in each place, joined by comma; each combination is written once."""
+    code = sum(np.asarray(v, np.int64) << i for i, v in enumerate(fails.values()))
+    kinds, which = np.unique(code, return_inverse=True)
+    text = np.array([",".join(k for i, k in enumerate(fails) if c >> i & 1) for c in kinds.tolist()], dtype=object)
+    return text[which].tolist()
 
 
 def text_statistics(ids: pa.Array, texts: pa.Array, common: pa.Array, rules: QualityRules) -> pa.RecordBatch:
@@ -125,11 +149,15 @@ def text_statistics(ids: pa.Array, texts: pa.Array, common: pa.Array, rules: Qua
     known = _number(pc.is_in(flat, value_set=common)) > 0
     filled = _number(pc.utf8_length(flat)) > 0
     common_share = _share(np.bincount(word_owner, weights=known & filled, minlength=n), np.bincount(word_owner, weights=filled, minlength=n))
+    # Different common words of each document.
+    which = flat.filter(pa.array(known)).dictionary_encode() if known.any() else None
+    pairs = np.unique(word_owner[known].astype(np.int64) * (len(common) + 1) + which.indices.to_numpy(zero_copy_only=False)) // (len(common) + 1) if which is not None else np.zeros(0, np.int64)
+    n_stop_words = np.bincount(pairs, minlength=n)
 
     values = {
         "n_words": n_words, "mean_word_length": _share(per(s["letters"]), n_words), "symbol_share": _share(per(s["symbols"]), solid), "digit_share": _share(per(s["digits"]), solid), "n_lines": n_lines,
         "punctuated_share": _share(per(s["ends_punctuated"]), n_lines), "bullet_share": _share(per(s["bullet"]), n_lines), "ellipsis_share": _share(per(s["ends_ellipsis"]), n_lines),
-        "common_share": common_share, "running_share": _share(per(running_lines(s, rules)), n_lines),
+        "common_share": common_share, "mark_ratio": _share(per(s["marks"]), per(s["tokens"])), "alphabetic_share": _share(per(s["alphabetic"]), per(s["tokens"])), "n_stop_words": n_stop_words, "running_share": _share(per(running_lines(s, rules)), n_lines),
     }
     fails = {
         "no_words": n_words == 0,
@@ -141,8 +169,11 @@ def text_statistics(ids: pa.Array, texts: pa.Array, common: pa.Array, rules: Qua
         "too_long": n_words > rules.max_words,
         "word_length": (values["mean_word_length"] < rules.min_mean_word) | (values["mean_word_length"] > rules.max_mean_word),
         "few_common_words": common_share < rules.min_common,
+        "marks": values["mark_ratio"] > rules.max_marks,
+        "few_alphabetic": values["alphabetic_share"] < rules.min_alphabetic,
+        "few_stop_words": n_stop_words < rules.min_stop_words,
     }
-    reasons = [",".join(k for k in fails if fails[k][i]) for i in range(n)]
+    reasons = _joined(fails)
     prose = ~np.logical_or.reduce([fails[k] for k in STRUCTURAL])
     columns = [ids.cast(pa.int64())] + [pa.array(values[k].astype(np.int64) if t == pa.int64() else values[k], t) for k, t in _FIELDS[1:-2]] + [pa.array(reasons, pa.string()), pa.array(prose)]
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema(_FIELDS))
@@ -168,5 +199,11 @@ def text_quality(documents: DataFrame, common_words: DataFrame, rules: QualityRu
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(measure, SCHEMA)
 
 
+def published(quality: DataFrame) -> DataFrame:
+    """(doc_id, passes, failed): every document by the published thresholds alone, and the rules it fails."""
+    failed = F.array_intersect(F.split("reasons", ","), F.array(*[F.lit(r) for r in PUBLISHED]))
+    return quality.select("doc_id", (F.size(failed) == 0).alias("passes"), F.array_join(failed, ",").alias("failed"))
+
+
 def quality_of(spark, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))

@@ -75,3 +75,25 @@ def test_documents_and_fill(spark):
     assert all(0 < r["fill"] <= 1 for r in fill(out, specs).collect())
     assert pack_documents(docs.where("false"), specs).count() == 0
     assert pack_documents(docs, specs.where("false")).count() == 0
+
+
+def test_many_sizes_are_planned_like_few():
+    rng = np.random.default_rng(4)
+    sizes = np.unique(rng.integers(1, 16_000, 6000))
+    counts = rng.integers(1, 50, len(sizes))
+    got = optimal_buckets(sizes, counts, 128)
+    # No single bound can be moved to the next smaller or larger size for less padding.
+    cost = padding(sizes, counts, got)
+    places = np.searchsorted(sizes, got)
+    for i in range(len(got) - 1):
+        for step in (-1, 1):
+            moved = got.copy()
+            moved[i] = sizes[places[i] + step]
+            assert (np.diff(moved) <= 0).any() or padding(sizes, counts, moved) >= cost
+
+
+def test_method_and_default_split_the_same_items(spark):
+    df = spark.createDataFrame([(i, 1 + (i * 37) % 300) for i in range(500)], "doc bigint, size bigint")
+    specs = spark.createDataFrame([(1, 128)], "c int, cap int")
+    both = [pack(df, "doc", "size", specs, "c", "cap", 32, a).where("pieces > 1 and piece = 1").select("id").collect() for a in (True, False)]
+    assert sorted(both[0]) == sorted(both[1]) and len(both[0]) == sum(1 + (i * 37) % 300 > 128 for i in range(500))

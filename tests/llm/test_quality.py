@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from loamgraph.llm.quality import QualityRules, line_statistics, running_lines, text_quality
+from loamgraph.llm.quality import QualityRules, line_statistics, published, running_lines, text_quality
 
 PROSE = "It was a fine morning when the\nharbour-master came down to the\nquay, and nobody spoke. He had been\naway for three years."
 GERMAN = "Zwischen Roseton und Pelimouth ist ein\nDampfer mit vier Leuten gesehen worden. Im\nHause wohnen jetzt zehn Familien."
@@ -34,6 +34,30 @@ def test_decisions_and_reasons(spark):
     assert text_quality(df.where("false"), words).count() == 0 and text_quality(df, words.where("false")).count() == len(rows)
 
 
+CHINESE = "昨天早晨港口主任来到码头看见许多渔船已经回来\n人们站在岸边没有说话因为风浪还没有平静下来\n他离开这里已经三年了"
+HINDI = "सुबह बहुत सुंदर थी जब बंदरगाह के मालिक\nघाट पर आए और किसी ने कुछ नहीं कहा\nवह तीन साल से दूर थे और अब लौट आए थे"
+ARABIC = "كان صباحا جميلا عندما نزل رئيس الميناء\nإلى الرصيف ولم يتكلم أحد من الناس هناك\nوكان غائبا منذ ثلاث سنوات"
+CHINESE_LIST = "一 | 370 | 770 | 161\n二 | 400 | 44 | 560\n1. 王, 北京, 12\n2. 李, 上海, 13"
+
+
+def test_scripts_without_case(spark):
+    df = spark.createDataFrame(list(enumerate([CHINESE, HINDI, ARABIC, CHINESE_LIST])), "doc_id bigint, text string")
+    words = spark.createDataFrame([("hi", "और"), ("hi", "थी")], "lang string, word string")
+    got = {r["doc_id"]: r for r in text_quality(df, words).collect()}
+    assert [got[i]["is_prose"] for i in range(4)] == [True, True, True, False]
+    assert got[1]["n_words"] == 28 and got[1]["n_stop_words"] == 2
+
+
+def test_published_rules_alone(spark):
+    long = " ".join(["It was the morning and the harbour was still"] * 8)
+    texts = [long, PROSE, "# # " * 40 + long, long.replace("the", "x").replace("and", "y"), "12 34 " * 60 + long, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = spark.createDataFrame([("en", "the"), ("en", "and")], "lang string, word string")
+    got = {r["doc_id"]: (r["passes"], r["failed"]) for r in published(text_quality(df, words)).collect()}
+    assert got[0] == (True, "") and got[1] == (False, "too_short") and got[3] == (False, "few_stop_words")
+    assert got[2] == (False, "marks,few_alphabetic") and got[4] == (False, "few_alphabetic") and got[5][1].startswith("too_short")
+
+
 def test_lines():
     lines = ["away for three years.", "school.", "Item 2 immense, tideboard", "for 45 years, and is now at", "THE HATS TRADE", "23. Heskisley, Kelaby"]
     assert running_lines(line_statistics(pa.array(lines)), QualityRules()).tolist() == [True, True, False, True, False, False]
