@@ -91,45 +91,118 @@ def edge_y(e: np.ndarray, x) -> np.ndarray:
     return e[..., 1] + (e[..., 3] - e[..., 1]) * (x - e[..., 0]) / (e[..., 2] - e[..., 0])
 
 
+#: Pairs of points and polygons that are held at a time (about 100 bytes each).
+PAIRS = 1_000_000
+
+
 class SlabIndex:
-    """Slabs of many polygons as flat arrays; locates points by two binary searches."""
+    """Slabs of many polygons as flat arrays; locates points by two binary searches, all points and polygons at once."""
 
     def __init__(self, polygon: np.ndarray, x0: np.ndarray, x1: np.ndarray, counts: np.ndarray, edges: np.ndarray):
         order = np.lexsort((x0, polygon))
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        self.edges = np.concatenate([edges[starts[i] : starts[i + 1]] for i in order]) if len(order) else edges
-        counts = counts[order]
-        self.polygon, self.x0, self.x1 = polygon[order], x0[order], x1[order]
+        starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        counts = np.asarray(counts)[order]
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        self.parts, at = np.unique(self.polygon, return_index=True)
-        self.bounds = list(zip(at, [*at[1:], len(self.polygon)]))
-        self.box = []
-        for a, b in self.bounds:
-            e = self.edges[self.first[a] : self.first[b]]
-            self.box.append((self.x0[a], self.x1[b - 1], e[:, [1, 3]].min(), e[:, [1, 3]].max()))
+        row = np.repeat(np.arange(len(order)), counts)
+        self.edges = edges[starts[order][row] + np.arange(len(row)) - self.first[row]]
+        polygon, self.x0, self.x1 = polygon[order], x0[order], x1[order]
+        self.parts, self.begin = np.unique(polygon, return_index=True)
+        self.end = np.append(self.begin[1:], len(polygon))
+        if len(order):
+            ys = self.edges[:, [1, 3]]
+            low, high = np.minimum.reduceat(ys.min(axis=1), self.first[self.begin]), np.maximum.reduceat(ys.max(axis=1), self.first[self.begin])
+            self.box = self.x0[self.begin], np.maximum.reduceat(self.x1, self.begin), low, high
+
+    def _ranges(self, x: np.ndarray, y: np.ndarray):
+        """(order of the points, polygon and range in that order) of points whose band and x may meet a polygon's box."""
+        bx0, bx1, by0, by1 = self.box
+        height = max(float((by1 - by0).mean()), 1e-9)
+        base = min(float(y.min()), float(by0.min()))
+        height = max(height, (max(float(y.max()), float(by1.max())) - base) / (1 << 28))
+        west = min(float(x.min()), float(bx0.min()))
+        unit = (max(float(x.max()), float(bx1.max())) - west) / (1 << 30) or 1.0
+        band = lambda v: np.floor((v - base) / height).astype(np.int64)
+        place = lambda v: np.floor((v - west) / unit).astype(np.int64)
+        key = (band(y) << 32) | place(x)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        n = band(by1) - band(by0) + 1
+        polygon = np.repeat(np.arange(len(n)), n)
+        at = band(by0)[polygon] + np.arange(len(polygon)) - np.repeat(np.cumsum(n) - n, n)
+        lo = np.searchsorted(key, (at << 32) | np.maximum(place(bx0)[polygon] - 1, 0))
+        hi = np.searchsorted(key, (at << 32) | (place(bx1)[polygon] + 1), side="right")
+        some = hi > lo
+        return order, polygon[some], lo[some], hi[some]
 
     def locate(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the point, polygon) for every polygon that holds the point."""
-        by_x = np.argsort(x, kind="stable")
-        xs = x[by_x]
-        points, found = [], []
-        for part, (a, b), (bx0, bx1, by0, by1) in zip(self.parts, self.bounds, self.box):
-            i = by_x[np.searchsorted(xs, bx0) : np.searchsorted(xs, bx1)]
-            i = i[(y[i] >= by0) & (y[i] <= by1)]
-            if not len(i):
-                continue
-            slab = a + np.searchsorted(self.x0[a:b], x[i], side="right") - 1
-            ok = (slab >= a) & (x[i] < self.x1[np.maximum(slab, a)])
-            i, slab = i[ok], slab[ok]
-            lo, hi = self.first[slab], self.first[slab + 1]
-            start = lo.copy()
-            while (open_ := lo < hi).any():
-                mid = np.where(open_, (lo + hi) // 2, 0)
-                below = open_ & (edge_y(self.edges[mid], x[i]) < y[i])
-                lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
-            inside = (lo - start) % 2 == 1
-            points.append(i[inside])
-            found.append(np.full(inside.sum(), part))
-        if not points:
-            return np.zeros(0, int), np.zeros(0, int)
+        points, found = [np.zeros(0, np.int64)], [self.parts[:0]]
+        if len(x) and len(self.parts):
+            order, polygon, lo, hi = self._ranges(x, y)
+            run = np.cumsum(hi - lo) // PAIRS
+            for k in np.unique(run):
+                rows = np.flatnonzero(run == k)
+                n = hi[rows] - lo[rows]
+                row = np.repeat(np.arange(len(rows)), n)
+                i = order[lo[rows][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+                i, part = self._inside(x, y, i, polygon[rows][row])
+                points.append(i)
+                found.append(self.parts[part])
         return np.concatenate(points), np.concatenate(found)
+
+    def _inside(self, x, y, i, part):
+        """Of the pairs of point and polygon those of which the polygon holds the point."""
+        bx0, bx1, by0, by1 = self.box
+        near = (x[i] >= bx0[part]) & (x[i] < bx1[part]) & (y[i] >= by0[part]) & (y[i] <= by1[part])
+        i, part = i[near], part[near]
+        slab = search(self.x0, self.begin[part], self.end[part], x[i], True) - 1
+        ok = (slab >= self.begin[part]) & (x[i] < self.x1[np.maximum(slab, 0)])
+        i, part, slab = i[ok], part[ok], slab[ok]
+        lo, hi = self.first[slab], self.first[slab + 1]
+        start = lo
+        while (open_ := lo < hi).any():
+            mid = np.where(open_, (lo + hi) // 2, 0)
+            below = open_ & (edge_y(self.edges[mid], x[i]) < y[i])
+            lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
+        inside = (lo - start) % 2 == 1
+        return i[inside], part[inside]
+
+
+def search(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """``np.searchsorted`` of each wanted number in its own range lo..hi of ``values``."""
+    while (open_ := lo < hi).any():
+        mid = np.where(open_, (lo + hi) // 2, 0)
+        below = open_ & ((values[mid] <= wanted) if right else (values[mid] < wanted))
+        lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
+    return lo
+
+
+def great_circle_m(lat1, lng1, lat2, lng2) -> np.ndarray:
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lng2 - lng1) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
+
+
+def circle_slabs(lat: np.ndarray, lng: np.ndarray, radius_m: float):
+    """Slabs of a polygon around the circle of each point: (point, x0, x1, edges, copy).
+
+    The polygon is an octagon around the circle, a little wider than it, that
+    stretches with the latitude; where the circle comes near a pole it is the whole
+    band of latitudes. Polygons that cross meridian 180 have a copy beyond it.
+    """
+    turn = np.pi / 8 * (1 + 2 * np.arange(8))
+    ring = np.column_stack([np.cos(turn), np.sin(turn)]) / np.cos(np.pi / 8)
+    cap = np.array([[-1.0, -1.0], [1.0, -1.0], [1.0, 1.0], [-1.0, 1.0]])
+    reach = np.degrees(radius_m / EARTH_RADIUS_M) * 1.01
+    polar = np.abs(lat) + reach >= 89.9
+    width = np.where(polar, 361.0, reach / np.maximum(np.cos(np.radians(np.minimum(np.abs(lat) + reach, 89.95))), 1e-9))
+    out = []
+    for shape, rows in ((ring, np.flatnonzero(~polar)), (cap, np.flatnonzero(polar))):
+        shifts = (0.0,) if shape is cap else (0.0, 360.0, -360.0)
+        for copy, shift in enumerate(shifts):
+            r = rows if shift == 0 else rows[(lng[rows] + shift - width[rows] < 180) & (lng[rows] + shift + width[rows] > -180)]
+            for x0, x1, e in slabs_of([shape]) if len(r) else ():
+                move = np.column_stack([lng[r] + shift, lat[r], lng[r] + shift, lat[r]])
+                size = np.column_stack([width[r], np.full(len(r), reach), width[r], np.full(len(r), reach)])
+                edges = e[None, :, :] * size[:, None, :] + move[:, None, :]
+                out.append((r, x0 * width[r] + lng[r] + shift, x1 * width[r] + lng[r] + shift, edges, np.full(len(r), copy)))
+    return out

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.geometry import EARTH_RADIUS_M, SlabIndex, polygons_of, slabs_of
+from loamgraph.functions.geometry import EARTH_RADIUS_M, SlabIndex, circle_slabs, great_circle_m, polygons_of, slabs_of
 from loamgraph.runtime import join_checked, materialize, table
 
 #: Points of a grid cell beyond which it is split among several tasks.
@@ -18,8 +18,8 @@ HOT_CELL = 5_000
 BROADCAST_EDGES = 1_000_000
 #: Side of the tiles, in degrees, by which slabs and points meet beyond that.
 TILE_DEG = 0.5
-#: Points of a tile that one task locates at a time.
-TILE_POINTS = 200_000
+#: Points, and polygons, of a tile that meet in one task.
+TILE_POINTS = 50_000
 
 
 def position_counts(lat: Column, lng: Column) -> Column:
@@ -96,47 +96,73 @@ def near_pairs(points: DataFrame, radius_m: float, hot_cell: int = HOT_CELL) ->
     return pairs.withColumn("metres", metres).where(F.col("metres") <= radius_m).select(F.col("id").alias("left_id"), F.col("id2").alias("right_id"), "metres")
 
 
-_SLAB = "region string, part long, x0 double, x1 double, n int, edges array<double>"
+_SLAB = "region string, part int, x0 double, x1 double, n int, edges array<double>"
 
 
 def region_slabs(regions: DataFrame, id_col: str, depiction: str) -> DataFrame:
-    """The slabs of each polygon of each region, in parallel; ``part`` numbers polygons.
+    """The slabs of each polygon of each region, in parallel; ``part`` numbers a region's polygons.
 
     Depictions that are null, empty, not GeoJSON or without area have no slabs.
-    Rows with a null id are left out; repeated regions repeat their slabs.
+    Rows with a null id are left out; repeated regions count once.
     """
 
     def slabs(batches):
         for pdf in batches:
             rows = []
-            for region, text in zip(pdf["region"], pdf["text"]):
-                for k, rings in enumerate(polygons_of(text)):
-                    part = int(pd.util.hash_pandas_object(pd.Series([f"{region}\n{k}"]), index=False).iloc[0] >> np.uint64(1))
-                    rows += [(region, part, x0, x1, len(e), e.ravel()) for x0, x1, e in slabs_of(rings)]
+            for region, texts in zip(pdf["region"], pdf["texts"]):
+                for k, rings in enumerate(p for t in sorted(texts) for p in polygons_of(t)):
+                    rows += [(region, k, x0, x1, len(e), e.ravel()) for x0, x1, e in slabs_of(rings)]
             yield pd.DataFrame(rows, columns=["region", "part", "x0", "x1", "n", "edges"])
 
-    return regions.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("region"), F.col(depiction).alias("text")).mapInPandas(slabs, _SLAB)
+    # Deliveries of one region that differ are polygons of the same region, so their numbers go on.
+    texts = regions.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("region")).agg(F.collect_set(depiction).alias("texts"))
+    return texts.mapInPandas(slabs, _SLAB)
 
 
-def _index(pdf: pd.DataFrame) -> tuple[SlabIndex, dict]:
-    names = dict(zip(pdf["part"], pdf["region"]))
-    edges = np.concatenate([np.asarray(e, float) for e in pdf["edges"]]).reshape(-1, 4)
-    return SlabIndex(pdf["part"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), pdf["n"].to_numpy(), edges), names
+def _index(region: np.ndarray, part: np.ndarray, x0: np.ndarray, x1: np.ndarray, n: np.ndarray, edges: np.ndarray) -> tuple[SlabIndex, np.ndarray]:
+    """The index of all slabs, whose polygons are numbers, and the region of each number."""
+    names, regions = pd.factorize(region)
+    polygons, which = np.unique(names.astype(np.int64) * (int(part.max(initial=0)) + 1) + part, return_inverse=True)
+    return SlabIndex(which, x0, x1, n, edges.reshape(-1, 4)), np.asarray(regions, object)[polygons // (int(part.max(initial=0)) + 1)]
 
 
-def _links(points: pd.DataFrame, at: np.ndarray, parts, names: dict) -> pd.DataFrame:
+def _index_of(pdf: pd.DataFrame) -> tuple[SlabIndex, np.ndarray]:
+    edges = np.concatenate([np.asarray(e, float) for e in pdf["edges"]]) if len(pdf) else np.zeros(0)
+    return _index(pdf["region"].to_numpy(), pdf["part"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), pdf["n"].to_numpy(), edges)
+
+
+def _links(points: pd.DataFrame, at: np.ndarray, regions: np.ndarray) -> pd.DataFrame:
     """Distinct (point, region); several polygons of a region may hold one point."""
-    pairs = list(dict.fromkeys((int(i), names[p]) for i, p in zip(at, parts)))
+    out = pd.DataFrame({"at": at, "right_id": np.asarray(regions, object)}).drop_duplicates()
     ids = points["id"].astype(object).to_numpy()
-    return pd.DataFrame({"left_id": np.array([ids[i] for i, _ in pairs], dtype=object), "right_id": np.array([r for _, r in pairs], dtype=object)}, dtype=object)
+    return pd.DataFrame({"left_id": ids[out["at"].to_numpy()] if len(out) else np.zeros(0, object), "right_id": out["right_id"].to_numpy()}, dtype=object)
+
+
+def _tile(c: Column) -> Column:
+    return F.floor(c / TILE_DEG).cast("int")
+
+
+def _meeting(points: DataFrame, slabs: DataFrame, low: Column, high: Column) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points and slabs with the keys under which they meet: tiles of the map, crowded ones cut in parts of points times parts of polygons."""
+    tiles = slabs.withColumn("tx", F.explode(F.sequence(_tile(F.greatest("x0", F.lit(-180.0))), _tile(F.least("x1", F.lit(180.0))))))
+    tiles = tiles.withColumn("ty", F.explode(F.sequence(_tile(low), _tile(high))))
+    placed = points.withColumns({"tx": _tile(F.col("lng")), "ty": _tile(F.col("lat"))})
+    parts = lambda c, name: F.ceil(F.coalesce(F.col(c), F.lit(0)) / TILE_POINTS).cast("int").alias(name)
+    crowd = placed.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    load = tiles.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("m"))
+    crowd = materialize(crowd.join(load, ["tx", "ty"]).select("tx", "ty", parts("n", "p"), parts("m", "s")))
+    placed = join_checked(placed, crowd, ["tx", "ty"]).withColumn("pn", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("sn", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    tiles = join_checked(tiles, crowd, ["tx", "ty"]).withColumn("sn", F.pmod(F.xxhash64("region", "part"), F.col("s")).cast("int")).withColumn("pn", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return placed.drop("p", "s"), tiles.drop("p", "s"), ["tx", "ty", "pn", "sn"]
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, id_col: str, depiction: str, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(left_id, right_id) for every point of ``points(id, lat, lng)`` and region that contains it.
 
     Slabs up to ``broadcast_edges`` edges go to every task; beyond that slabs and
-    points meet by tiles of the map, crowded tiles split by a salt. Either way a
-    point's slab and its place among the slab's edges are found by binary search.
+    points meet by tiles of the map, crowded tiles split on both sides. Either way a
+    point's slab and its place among the slab's edges are found by binary search,
+    for all points and polygons at once.
     """
     slabs = materialize(region_slabs(regions, id_col, depiction))
     total = slabs.agg(F.sum("n")).first()[0] or 0
@@ -147,41 +173,75 @@ def points_in_regions(points: DataFrame, regions: DataFrame, id_col: str, depict
         return points.select(F.col("id").alias("left_id"), F.lit(None).cast("string").alias("right_id")).where("false")
 
     if total <= broadcast_edges:
-        shared = points.sparkSession.sparkContext.broadcast(slabs.toPandas())
+        shared = points.sparkSession.sparkContext.broadcast(_index_of(slabs.toPandas()))
 
         def locate(batches):
-            index, names = _index(shared.value)
+            index, names = shared.value
             for pdf in batches:
-                i, part = index.locate(pdf["lng"].to_numpy(), pdf["lat"].to_numpy())
-                yield _links(pdf, i, part, names)
+                i, polygon = index.locate(pdf["lng"].to_numpy(), pdf["lat"].to_numpy())
+                yield _links(pdf, i, names[polygon])
 
         return points.mapInPandas(locate, out)
 
-    tile = lambda c: F.floor(c / TILE_DEG).cast("int")
     ys = F.filter("edges", lambda v, i: i % 2 == 1)
-    low, high = F.array_min(ys), F.array_max(ys)
-    tiles = slabs.withColumn("tx", F.explode(F.sequence(tile(F.col("x0")), tile(F.col("x1"))))).withColumn("ty", F.explode(F.sequence(tile(low), tile(high))))
-    placed = points.withColumns({"tx": tile(F.col("lng")), "ty": tile(F.col("lat"))})
-    crowd = placed.groupBy("tx", "ty").count().select("tx", "ty", F.ceil(F.col("count") / TILE_POINTS).cast("int").alias("parts"))
-    crowd = materialize(crowd)
-    placed = join_checked(placed, crowd, ["tx", "ty"]).withColumn("part_no", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = join_checked(tiles, crowd, ["tx", "ty"]).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed, tiles, keys = _meeting(points, slabs, F.array_min(ys), F.array_max(ys))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        index, names = _index_of(right)
+        i, polygon = index.locate(left["lng"].to_numpy(), left["lat"].to_numpy())
+        return _links(left, i, names[polygon])
+
+    left = placed.select("id", "lat", "lng", *keys).groupBy(*keys)
+    found = left.cogroup(tiles.select("region", "part", "x0", "x1", "n", "edges", *keys).groupBy(*keys)).applyInPandas(meet, out)
+    return found.distinct()  # polygons of one region may have met a point in different parts
+
+
+def near_by_slabs(points: DataFrame, radius_m: float) -> DataFrame:
+    """(left_id, right_id, metres) for all pairs of ``points(id, lat, lng)`` within ``radius_m``, smaller id first.
+
+    Each point's circle is drawn around by a polygon (``circle_slabs``) and the
+    points are located in these by the slabs, as in regions; the great-circle
+    distance then settles each pair that is found. Polygons and points meet by
+    tiles, crowded tiles are cut on both sides. Meridian 180 and the poles are
+    handled; ids are to be distinct; null ids and positions that do not count have
+    no pairs.
+    """
+    points = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    points = points.where(F.col("id").isNotNull() & position_counts(F.col("lat"), F.col("lng")))
+    kind = points.schema["id"].dataType.simpleString()
+
+    def draw(batches):
+        for pdf in batches:
+            lat, lng = pdf["lat"].to_numpy(), pdf["lng"].to_numpy()
+            for r, x0, x1, edges, copy in circle_slabs(lat, lng, radius_m):
+                yield pd.DataFrame({"region": pdf["id"].to_numpy()[r], "part": copy.astype(np.int32), "x0": x0, "x1": x1, "lat2": lat[r], "lng2": lng[r], "edges": list(edges.reshape(len(r), -1))})
+
+    slabs = materialize(points.mapInPandas(draw, f"region {kind}, part int, x0 double, x1 double, lat2 double, lng2 double, edges array<double>"))
+    reach = math.degrees(radius_m / EARTH_RADIUS_M) * 1.02
+    placed, tiles, keys = _meeting(points, slabs, F.col("lat2") - reach, F.col("lat2") + reach)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return _links(left, np.zeros(0, int), [], {})
-        index, names = _index(right)
-        return _links(left, *index.locate(left["lng"].to_numpy(), left["lat"].to_numpy()), names)
+            return pd.DataFrame({"left_id": [], "right_id": [], "metres": []}, dtype=object)
+        edges = np.concatenate(right["edges"].to_numpy())
+        index, names = _index(right["region"].to_numpy(), right["part"].to_numpy(), right["x0"].to_numpy(), right["x1"].to_numpy(), np.array([len(e) // 4 for e in right["edges"]]), edges)
+        i, polygon = index.locate(left["lng"].to_numpy(), left["lat"].to_numpy())
+        centre = right.drop_duplicates("region").set_index("region")[["lat2", "lng2"]]
+        other = names[polygon]
+        c = centre.loc[other].to_numpy()
+        metres = great_circle_m(left["lat"].to_numpy()[i], left["lng"].to_numpy()[i], c[:, 0], c[:, 1])
+        mine = left["id"].astype(object).to_numpy()[i]
+        kept = np.flatnonzero((metres <= radius_m) & (mine < other)) if len(i) else np.zeros(0, int)
+        return pd.DataFrame({"left_id": pd.Series(mine[kept], dtype=object), "right_id": pd.Series(other[kept], dtype=object), "metres": metres[kept]})
 
-    keys = ["tx", "ty", "part_no"]
     left = placed.select("id", "lat", "lng", *keys).groupBy(*keys)
-    return left.cogroup(tiles.select("region", "part", "x0", "x1", "n", "edges", *keys).groupBy(*keys)).applyInPandas(meet, out)
+    return left.cogroup(tiles.select("region", "part", "x0", "x1", "lat2", "lng2", "edges", *keys).groupBy(*keys)).applyInPandas(meet, f"left_id {kind}, right_id {kind}, metres double")
 
 
 def relations(observations: DataFrame, regions: DataFrame, radius_m: float = 50.0) -> DataFrame:
     """(relation, left_id, right_id): observations near each other and within regions."""
     points = materialize(distinct_points(observations, "_id", "geo_lat", "geo_long", "loaded_at"))
-    near = near_pairs(points, radius_m).select(F.lit("near").alias("relation"), "left_id", "right_id")
+    near = near_by_slabs(points, radius_m).select(F.lit("near").alias("relation"), "left_id", "right_id")
     within = points_in_regions(points, regions, "_id", "bold_spatialdepiction").select(F.lit("within").alias("relation"), "left_id", "right_id")
     return near.unionByName(within)
 
@@ -190,12 +250,19 @@ def relations_of(spark, sf_dir: str) -> DataFrame:
     return relations(table(spark, sf_dir, "observation"), table(spark, sf_dir, "study_region"))
 
 
-def degrees_of(spark, sf_dir: str) -> DataFrame:
-    """(observation_id, n_near, n_regions) for every observation whose position counts."""
-    observations = table(spark, sf_dir, "observation")
-    found = materialize(relations(observations, table(spark, sf_dir, "study_region")))
-    near = found.where("relation = 'near'")
+def degrees(observations: DataFrame, regions: DataFrame, radius_m: float = 50.0) -> DataFrame:
+    """(observation_id, n_near, n_regions) for every observation whose position counts.
+
+    Pairs come from the grid join and are counted as they arise, map-side first; they are not kept.
+    """
+    points = materialize(distinct_points(observations, "_id", "geo_lat", "geo_long", "loaded_at"))
+    near = near_pairs(points, radius_m)
     n_near = near.select(F.explode(F.array("left_id", "right_id")).alias("observation_id")).groupBy("observation_id").agg(F.count(F.lit(1)).alias("n_near"))
-    n_regions = found.where("relation = 'within'").groupBy(F.col("left_id").alias("observation_id")).agg(F.count(F.lit(1)).alias("n_regions"))
-    points = distinct_points(observations, "_id", "geo_lat", "geo_long", "loaded_at").select(F.col("id").alias("observation_id"))
-    return points.join(n_near, "observation_id", "left").join(n_regions, "observation_id", "left").na.fill(0, ["n_near", "n_regions"])
+    within = points_in_regions(points, regions, "_id", "bold_spatialdepiction")
+    n_regions = within.groupBy(F.col("left_id").alias("observation_id")).agg(F.count(F.lit(1)).alias("n_regions"))
+    out = points.select(F.col("id").alias("observation_id"))
+    return out.join(n_near, "observation_id", "left").join(n_regions, "observation_id", "left").na.fill(0, ["n_near", "n_regions"])
+
+
+def degrees_of(spark, sf_dir: str) -> DataFrame:
+    return degrees(table(spark, sf_dir, "observation"), table(spark, sf_dir, "study_region"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loamgraph.functions.geometry import SlabIndex, polygons_of, slabs_of
-from loamgraph.operators.spatial import distinct_points, near_pairs, points_in_regions
+from loamgraph.operators.spatial import degrees, distinct_points, near_by_slabs, near_pairs, points_in_regions, relations
 
 R = 6_371_008.8
 
@@ -30,8 +30,7 @@ def even_odd(rings, x, y):
     return inside
 
 
-@pytest.mark.parametrize("hot_cell", [2, 5000])
-def test_near_equals_brute_force_at_poles_and_date_line(spark, hot_cell):
+def test_near_equals_brute_force_at_poles_and_date_line(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = [(0.0, 180.0), (90.0, 0.0), (-90.0, 10.0), (60.0, -180.0), (45.0, 7.0), (89.9995, 120.0), (-0.0001, 0.0001)]
     points = []
@@ -42,12 +41,31 @@ def test_near_equals_brute_force_at_poles_and_date_line(spark, hot_cell):
             points.append((f"p{len(points):03}", lat, float(lng)))
     points += [("same1", 10.0, 10.0), ("same2", 10.0, 10.0), ("zero", 0.0, 0.0), ("bad", 95.0, 3.0), ("nan", float("nan"), 3.0), (None, 10.0, 10.0), ("half", None, 10.0)]
     df = spark.createDataFrame(points, "id string, lat double, lng double")
-    got = {(r[0], r[1]) for r in near_pairs(df, 50, hot_cell).collect()}
-    assert got == brute_near([p for p in points if p[0] not in ("zero", "bad", "nan", "half", None)], 50)
+    pairs = lambda out: sorted((r[0], r[1]) for r in out.collect())
+    want = sorted(brute_near([p for p in points if p[0] not in ("zero", "bad", "nan", "half", None)], 50))
+    assert pairs(near_pairs(df, 50, 2)) == want and pairs(near_pairs(df, 50, 5000)) == want
+    assert pairs(near_by_slabs(df, 50)) == want
+    monkeypatch.setattr("loamgraph.operators.spatial.TILE_POINTS", 7)  # every tile is crowded
+    assert pairs(near_by_slabs(df, 50)) == want
+
+
+def test_near_by_slabs_in_a_crowded_place(spark):
+    rng = np.random.default_rng(8)
+    points = [(i, 46.0 + float(a), 8.0 + float(b)) for i, (a, b) in enumerate(rng.normal(scale=8e-4, size=(700, 2)))]
+    got = near_by_slabs(spark.createDataFrame(points, "id bigint, lat double, lng double"), 50).collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == brute_near(points, 50) and len(got) == len({(r["left_id"], r["right_id"]) for r in got})
+
+
+def test_relations_and_degrees(spark):
+    obs = spark.createDataFrame([("a", 1.0, 1.0, 1), ("b", 1.0001, 1.0, 1), ("c", 1.0002, 1.0, 1), ("c", 50.0, 1.0, 2), ("d", 40.0, 1.0, 1), ("e", None, None, 1)], "_id string, geo_lat double, geo_long double, loaded_at int")
+    regions = spark.createDataFrame([("r", json.dumps({"type": "Polygon", "coordinates": [SQUARE]})), ("r", json.dumps({"type": "Polygon", "coordinates": [[[0, 39], [5, 39], [5, 41], [0, 41]]]}))], "_id string, bold_spatialdepiction string")
+    assert sorted(tuple(r) for r in relations(obs, regions).collect()) == [("near", "a", "b"), ("near", "a", "c"), ("near", "b", "c"), ("within", "a", "r"), ("within", "b", "r"), ("within", "c", "r"), ("within", "d", "r")]
+    assert sorted(tuple(r) for r in degrees(obs, regions).collect()) == [("a", 2, 1), ("b", 2, 1), ("c", 2, 1), ("d", 0, 1)]
 
 
 def test_near_on_empty(spark):
-    assert near_pairs(spark.createDataFrame([], "id string, lat double, lng double"), 50).count() == 0
+    for near in (near_pairs, near_by_slabs):
+        assert near(spark.createDataFrame([], "id string, lat double, lng double"), 50).count() == 0
 
 
 def test_first_delivery_counts_and_extra_columns(spark):
