@@ -90,6 +90,19 @@ def low_speed(session: np.ndarray, t: np.ndarray, xyz: np.ndarray, keep: np.ndar
     return ok & (np.sqrt(((s[m] - s) ** 2).sum(axis=1)) <= reach)
 
 
+def slow_runs(session: np.ndarray, t: np.ndarray, xyz: np.ndarray, keep: np.ndarray, max_speed: float, min_pings: int, min_ms: int) -> np.ndarray:
+    """(first, last) ping of the longest runs of simplified segments that are each passed at ``max_speed`` m/s at most."""
+    kept = np.flatnonzero(keep)
+    a, b = kept[:-1], kept[1:]
+    inside = session[a] == session[b]
+    slow = inside & (great_circle(xyz[a], xyz[b]) * 1000.0 <= max_speed * (t[b] - t[a]))
+    edge = np.diff(np.concatenate([[0], (slow & inside).astype(np.int8), [0]]))
+    # A run also ends where a session does, as segments across sessions are not slow.
+    first, last = kept[np.flatnonzero(edge == 1)], kept[np.flatnonzero(edge == -1)]
+    long = (last - first + 1 >= min_pings) & (t[last] - t[first] >= min_ms)
+    return np.column_stack([first[long], last[long]])
+
+
 def smallest_circle(p: np.ndarray) -> float:
     """Radius of the smallest circle around plane points: grown by the farthest point until none lies outside."""
     h = _hull(p)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loamgraph.functions.tracks import find_stops, great_circle, low_speed, noise, on_sphere, simplify
+from loamgraph.functions.tracks import find_stops, great_circle, low_speed, noise, on_sphere, simplify, slow_runs
 from loamgraph.operators.heavykeys import epoch_ms
 from loamgraph.operators.ids import qname, read_context
 from loamgraph.operators.spatial import position_counts
@@ -39,7 +39,7 @@ _OUT = "kind string, device string, collar string, start_ms bigint, end_ms bigin
 _ARROW = pa.schema([("kind", pa.string()), ("device", pa.string()), ("collar", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("n_pings", pa.int64()), ("distance_m", pa.float64()), ("lat", pa.float64()), ("lng", pa.float64())])
 
 
-def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings: int = HOT_PINGS) -> DataFrame:
+def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings: int = HOT_PINGS, by_segments: bool = False) -> DataFrame:
     """Stops and trips of ``pings(ping, device, collar, t, lat, lng)`` (t in epoch milliseconds).
 
     Pings are shuffled by device and collar and sorted by time; each task reads its
@@ -54,6 +54,9 @@ def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings:
     device, collar and time count once; other ties are ordered by ping id. A silence
     ends a session. An empty table gives no rows. A device and collar with more than
     ``hot_pings`` pings are split at silences, see ``split_hot``.
+
+    With ``by_segments`` the simplified track alone decides: stops are the longest
+    runs of segments passed no faster than the stop's width in its least time.
     """
     good = F.col("device").isNotNull() & F.col("t").isNotNull() & position_counts(F.col("lat"), F.col("lng"))
     slim = pings.where(good).select(
@@ -67,10 +70,10 @@ def stops_and_trips(pings: DataFrame, rules: TripRules = TripRules(), hot_pings:
         slim = split_hot(slim, rules.max_silence_ms, hot_pings)
     ordered = slim.repartition("device", "collar", "stretch").sortWithinPartitions("device", "collar", "stretch", "t", "p")
 
-    return ordered.mapInArrow(track_reader(rules), _OUT)
+    return ordered.mapInArrow(track_reader(rules, by_segments), _OUT)
 
 
-def track_reader(rules: TripRules):
+def track_reader(rules: TripRules, by_segments: bool = False):
     """Turns a stream of batches, sorted by device, collar, stretch and time, into batches of stops and trips."""
 
     def run(batches):
@@ -83,13 +86,13 @@ def track_reader(rules: TripRules):
             if rows < want:
                 continue
             tab = pa.Table.from_batches(held).combine_chunks()
-            out, tab, before = _work(tab, before, rules, False)
+            out, tab, before = _work(tab, before, rules, False, by_segments)
             if out is not None:
                 yield out
             held, rows = tab.to_batches(), tab.num_rows
             want = max(CHUNK, 2 * rows)
         if held:
-            out, _, _ = _work(pa.Table.from_batches(held).combine_chunks(), before, rules, True)
+            out, _, _ = _work(pa.Table.from_batches(held).combine_chunks(), before, rules, True, by_segments)
             if out is not None:
                 yield out
 
@@ -136,7 +139,7 @@ def _changes(column: pa.ChunkedArray) -> np.ndarray:
     return i[1:] != i[:-1]
 
 
-def _work(tab: pa.Table, before, rules: TripRules, final: bool):
+def _work(tab: pa.Table, before, rules: TripRules, final: bool, by_segments: bool):
     """(results, pings still to come back to, the ping before those)."""
     n = tab.num_rows
     if not n:
@@ -169,7 +172,7 @@ def _work(tab: pa.Table, before, rules: TripRules, final: bool):
         if cut == 0:
             return None, tab, before
     good = np.flatnonzero(~bad[:cut] & ~aside[:cut])
-    out = _sessions(tab, row, good, group, t, lat, lng, xyz, rules)
+    out = _sessions(tab, row, good, group, t, lat, lng, xyz, rules, by_segments)
     if final:
         return out, None, None
     same = group[cut] == group[cut - 1]
@@ -181,20 +184,26 @@ def _key(tab: pa.Table, i: int) -> tuple:
     return tuple(tab.column(c)[i].as_py() for c in ("device", "collar", "stretch"))
 
 
-def _sessions(tab, row, good, group, t, lat, lng, xyz, rules: TripRules):
+def _sessions(tab, row, good, group, t, lat, lng, xyz, rules: TripRules, by_segments: bool):
     if not len(good):
         return None
     row, group, t, lat, lng, xyz = row[good], group[good], t[good], lat[good], lng[good], xyz[good]
     fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (np.diff(t) > rules.max_silence_ms)])
     session = np.cumsum(fresh) - 1
     keep = simplify(session, t, xyz, rules.tolerance_m)
-    slow = low_speed(session, t, xyz, keep, rules.min_stop_ms, 2 * (rules.radius_m + rules.tolerance_m))
     first = np.flatnonzero(fresh)
     last = np.concatenate([first[1:], [len(t)]])
+    if by_segments:
+        runs = slow_runs(session, t, xyz, keep, 2000.0 * rules.radius_m / rules.min_stop_ms, rules.min_pings, rules.min_stop_ms)
+        where = session[runs[:, 0]]
+        found = ((s, (runs[where == s] - first[s]).tolist()) for s in np.unique(where))
+    else:
+        slow = low_speed(session, t, xyz, keep, rules.min_stop_ms, 2 * (rules.radius_m + rules.tolerance_m))
+        look = lambda a, b: find_stops(t[a:b], lat[a:b], lng[a:b], slow[a:b], rules.radius_m, rules.min_pings, rules.min_stop_ms)
+        found = ((s, look(first[s], last[s])) for s in np.unique(session[slow]))
     rows = []
-    for s in np.unique(session[slow]):
-        a, b = first[s], last[s]
-        stops = find_stops(t[a:b], lat[a:b], lng[a:b], slow[a:b], rules.radius_m, rules.min_pings, rules.min_stop_ms)
+    for s, stops in found:
+        a = first[s]
         previous = None
         for i, j in stops:
             i, j = a + i, a + j
@@ -214,7 +223,7 @@ def _sessions(tab, row, good, group, t, lat, lng, xyz, rules: TripRules):
     return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=_ARROW)
 
 
-def trips_of_reports(reports: DataFrame, context: DataFrame, rules: TripRules = TripRules()) -> DataFrame:
+def trips_of_reports(reports: DataFrame, context: DataFrame, rules: TripRules = TripRules(), by_segments: bool = False) -> DataFrame:
     """(kind, animal_id, collar, start_ms, end_ms, duration_s, n_pings, distance_m, lat, lng) over tracking reports."""
     animal = qname(F.col("bold_animal"), read_context(context))
     pings = reports.select(
@@ -225,12 +234,12 @@ def trips_of_reports(reports: DataFrame, context: DataFrame, rules: TripRules =
         F.col("geo_lat").alias("lat"),
         F.col("geo_long").alias("lng"),
     )
-    out = stops_and_trips(pings, rules)
+    out = stops_and_trips(pings, rules, by_segments=by_segments)
     return out.select("kind", F.col("device").alias("animal_id"), "collar", "start_ms", "end_ms", ((F.col("end_ms") - F.col("start_ms")) / 1000).alias("duration_s"), "n_pings", "distance_m", "lat", "lng")
 
 
-def trips_of(spark, sf_dir: str) -> DataFrame:
-    return trips_of_reports(table(spark, sf_dir, "tracking_report"), table(spark, sf_dir, "jsonld_context"))
+def trips_of(spark, sf_dir: str, by_segments: bool = False) -> DataFrame:
+    return trips_of_reports(table(spark, sf_dir, "tracking_report"), table(spark, sf_dir, "jsonld_context"), by_segments=by_segments)
 
 
 def totals(trips: DataFrame) -> DataFrame:

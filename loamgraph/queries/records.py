@@ -85,6 +85,7 @@ def queries() -> dict:
         "p3_masks": lambda s, d: timestamps.mask_counts(timestamps.bounds_of(s, d)),
         "p4_found": heavykeys.heavy_of,
         "p4_profile": heavykeys.profile_of,
+        "p5_method": lambda s, d: trips.trips_of(s, d, by_segments=True).select("kind", "animal_id", "collar", "start_ms", "end_ms", "n_pings", F.round("distance_m", 3).alias("distance_m")),
         "p5_found": lambda s, d: trips.trips_of(s, d).select("kind", "animal_id", "collar", "start_ms", "end_ms"),
         "p5_totals": lambda s, d: trips.totals(trips.trips_of(s, d)),
     }

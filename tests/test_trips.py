@@ -150,3 +150,18 @@ def test_hot_devices_are_split_at_silences_and_nothing_changes(spark):
     key = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
     want = key(stops_and_trips(df))
     assert len(want) > 30 and key(stops_and_trips(df, hot_pings=300)) == want
+
+
+def test_stops_by_segments_alone(spark):
+    got = sorted((r["kind"], r["start_ms"], r["end_ms"], r["n_pings"], r["distance_m"]) for r in stops_and_trips(spark.createDataFrame(TRACK, SCHEMA), by_segments=True).collect())
+    assert [g[:3] for g in got] == [("stop", 0, 5 * 15 * MIN), ("stop", 9 * 15 * MIN, 15 * 15 * MIN), ("trip", 5 * 15 * MIN, 9 * 15 * MIN)]
+    assert abs(got[2][4] - 11_119) < 30
+    assert stops_and_trips(spark.createDataFrame([], SCHEMA), by_segments=True).count() == 0
+
+
+def test_slow_runs_do_not_cross_sessions():
+    t = np.arange(8) * HOUR
+    xyz = tracks.on_sphere(np.array([50, 50, 50, 50, 50, 50.5, 50.5, 50.5]), np.full(8, 8.0))
+    session = np.array([0, 0, 0, 1, 1, 1, 1, 1])
+    assert tracks.slow_runs(session, t, xyz, np.ones(8, bool), 0.1, 2, HOUR).tolist() == [[0, 2], [3, 4], [5, 7]]
+    assert tracks.slow_runs(session, t, xyz, np.ones(8, bool), 0.1, 3, HOUR).tolist() == [[0, 2], [5, 7]]
