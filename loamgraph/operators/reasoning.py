@@ -1,8 +1,11 @@
 """Forward chaining of class and property rules over distributed triples.
 
-The ontology side of every rule is closed first (it is small); each round then
-joins the triples found new in the round before with it, until none is new.
-Rule names are those of the public OWL 2 RL profile.
+The rules that need one triple are drawn from the ontology into one table of
+actions by class and property, with the hierarchies closed beforehand. A round
+looks up the triples found new in the round before in that table, with one
+broadcast join, and writes only what is new again. Rules of two triples join the
+few triples that their axioms select. Rule names are those of the public OWL 2 RL
+profile.
 """
 
 from __future__ import annotations
@@ -14,18 +17,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.operators.hierarchy import closure
-from loamgraph.runtime import materialize
+from loamgraph.runtime import join_checked, materialize
 
 RULES = ("cax-sco", "prp-spo1", "prp-dom", "prp-rng", "prp-inv", "prp-symp", "prp-trp", "cls-avf", "cls-int1", "cls-uni")
 MAX_ROUNDS = 50
 
+#: What an action makes of a triple (s, p, o) and its target.
+_TYPE_OF_S, _TYPE_OF_O, _SAME, _TURNED = range(4)
+
 
 def _axioms(tbox: DataFrame, p: str) -> DataFrame:
     return tbox.where(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
 
 
-def _closed(tbox: DataFrame, p: str) -> DataFrame:
-    return materialize(closure(_axioms(tbox, p), "a", "b").select(F.col("node").alias("a"), F.col("ancestor").alias("b")).where("a <> b"))
+def _hierarchies(tbox: DataFrame) -> DataFrame:
+    """(p, a, b): both hierarchies closed at once; a name is told apart by the property that it is below."""
+    edges = tbox.where(F.col("p").isin("rdfs:subClassOf", "rdfs:subPropertyOf")).select(F.concat_ws(" ", "p", "s").alias("child"), F.concat_ws(" ", "p", "o").alias("parent"))
+    up = closure(edges).where("node <> ancestor")
+    tail = lambda c: F.substr(F.col(c), F.instr(F.col(c), " ") + 1)
+    return materialize(up.select(F.substring_index("node", " ", 1).alias("p"), tail("node").alias("a"), tail("ancestor").alias("b")))
+
+
+#: What the axioms of each rule look like: a property of the ontology, or a class that its properties have.
+_NEEDS = {
+    "cax-sco": "rdfs:subClassOf", "prp-spo1": "rdfs:subPropertyOf", "prp-dom": "rdfs:domain", "prp-rng": "rdfs:range", "prp-inv": "owl:inverseOf", "prp-symp": "owl:SymmetricProperty",
+    "prp-trp": "owl:TransitiveProperty", "cls-avf": "owl:allValuesFrom", "cls-int1": "owl:intersectionOf", "cls-uni": "owl:unionOf",
+}
+
+
+def _in_use(tbox: DataFrame, rules: tuple[str, ...]) -> tuple[str, ...]:
+    """The rules for which there are axioms."""
+    term = F.when(F.col("p") == "rdf:type", F.col("o")).otherwise(F.col("p"))
+    there = {r[0] for r in tbox.select(term.alias("t")).where(F.col("t").isin(*_NEEDS.values())).distinct().collect()}
+    return tuple(r for r in rules if _NEEDS[r] in there)
+
+
+def _kind(tbox: DataFrame, name: str) -> DataFrame:
+    return tbox.where((F.col("p") == "rdf:type") & (F.col("o") == name)).select(F.col("s").alias("a")).distinct()
+
+
+def _actions(tbox: DataFrame, rules: tuple[str, ...]) -> DataFrame:
+    """(is_type, key, acts): what follows from a type (key is the class) or from another triple (key is its property)."""
+    inverse = _axioms(tbox, "owl:inverseOf")
+    inverse = inverse.unionByName(inverse.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    symmetric = _kind(tbox, "owl:SymmetricProperty").withColumn("b", F.col("a"))
+    union = _axioms(tbox, "owl:unionOf").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    up = _hierarchies(tbox) if {"cax-sco", "prp-spo1"} & set(rules) else None
+    sources = {
+        "cax-sco": (True, _TYPE_OF_S, lambda: up.where("p = 'rdfs:subClassOf'")),
+        "prp-spo1": (False, _SAME, lambda: up.where("p = 'rdfs:subPropertyOf'")),
+        "prp-dom": (False, _TYPE_OF_S, lambda: _axioms(tbox, "rdfs:domain")),
+        "prp-rng": (False, _TYPE_OF_O, lambda: _axioms(tbox, "rdfs:range")),
+        "prp-inv": (False, _TURNED, lambda: inverse),
+        "prp-symp": (False, _TURNED, lambda: symmetric),
+        "cls-uni": (True, _TYPE_OF_S, lambda: union),
+    }
+    parts = []
+    for rule, (is_type, form, pairs) in sources.items():
+        if rule in rules:
+            act = F.struct(F.lit(RULES.index(rule)).alias("rule"), F.lit(form).alias("form"), F.col("b").alias("target"))
+            parts.append(pairs().select(F.lit(is_type).alias("is_type"), F.col("a").alias("key"), act.alias("act")))
+    if not parts:
+        return tbox.select(F.lit(True).alias("is_type"), F.col("s").alias("key"), F.array().cast("array<struct<rule:int,form:int,target:string>>").alias("acts")).where("false")
+    return reduce(DataFrame.unionByName, parts).groupBy("is_type", "key").agg(F.collect_list("act").alias("acts"))
 
 
 def infer(abox: DataFrame, tbox: DataFrame, rules: tuple[str, ...] = RULES, keep_blank: bool = False) -> DataFrame:
@@ -40,69 +94,116 @@ def infer(abox: DataFrame, tbox: DataFrame, rules: tuple[str, ...] = RULES, keep
         raise ValueError(f"unknown rules: {sorted(unknown)}")
     tbox = materialize(tbox.select("s", "p", "o").dropna().distinct())
     given = materialize(abox.select("s", "p", "o").dropna().distinct())
-    sub, prop = _closed(tbox, "rdfs:subClassOf"), _closed(tbox, "rdfs:subPropertyOf")
-    dom, rng = _axioms(tbox, "rdfs:domain"), _axioms(tbox, "rdfs:range")
-    inv = _axioms(tbox, "owl:inverseOf")
-    inv = inv.unionByName(inv.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    kind = lambda name: tbox.where((F.col("p") == "rdf:type") & (F.col("o") == name)).select(F.col("s").alias("a")).distinct()
-    sym, trp = kind("owl:SymmetricProperty"), kind("owl:TransitiveProperty")
-    avf = tbox.where("p = 'owl:allValuesFrom'").select(F.col("s").alias("r"), F.col("o").alias("filler")).join(tbox.where("p = 'owl:onProperty'").select(F.col("s").alias("r"), F.col("o").alias("a")), "r")
-    uni = _axioms(tbox, "owl:unionOf").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    members = _axioms(tbox, "owl:intersectionOf")
-    size = members.groupBy("a").agg(F.count(F.lit(1)).alias("need"))
+    rules = _in_use(tbox, rules)
+    actions = materialize(_actions(tbox, rules))
+    pairs = _pair_rules(tbox, rules)
 
-    known, fresh, found = given, given, []
+    found: list[DataFrame] = []
+    fresh = given.withColumn("rule", F.lit(-1))
     for _ in range(MAX_ROUNDS):
-        typed = fresh.where("p = 'rdf:type'")
-        plain = fresh.where("p <> 'rdf:type'")
-        t_all, p_all = known.where("p = 'rdf:type'"), known.where("p <> 'rdf:type'")
-        out = []
-        add = lambda rule, df: out.append(df.select("s", "p", "o", F.lit(rule).alias("rule"))) if rule in rules else None
-        add("cax-sco", typed.join(sub, typed["o"] == sub["a"]).select("s", "p", F.col("b").alias("o")))
-        add("prp-spo1", plain.join(prop, plain["p"] == prop["a"]).select("s", F.col("b").alias("p"), "o"))
-        add("prp-dom", plain.join(dom, plain["p"] == dom["a"]).select("s", F.lit("rdf:type").alias("p"), F.col("b").alias("o")))
-        add("prp-rng", plain.join(rng, plain["p"] == rng["a"]).select(F.col("o").alias("s"), F.lit("rdf:type").alias("p"), F.col("b").alias("o")))
-        add("prp-inv", plain.join(inv, plain["p"] == inv["a"]).select(F.col("o").alias("s"), F.col("b").alias("p"), F.col("s").alias("o")))
-        add("prp-symp", plain.join(sym, plain["p"] == sym["a"]).select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
-        if "prp-trp" in rules:
-            left = plain.join(trp, plain["p"] == trp["a"]).select("s", "p", "o")
-            right = p_all.select(F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
-            on = lambda a, b: (F.col(a) == F.col(b)) & (F.col("p") == F.col("p2"))
-            add("prp-trp", left.join(right, on("o", "s2")).select("s", "p", F.col("o2").alias("o")).unionByName(left.join(right, on("s", "o2")).select(F.col("s2").alias("s"), "p", "o")))
-        if "cls-avf" in rules:
-            has = t_all.select(F.col("s").alias("x"), F.col("o").alias("r")).join(avf, "r")
-            p2 = p_all.select(F.col("s").alias("x"), F.col("p").alias("a"), F.col("o").alias("y"))
-            add("cls-avf", has.join(p2, ["x", "a"]).select(F.col("y").alias("s"), F.lit("rdf:type").alias("p"), F.col("filler").alias("o")))
-        add("cls-uni", typed.join(uni, typed["o"] == uni["a"]).select("s", "p", F.col("b").alias("o")))
-        if "cls-int1" in rules:
-            got = t_all.select("s", F.col("o").alias("b")).distinct().join(members, "b").groupBy("s", "a").agg(F.count(F.lit(1)).alias("have")).join(size, "a").where("have = need")
-            add("cls-int1", got.select("s", F.lit("rdf:type").alias("p"), F.col("a").alias("o")))
-        if not out:
-            break
+        known = reduce(DataFrame.unionByName, [given, *(f.drop("rule") for f in found)])
+        out = [_applied(fresh, actions), *(make(fresh.drop("rule"), known) for make in pairs)]
         new = reduce(DataFrame.unionByName, out).where("s is not null and o is not null")
-        order = F.create_map(*[F.lit(x) for i, r in enumerate(RULES) for x in (r, i)])
-        new = new.groupBy("s", "p", "o").agg(F.min_by("rule", order[F.col("rule")]).alias("rule")).join(known, ["s", "p", "o"], "left_anti")
+        new = new.groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(known, ["s", "p", "o"], "left_anti")
         new = materialize(new)
         if new.isEmpty():
             break
         found.append(new)
-        fresh = new.select("s", "p", "o")
-        known = materialize(known.unionByName(fresh))
+        fresh = new
     else:
         raise RuntimeError(f"no fixpoint within {MAX_ROUNDS} rounds")
-    out = reduce(DataFrame.unionByName, found) if found else given.withColumn("rule", F.lit("")).where("false")
-    return out if keep_blank else out.where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:"))
+    names = F.array(*[F.lit(r) for r in RULES])
+    every = reduce(DataFrame.unionByName, found) if found else given.withColumn("rule", F.lit(0)).where("false")
+    every = every.select("s", "p", "o", F.get(names, F.col("rule")).alias("rule"))
+    return every if keep_blank else every.where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:"))
+
+
+def _applied(fresh: DataFrame, actions: DataFrame) -> DataFrame:
+    """What the one-triple rules make of the fresh triples.
+
+    The hierarchies are closed, so what a hierarchy gave needs no further step up the same one.
+    """
+    is_type = F.col("p") == "rdf:type"
+    keyed = fresh.select("s", "p", "o", F.col("rule").alias("by"), is_type.alias("is_type"), F.when(is_type, F.col("o")).otherwise(F.col("p")).alias("key"))
+    closed = [RULES.index("cax-sco"), RULES.index("prp-spo1")]
+    each = join_checked(keyed, actions, ["is_type", "key"]).select("s", "p", "o", "by", F.explode("acts").alias("act"))
+    each = each.where(~(F.col("by").isin(closed) & (F.col("act.rule") == F.col("by"))))
+    form, target = F.col("act.form"), F.col("act.target")
+    return each.select(
+        F.when(form.isin(_TYPE_OF_O, _TURNED), F.col("o")).otherwise(F.col("s")).alias("s"),
+        F.when(form.isin(_TYPE_OF_S, _TYPE_OF_O), "rdf:type").otherwise(target).alias("p"),
+        F.when(form == _SAME, F.col("o")).when(form == _TURNED, F.col("s")).otherwise(target).alias("o"),
+        F.col("act.rule").alias("rule"),
+    )
+
+
+def _pair_rules(tbox: DataFrame, rules: tuple[str, ...]) -> list:
+    """The rules of several triples that have axioms, as functions of (fresh, known)."""
+    out = []
+    avf = tbox.where("p = 'owl:allValuesFrom'").select(F.col("s").alias("r"), F.col("o").alias("filler")).join(tbox.where("p = 'owl:onProperty'").select(F.col("s").alias("r"), F.col("o").alias("a")), "r")
+    members = _axioms(tbox, "owl:intersectionOf")
+    tables = {"prp-trp": _kind(tbox, "owl:TransitiveProperty"), "cls-avf": avf, "cls-int1": members}
+    makers = {"prp-trp": _transitive, "cls-avf": _all_values, "cls-int1": _intersection}
+    for rule, axioms in tables.items():
+        if rule in rules:
+            axioms = materialize(axioms)
+            out.append(lambda fresh, known, make=makers[rule], axioms=axioms, n=RULES.index(rule): make(fresh, known, axioms).select("s", "p", "o", F.lit(n).alias("rule")))
+    return out
+
+
+def _transitive(fresh: DataFrame, known: DataFrame, axioms: DataFrame) -> DataFrame:
+    props = axioms.select(F.col("a").alias("p"))
+    left, every = join_checked(fresh, props, ["p"], "left_semi"), join_checked(known, props, ["p"], "left_semi")
+    right = every.select(F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
+    on = lambda a, b: (F.col(a) == F.col(b)) & (F.col("p") == F.col("p2"))
+    return left.join(right, on("o", "s2")).select("s", "p", F.col("o2").alias("o")).unionByName(left.join(right, on("s", "o2")).select(F.col("s2").alias("s"), "p", "o"))
+
+
+def _all_values(fresh: DataFrame, known: DataFrame, axioms: DataFrame) -> DataFrame:
+    typed = known.where("p = 'rdf:type'").select(F.col("s").alias("x"), F.col("o").alias("r"))
+    has = join_checked(typed, axioms, ["r"]).select("x", "a", "filler")
+    values = join_checked(known.select(F.col("s").alias("x"), F.col("p").alias("a"), F.col("o").alias("y")), materialize(axioms.select("a").distinct()), ["a"], "left_semi")
+    return has.join(values, ["x", "a"]).select(F.col("y").alias("s"), F.lit("rdf:type").alias("p"), F.col("filler").alias("o"))
+
+
+def _intersection(fresh: DataFrame, known: DataFrame, axioms: DataFrame) -> DataFrame:
+    size = axioms.groupBy("a").agg(F.count(F.lit(1)).alias("need"))
+    sized = materialize(axioms.join(size, "a"))
+    got = join_checked(known.where("p = 'rdf:type'").select("s", F.col("o").alias("b")).distinct(), sized, ["b"])
+    full = got.groupBy("s", "a", "need").agg(F.count(F.lit(1)).alias("have")).where("have = need")
+    return full.select("s", F.lit("rdf:type").alias("p"), F.col("a").alias("o"))
 
 
 def inconsistencies(triples: DataFrame, tbox: DataFrame) -> DataFrame:
-    """(s, rule, detail): subjects of two disjoint classes, and irreflexive properties that loop."""
+    """(s, rule, detail): subjects that break the ontology.
+
+    ``cax-dw`` two disjoint classes, ``cax-adc`` two of a list of disjoint classes,
+    ``prp-irp`` an irreflexive property that loops, ``prp-asyp`` an asymmetric one
+    both ways, ``prp-pdw`` two disjoint properties with one value. Lists of disjoint
+    classes are counted per subject, not made into pairs.
+    """
+    triples = triples.select("s", "p", "o").dropna()
+    tbox = materialize(tbox.select("s", "p", "o").dropna().distinct())
     types = triples.where("p = 'rdf:type'").select("s", F.col("o").alias("c")).distinct()
-    pairs = _axioms(tbox, "owl:disjointWith")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    dw = types.join(pairs, types["c"] == pairs["a"]).select("s", "a", "b").join(types.select("s", F.col("c").alias("b")), ["s", "b"])
-    irp = tbox.where("p = 'rdf:type' and o = 'owl:IrreflexiveProperty'").select(F.col("s").alias("p")).distinct()
-    loops = triples.where("s = o").join(irp, "p")
-    return dw.select("s", F.lit("cax-dw").alias("rule"), F.concat_ws("|", "a", "b").alias("detail")).unionByName(loops.select("s", F.lit("prp-irp").alias("rule"), F.col("p").alias("detail"))).distinct()
+    ordered = lambda p: materialize(_axioms(tbox, p).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = ordered("owl:disjointWith")
+    dw = join_checked(types.withColumnRenamed("c", "a"), pairs, ["a"]).join(types.withColumnRenamed("c", "b"), ["s", "b"])
+    lists = materialize(_kind(tbox, "owl:AllDisjointClasses").join(_axioms(tbox, "owl:members"), "a"))
+    adc = join_checked(types.withColumnRenamed("c", "b"), lists, ["b"]).groupBy("s", "a").agg(F.array_sort(F.collect_set("b")).alias("cs")).where("size(cs) > 1")
+    of = lambda name: materialize(_kind(tbox, name).select(F.col("a").alias("p")))
+    loops = join_checked(triples.where("s = o"), of("owl:IrreflexiveProperty"), ["p"])
+    one = join_checked(triples, of("owl:AsymmetricProperty"), ["p"])
+    both = one.join(one.select(F.col("s").alias("o"), "p", F.col("o").alias("s")), ["s", "p", "o"])
+    apart = ordered("owl:propertyDisjointWith")
+    first = join_checked(triples.withColumnRenamed("p", "a"), apart, ["a"])
+    second = join_checked(triples.withColumnRenamed("p", "b"), materialize(apart.select("b").distinct()), ["b"], "left_semi")
+    pdw = first.join(second, ["s", "b", "o"])
+    row = lambda df, rule, detail: df.select("s", F.lit(rule).alias("rule"), detail.alias("detail"))
+    out = [
+        row(dw, "cax-dw", F.concat_ws("|", "a", "b")), row(adc, "cax-adc", F.array_join("cs", "|")), row(loops, "prp-irp", F.col("p")),
+        row(both, "prp-asyp", F.concat_ws("|", "p", "o")), row(pdw, "prp-pdw", F.concat_ws("|", "a", "b", "o")),
+    ]
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def reason_collection(resources: DataFrame, triples: DataFrame, tbox: DataFrame, now_ms: int, id_col: str = "_id", reasoned: str = "reasoned_at") -> tuple[DataFrame, DataFrame]:

@@ -137,6 +137,10 @@ def test_rules(spark):
     assert rows(reasoning.inconsistencies(bad, tbox)) == [("v", "cax-dw", "A|D"), ("v", "prp-irp", "irr")]
     with pytest.raises(ValueError):
         reasoning.infer(abox, tbox, ("no-rule",))
+    more = spark.createDataFrame([("ax", "rdf:type", "owl:AllDisjointClasses"), *(("ax", "owl:members", c) for c in "ABC"), ("par", "rdf:type", "owl:AsymmetricProperty"), ("likes", "owl:propertyDisjointWith", "hates")], tri)
+    worse = spark.createDataFrame([("v", "rdf:type", "A"), ("v", "rdf:type", "C"), ("u", "rdf:type", "B"), ("v", "par", "w"), ("w", "par", "v"), ("v", "par", "u"), ("v", "likes", "u"), ("v", "hates", "u"), ("u", "hates", "v"), ("v", "hates", None)], tri)
+    assert rows(reasoning.inconsistencies(worse, more)) == [("v", "cax-adc", "A|C"), ("v", "prp-asyp", "par|w"), ("v", "prp-pdw", "hates|likes|u"), ("w", "prp-asyp", "par|v")]
+    assert rows(reasoning.inconsistencies(worse.where("false"), more)) == []
 
 
 def test_only_subjects_with_inferences_are_stamped(spark):
