@@ -10,14 +10,17 @@ profile.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.operators.documents import Routing, fold
 from loamgraph.operators.hierarchy import closure
-from loamgraph.runtime import join_checked, materialize
+from loamgraph.operators.rdf import json_triples, statements
+from loamgraph.runtime import arrow_udf, join_checked, materialize
 
 RULES = ("cax-sco", "prp-spo1", "prp-dom", "prp-rng", "prp-inv", "prp-symp", "prp-trp", "cls-avf", "cls-int1", "cls-uni")
 MAX_ROUNDS = 50
@@ -218,6 +221,109 @@ def reason_collection(resources: DataFrame, triples: DataFrame, tbox: DataFrame,
     return inferred, stamped
 
 
+REASONED = "bold:reasoned"
+
+
+def _merged_doc(doc: str | None, facts: str) -> str:
+    """A resource with inferred values joined in; without the stamp, so that it can be compared."""
+    old, new = json.loads(doc) if doc else {}, json.loads(facts)
+    old.pop(REASONED, None)
+    merged = fold([old, {"_id": old["_id"], **new}]) if old.get("_id") else new
+    return json.dumps(merged, ensure_ascii=False, separators=(",", ":"))
+
+
+def _unstamped(doc: str | None) -> str | None:
+    if not doc:
+        return None
+    d = json.loads(doc)
+    d.pop(REASONED, None)
+    return json.dumps(d, ensure_ascii=False, separators=(",", ":"))
+
+
+def _stamped(doc: str, now: str) -> str:
+    return json.dumps({**json.loads(doc), REASONED: now}, ensure_ascii=False, separators=(",", ":"))
+
+
+def assembled_json(inferred: DataFrame) -> DataFrame:
+    """(_id, facts): inferred triples per subject as one JSON object of sorted value lists, types under ``@type``."""
+    name = F.when(F.col("p") == "rdf:type", "@type").otherwise(F.col("p"))
+    per = inferred.groupBy(F.col("s").alias("_id"), name.alias("p")).agg(F.array_sort(F.collect_set("o")).alias("o"))
+    return per.groupBy("_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "o"))))).alias("facts"))
+
+
+def merge_and_update(resources: DataFrame, inferred: DataFrame, now: str, routing: Routing = Routing(), update_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(resources, written): inferred triples merged into the resources they are about, and stamped; ``written`` has the ids that changed.
+
+    ``resources`` is (collection, _id, types, partitions, doc). Resources that get
+    nothing new and were stamped before are left as they are, so a second run
+    writes nothing. With ``update_only`` subjects that are not stored are left out,
+    else they are added where they are routed to.
+    """
+    facts = materialize(assembled_json(inferred.dropna(subset=["s", "p", "o"])))
+    both = resources.join(facts, "_id", "left" if update_only else "full_outer")
+    types = F.from_json(F.get_json_object("merged", "$['@type']"), "array<string>")
+    both = both.withColumn("merged", F.when(F.col("facts").isNotNull(), arrow_udf(_merged_doc, "string")(F.col("doc"), F.coalesce("facts", F.lit("{}")))))
+    both = both.withColumn("merged", F.when(F.col("doc").isNull() & F.col("merged").isNotNull(), arrow_udf(_with_id, "string")(F.coalesce("merged", F.lit("{}")), F.col("_id"))).otherwise(F.col("merged")))
+    stamp = F.get_json_object("doc", f"$['{REASONED}']")
+    before = arrow_udf(_unstamped, "string")(F.col("doc"))
+    both = materialize(both.withColumn("changed", F.col("merged").isNotNull() & (F.col("doc").isNull() | stamp.isNull() | (F.col("merged") != before))))
+    new_types = F.when(F.col("changed"), F.coalesce(types, F.col("types"))).otherwise(F.col("types"))
+    doc = F.when(F.col("changed"), arrow_udf(_stamped, "string")(F.coalesce("merged", F.lit("{}")), F.lit(now))).otherwise(F.col("doc"))
+    collection = F.coalesce("collection", routing.collection(F.col("_id"), types))
+    out = both.select(collection.alias("collection"), "_id", new_types.alias("types"), F.coalesce("partitions", F.array().cast("array<string>")).alias("partitions"), doc.alias("doc"))
+    return out, both.where("changed").select("_id")
+
+
+def _with_id(doc: str, id_: str) -> str:
+    return json.dumps({"_id": id_, **json.loads(doc)}, ensure_ascii=False, separators=(",", ":"))
+
+
+def update_one(resources: DataFrame, id_: str, update: dict, now: str, tbox: DataFrame | None = None, routing: Routing = Routing(), all_subjects: bool = False, provenance: str | None = None) -> tuple[DataFrame, dict]:
+    """(resources, result): one resource merged with an update, reasoned over if there is an ontology, stamped and put back.
+
+    The resource is found in the order in which collections are searched; one that
+    is not there raises ``LookupError``. The id can not be changed. With
+    ``all_subjects`` what follows about other stored resources is merged into them
+    too. ``result`` has the resource, the number of inferences, the other subjects
+    and the statements of the inferences (a table), whose ids depend on their content only.
+    """
+    names = [r[0] for r in resources.where(F.col("_id") == id_).select("collection").distinct().limit(1000).collect()]
+    if not names:
+        raise LookupError(f"no resource {id_!r}")
+    chosen = next(n for n in routing.search_order(id_, sorted(names)) if n in names)
+    is_it = (F.col("_id") == id_) & (F.col("collection") == chosen)
+    old = resources.where(is_it).first()
+    merged = fold([json.loads(old["doc"]), {**{k: v for k, v in update.items() if k not in ("_id", "@id")}, "_id": id_}])
+    others: list[str] = []
+    spark = resources.sparkSession
+    row = spark.createDataFrame([(json.dumps(merged, ensure_ascii=False),)], "doc string")
+    inferred = None
+    if tbox is not None:
+        mine = json_triples(row)
+        inferred = materialize(infer(mine, tbox))
+        facts = inferred if all_subjects else inferred.where(F.col("s") == id_)
+        found = {r["_id"]: json.loads(r["facts"]) for r in assembled_json(facts.where(F.col("s") == id_)).collect()}
+        if id_ in found:
+            merged = fold([merged, {"_id": id_, **found[id_]}])
+    merged[REASONED] = now
+    types, parts = ([x.get("@id") if isinstance(x, dict) else x for x in _listed(merged.get(k))] for k in ("@type", "dcterms:isPartOf"))
+    new = spark.createDataFrame([(chosen, id_, types, parts, json.dumps(merged, ensure_ascii=False, separators=(",", ":")))], "collection string, _id string, types array<string>, partitions array<string>, doc string")
+    out = resources.where(~is_it).select(*new.columns).unionByName(new)
+    made = None
+    if inferred is not None:
+        if all_subjects:
+            out, written = merge_and_update(out, inferred.where(F.col("s") != id_), now, routing)
+            others = sorted(r[0] for r in written.collect())
+        facts = (inferred if all_subjects else inferred.where(F.col("s") == id_)).select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
+        where = spark.createDataFrame([(id_, parts)], "subject string, partitions array<string>") if parts else None
+        made = statements(facts, where, provenance)
+    return out, {"resource": merged, "collection": chosen, "inferred": made.count() if made is not None else 0, "subjects": others, "statements": made}
+
+
+def _listed(v) -> list:
+    return [] if v is None else v if isinstance(v, list) else [v]
+
+
 @dataclass
 class RunState:
     """Single-flight state of background reasoning; requests during a run wait as one."""
