@@ -8,10 +8,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.operators.timestamps import instant_of
 from loamgraph.runtime import numbered
 
 #: Label properties in order, the colours of individuals, the colour of none.
 LABEL_PROPERTIES = ("dcterms:title", "foaf:name", "rdfs:label")
+DESCRIPTION_PROPERTIES = ("dcterms:description", "skos:definition", "rdfs:comment")
 COLOURS = ("#4e79a7", "#f28e2c", "#76b7b2", "#59a14f", "#edc949", "#af7aa1", "#9c755f", "#bab0ab")
 NO_GROUP = ("No Group", "#cccccc")
 DEFAULT_ZONE = "America/Los_Angeles"
@@ -29,6 +31,77 @@ def label(id_: Column, *candidates: Column, type_label: Column | None = None, ov
     return F.coalesce(*given, F.when(F.length(id_) > 0, tail), F.lit("Unknown"))
 
 
+def _filled(values: Column, name: Column) -> Column:
+    """The text of a property in a map of JSON values, its first element if it has many; null if there is none."""
+    v = F.try_element_at(values, name)
+    one = F.when(v.startswith("["), F.get(F.from_json(v, "array<string>"), F.lit(0))).otherwise(v)
+    return F.nullif(F.when(one.startswith("{"), F.coalesce(F.get_json_object(one, "$['@value']"), F.get_json_object(one, "$['@id']"))).otherwise(one), F.lit(""))
+
+
+def first_filled(doc: Column, names: Column) -> Column:
+    """struct(property, text) of the first of the named properties that a JSON resource carries; null if it has none."""
+    values = F.from_json(doc, "map<string,string>")
+    found = F.filter(F.transform(names, lambda n: F.struct(n.alias("property"), _filled(values, n).alias("text"))), lambda s: s["text"].isNotNull())
+    return F.get(found, F.lit(0))
+
+
+def _settings(resources: DataFrame, settings: DataFrame | None) -> DataFrame:
+    """``resources`` with what the first of their types that has settings says of labels and descriptions."""
+    if settings is None:
+        empty = F.lit(None).cast("array<string>")
+        return resources.withColumns({"set_label": F.lit(None).cast("string"), "set_labels": empty, "set_descriptions": empty})
+    s = settings.select(F.col("class").alias("__class"), F.struct(F.col("label").alias("set_label"), F.col("label_properties").alias("set_labels"), F.col("description_properties").alias("set_descriptions")).alias("__set"))
+    each = resources.select(F.col("_id").alias("__id"), F.posexplode("types").alias("__nth", "__class")).join(s, "__class")
+    first = each.groupBy("__id").agg(F.min_by("__set", "__nth").alias("__set"))
+    return resources.join(first, F.col("_id") == F.col("__id"), "left").select(*resources.columns, "__set.*")
+
+
+def resource_labels(resources: DataFrame, settings: DataFrame | None = None, type_labels: DataFrame | None = None, resolver: Column | None = None) -> DataFrame:
+    """(_id, label, label_property, description, description_property) of resources (_id, types, doc).
+
+    ``settings`` (class, label, label_properties, description_properties) is what the
+    schemas of classes say: a label for all, or properties that come before the
+    usual ones. A resource without any of the properties takes ``resolver``, else
+    the label of its first type, from ``type_labels`` (class, label), and the tail of
+    its id, else Unknown. Property columns name the most general one if none is there.
+    """
+    named = _settings(resources, settings)
+    usual = lambda names: F.array(*[F.lit(n) for n in names])
+    kind = F.get("types", F.lit(0))
+    if type_labels is not None:
+        t = type_labels.select(F.col("class").alias("__type"), F.col("label").alias("__type_label"))
+        named = named.withColumn("__first", kind).join(t, F.col("__first") == F.col("__type"), "left")
+    else:
+        named = named.withColumn("__type_label", F.lit(None).cast("string"))
+    named = named.withColumn("__l", first_filled(F.col("doc"), F.concat(F.coalesce("set_labels", F.array().cast("array<string>")), usual(LABEL_PROPERTIES))))
+    named = named.withColumn("__d", first_filled(F.col("doc"), F.coalesce("set_descriptions", usual(DESCRIPTION_PROPERTIES))))
+    tail = F.concat_ws(" ", "__type_label", F.nullif(id_tail(F.col("_id")), F.lit("")))
+    fallback = F.coalesce(resolver, F.nullif(tail, F.lit(""))) if resolver is not None else F.nullif(tail, F.lit(""))
+    return named.select(
+        "_id",
+        F.coalesce(F.nullif("set_label", F.lit("")), F.col("__l.text"), fallback, F.lit("Unknown")).alias("label"),
+        F.coalesce(F.col("__l.property"), F.lit(LABEL_PROPERTIES[-1])).alias("label_property"),
+        F.coalesce(F.col("__d.text"), F.lit("")).alias("description"),
+        F.coalesce(F.col("__d.property"), F.element_at(F.coalesce("set_descriptions", usual(DESCRIPTION_PROPERTIES)), -1)).alias("description_property"),
+    )
+
+
+def labels_of_ids(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_id, label) of every distinct wanted id: its label, or the id itself where there is no such resource."""
+    known = labels.groupBy("_id").agg(F.min("label").alias("label"))
+    return ids.select("_id").where("_id is not null").distinct().join(known, "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+
+
+def grouped(df: DataFrame, group: Column, include_ungrouped: bool = True) -> DataFrame:
+    """``df`` with ``group_id``: the group as text, null where it is null, empty, 0 or false; those rows may be left out.
+
+    Rows stay rows, so a group of any size is never gathered.
+    """
+    text = group.cast("string")
+    out = df.withColumn("group_id", F.when(~text.isin("", "0", "0.0", "false"), text))
+    return out if include_ungrouped else out.where("group_id is not null")
+
+
 def first_url(*candidates: Column) -> Column:
     """The first candidate that is not blank."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])
@@ -42,6 +115,14 @@ def format_date(ts: Column, zone: str = DEFAULT_ZONE, pattern: str = "M/d/yyyy")
     return F.coalesce(F.concat(text, F.lit(" "), zone_name(ts, zone)) if name else text, F.lit(""))
 
 
+def format_text_date(value: Column, zone: str = DEFAULT_ZONE, pattern: str = "M/d/yyyy") -> Column:
+    """A written date - text of any format of ``timestamps``, a value object, or an epoch - as ``format_date`` gives it.
+
+    Text without a zone is wall-clock time in ``zone``; what names no instant gives ''.
+    """
+    return format_date(F.timestamp_millis(instant_of(value, zone)), zone, pattern)
+
+
 def format_date_time(ts: Column, zone: str = DEFAULT_ZONE, pattern: str = "M/d/yyyy h:mm a ZZ") -> Column:
     return format_date(ts, zone, pattern)
 

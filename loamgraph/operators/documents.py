@@ -214,10 +214,29 @@ def union_partitions(df: DataFrame, partitions: str, names: list[str]) -> DataFr
     return df.withColumn(partitions, F.array_union(F.coalesce(F.col(partitions), F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names]).cast("array<string>")))
 
 
+def _uncommented(doc: str | None) -> str | None:
+    if doc is None:
+        return None
+    value = json.loads(doc)
+    return json.dumps({k: v for k, v in value.items() if not k.startswith("//")}, ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else doc
+
+
 def without_comments(doc: Column) -> Column:
     """A JSON object without its keys that begin with ``//``, other keys in their order."""
-    kept = F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, _: ~k.startswith("//"))
-    return kept
+    return arrow_udf(_uncommented, "string")(doc)
+
+
+def with_arrays(doc: Column, properties: list[str]) -> Column:
+    """A JSON object whose values of some properties are lists, a single value as a list of one; null and missing stay."""
+    names = set(properties)
+
+    def wrap(text: str | None) -> str | None:
+        if text is None:
+            return None
+        value = json.loads(text)
+        return json.dumps({k: [v] if k in names and v is not None and not isinstance(v, list) else v for k, v in value.items()}, ensure_ascii=False, separators=(",", ":"))
+
+    return arrow_udf(wrap, "string")(doc)
 
 
 def has_key(doc: Column, key: str) -> Column:

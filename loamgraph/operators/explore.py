@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.catalog import Query
 from loamgraph.operators.documents import both_forms
-from loamgraph.operators.hierarchy import class_order, direct_parents
+from loamgraph.operators.hierarchy import class_order, closure, direct_parents
 from loamgraph.operators.summary import type_counts
 
 CLASS_TYPES = ("owl:Class", "rdfs:Class")
@@ -85,3 +85,23 @@ def property_usage(instances: DataFrame, definitions: DataFrame) -> DataFrame:
     used = keys.groupBy("type", "property").agg(F.count(F.lit(1)).alias("n"))
     known = definitions.select(F.col("_id").alias("property"), F.col("range")).dropDuplicates(["property"])
     return used.join(known, "property", "left").withColumn("range", F.coalesce("range", F.lit("No ontology definition found")))
+
+
+def instances(resources: DataFrame, edges: DataFrame | None = None, class_filter: list[str] | None = None) -> DataFrame:
+    """(type, property, n, n_resources): how often resources of each type carry each property, over all collections.
+
+    ``resources`` has ``types`` and a JSON text ``doc``. With ``edges`` (child, parent)
+    a resource counts for the superclasses of its types too; ``class_filter`` keeps
+    only these types. Resources are exploded and counted map-side, never gathered.
+    """
+    each = resources.withColumn("type", F.explode(F.array_distinct("types")))
+    if edges is not None:
+        up = closure(edges).where("node <> ancestor").select(F.col("node").alias("type"), F.col("ancestor"))
+        more = each.join(up, "type").withColumn("type", F.col("ancestor")).drop("ancestor")
+        each = each.unionByName(more).dropDuplicates(["type", "_id"])
+    if class_filter is not None:
+        each = each.where(F.col("type").isin(class_filter))
+    total = each.groupBy("type").agg(F.count(F.lit(1)).alias("n_resources"))
+    keys = each.select("type", F.explode(F.json_object_keys("doc")).alias("property")).where(~F.col("property").startswith("@") & (F.col("property") != "_id"))
+    used = keys.groupBy("type", "property").agg(F.count(F.lit(1)).alias("n"))
+    return total.join(used, "type", "left").select("type", "property", F.coalesce("n", F.lit(0)).alias("n"), "n_resources")

@@ -79,8 +79,18 @@ def _frame(names: list, parts: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"g": np.repeat(np.array(names, dtype=object), [len(p) for p in parts]), "y": xy[:, 1], "x": xy[:, 0]})
 
 
-def update_ranges(individuals: DataFrame, ranges: DataFrame, id_col: str, property_name: str) -> tuple[DataFrame, DataFrame]:
-    """(individuals with the property set or, without a hull, unset; ids of groups that name nobody)."""
-    r = ranges.select(F.col("group_id").alias(id_col), F.col("ring").alias("__ring"))
-    out = individuals.drop(property_name).join(r, id_col, "left").withColumnRenamed("__ring", property_name)
-    return out, ranges.select(F.col("group_id").alias(id_col)).join(individuals, id_col, "left_anti")
+def update_ranges(individuals: DataFrame, ranges: DataFrame, id_col: str, property_name: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(individuals with the property set or, without a hull, unset; what became of each).
+
+    The second table is (id, outcome): ``set``, ``unset`` (the individual had one and
+    has no hull now), ``kept`` (nothing changes) or ``unmatched`` (a group that names
+    nobody). With ``dry_run`` the individuals come back as they are.
+    """
+    had = F.col(property_name) if property_name in individuals.columns else F.lit(None).cast("string")
+    r = ranges.select(F.col("group_id").alias(id_col), F.col("ring").alias("__ring")).dropDuplicates([id_col])
+    both = individuals.withColumn("__had", had).join(r, id_col, "left")
+    outcome = F.when(F.col("__ring").eqNullSafe(F.col("__had")), "kept").when(F.col("__ring").isNull(), "unset").otherwise("set")
+    told = both.select(F.col(id_col).alias("id"), outcome.alias("outcome")).unionByName(r.join(individuals, id_col, "left_anti").select(F.col(id_col).alias("id"), F.lit("unmatched").alias("outcome")))
+    if dry_run:
+        return individuals, told
+    return both.drop("__had", *([property_name] if property_name in individuals.columns else [])).withColumnRenamed("__ring", property_name), told

@@ -117,19 +117,47 @@ def statement_id(s: Column, p: Column, o: Column, sources: Column) -> Column:
     return F.concat(F.lit("bold:stmt-"), F.substring(F.sha1(F.concat_ws("|", F.coalesce(s, F.lit("")), F.coalesce(p, F.lit("")), F.coalesce(o, F.lit("")), src)), 1, 16))
 
 
-def statements(facts: DataFrame, partitions: DataFrame | None = None, provenance: str | None = None, when_ms: int | None = None, only_subjects: DataFrame | None = None) -> DataFrame:
-    """Reified statements of inferred facts (subject, predicate, object[, explicit]).
+def statement_id_of(doc: Column) -> Column:
+    """The id of a statement kept as JSON: its source is its partitions, else its provenance; null if a part of it is missing."""
+    part = lambda name: unwrap_json(F.get_json_object(doc, f"$['{name}']"))
+    s, p, o = (part(f"rdf:{n}") for n in ("subject", "predicate", "object"))
+    raw = F.get_json_object(doc, "$['dcterms:isPartOf']")
+    many = F.transform(F.from_json(raw, "array<string>"), unwrap_json)
+    sources = F.when(raw.startswith("["), many).when(raw.isNotNull(), F.array(unwrap_json(raw))).otherwise(F.array_compact(F.array(part("bold:provenance"))))
+    return F.when(s.isNotNull() & p.isNotNull() & o.isNotNull(), statement_id(s, p, o, sources))
+
+
+def unwrap_json(value: Column) -> Column:
+    """What a JSON value stands for: the id or value of an object, else itself."""
+    return F.when(value.startswith("{"), F.coalesce(F.get_json_object(value, "$['@id']"), F.get_json_object(value, "$['_id']"), F.get_json_object(value, "$['@value']"))).otherwise(value)
+
+
+def statements(facts: DataFrame, partitions: DataFrame | None = None, provenance: str | None = None, when_ms: int | None = None, only_subjects: DataFrame | None = None, meta: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Reified statements of inferred facts (subject, predicate, object[, explicit][, rule, inferred_from]).
 
     Explicit facts are known already and give none. ``partitions`` (subject,
     partitions) names where a subject's statements belong and takes part in the id.
+    ``meta`` has further values by predicate, those under ``*`` for all; they come
+    out as a map. A rule and what it was inferred from are kept as they are given,
+    the least of them if a fact comes more than once.
     """
     rows = facts.where(~F.col("explicit")) if "explicit" in facts.columns else facts
     if only_subjects is not None:
         rows = rows.join(only_subjects.select("subject").distinct(), "subject", "left_semi")
-    rows = rows.select("subject", "predicate", "object").distinct()
+    why = [c for c in ("rule", "inferred_from") if c in rows.columns]
+    keys = ["subject", "predicate", "object"]
+    rows = rows.groupBy(*keys).agg(*[F.min(c).alias(c) for c in why]) if why else rows.select(*keys).distinct()
     rows = rows.join(partitions, "subject", "left") if partitions is not None else rows.withColumn("partitions", F.lit(None).cast("array<string>"))
     source = F.coalesce(F.col("partitions"), F.array(F.lit(provenance)) if provenance else F.array().cast("array<string>"))
-    return rows.select(statement_id(F.col("subject"), F.col("predicate"), F.col("object"), source).alias("_id"), "subject", "predicate", "object", "partitions", F.lit(provenance).cast("string").alias("provenance"), F.lit(when_ms).cast("bigint").alias("when_ms"))
+    out = [statement_id(F.col("subject"), F.col("predicate"), F.col("object"), source).alias("_id"), *keys, "partitions", F.lit(provenance).cast("string").alias("provenance"), F.lit(when_ms).cast("bigint").alias("when_ms"), *why]
+    if meta is not None:
+        made = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv]) if values else F.create_map().cast("map<string,string>")
+        value = made(meta.get("*", {}))
+        for name, own in meta.items():
+            if name != "*":
+                value = F.when(F.col("predicate") == name, made({**meta.get("*", {}), **own})).otherwise(value)
+        out.append(value.alias("meta"))
+    return rows.select(*out)
 
 
 def upsert_statements(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,9 @@ profile.
 from __future__ import annotations
 
 import json
+import threading
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -221,6 +224,86 @@ def reason_collection(resources: DataFrame, triples: DataFrame, tbox: DataFrame,
     return inferred, stamped
 
 
+#: Collections that are never reasoned over.
+NEVER_REASONED = ("statements",)
+
+
+def reasoning_order(names: list[str], first: list[str] = (), never: tuple[str, ...] = NEVER_REASONED) -> list[str]:
+    """The collections to reason over: the named ones that there are, each once, then the others as they are registered."""
+    every = [n for n in names if n not in never]
+    named = list(dict.fromkeys(n for n in first if n in every))
+    return [*named, *(n for n in every if n not in named)]
+
+
+def schema_closure(tbox: DataFrame) -> DataFrame:
+    """(s, p, o, rule): superclasses and superproperties that the ontology implies and does not state."""
+    up = _hierarchies(tbox.select("s", "p", "o").dropna().distinct())
+    rule = F.when(F.col("p") == "rdfs:subClassOf", "scm-sco").otherwise("scm-spo")
+    implied = up.select(F.col("a").alias("s"), "p", F.col("b").alias("o"), rule.alias("rule"))
+    return implied.join(tbox.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")
+
+
+def bootstrap_reasoner(ontology: DataFrame, old: DataFrame, provenance: str, now: str, now_ms: int, routing: Routing = Routing()) -> tuple[DataFrame, DataFrame]:
+    """(ontology, statements) after the ontology was reasoned over: implied values merged in, their statements in place of those of the same provenance.
+
+    ``ontology`` is (collection, _id, types, partitions, doc); ``old`` are all
+    statements as ``rdf.statements`` makes them.
+    """
+    mine = F.col("provenance").eqNullSafe(F.lit(provenance))
+    # What an earlier run inferred is no premise, so a second run infers it again.
+    earlier = old.where(mine).select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"))
+    tri = materialize(json_triples(ontology).select("s", "p", "o").join(earlier, ["s", "p", "o"], "left_anti"))
+    inferred = materialize(infer(tri, tri).unionByName(schema_closure(tri)).where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:")))
+    merged, _ = merge_and_update(ontology, inferred.drop("rule"), now, routing)
+    facts = inferred.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
+    made = statements(facts, None, provenance, now_ms)
+    kept = old.where(~mine)
+    return merged, kept.unionByName(made.select(*kept.columns))
+
+
+class Reasoner:
+    """The ontology's triples, loaded once for all who ask at the same time, and passes over collections with it."""
+
+    def __init__(self, load: Callable[[], DataFrame]):
+        self._load, self._tbox, self._lock = load, None, threading.Lock()
+
+    def ensure(self) -> DataFrame:
+        """The triples of the ontology, loaded by the first who asks; a failure is not kept."""
+        with self._lock:
+            if self._tbox is None:
+                self._tbox = materialize(self._load())
+            return self._tbox
+
+    def forget(self) -> None:
+        """The next to ask loads the ontology anew."""
+        with self._lock:
+            self._tbox = None
+
+    def reason(self, resources: DataFrame, names: list[str], now: str, first: list[str] = (), provenance: str | None = None) -> tuple[DataFrame, DataFrame | None, dict]:
+        """(resources, statements, counts and seconds) of a pass over collections, in order; later ones see what earlier ones gave.
+
+        Only resources that carry no stamp are taken up, and only those that get an
+        inference are stamped.
+        """
+        tbox, made, totals = self.ensure(), None, {"resources": 0, "inferred": 0, "written": 0, "seconds": {}}
+        for name in reasoning_order(names, list(first)):
+            began = time.perf_counter()
+            open_ = resources.where((F.col("collection") == name) & F.get_json_object("doc", f"$['{REASONED}']").isNull())
+            totals["resources"] += open_.count()
+            inferred = materialize(infer(json_triples(open_), tbox))
+            mine = inferred.join(open_.select(F.col("_id").alias("s")).distinct(), "s", "left_semi")
+            updated, written = merge_and_update(resources.where(F.col("collection") == name), mine.drop("rule"), now)
+            resources = materialize(resources.where(F.col("collection") != name).unionByName(updated.select(*resources.columns)))
+            facts = mine.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), "rule")
+            where = open_.select(F.col("_id").alias("subject"), "partitions").where("size(partitions) > 0").dropDuplicates(["subject"])
+            part = statements(facts, where, provenance)
+            made = part if made is None else made.unionByName(part)
+            totals["inferred"] += mine.count()
+            totals["written"] += written.count()
+            totals["seconds"][name] = time.perf_counter() - began
+        return resources, made, totals
+
+
 REASONED = "bold:reasoned"
 
 
@@ -371,10 +454,22 @@ class RunState:
         return {"running": self.running, "scope": self.scope, "pending": self.pending, "error": self.error, "runs": self.runs, **self.totals}
 
 
-def run_reasoning(state: RunState, once, scope: str | None = None) -> dict:
-    """Runs ``once(scope)`` until no request is pending; a second caller only queues."""
+def start_reasoning(state: RunState, once, scope: str | None = None) -> dict:
+    """Like ``run_reasoning``, on a thread of its own: returns at once with ``started`` or, behind a run, ``queued``."""
     if not state.begin(scope):
-        return state.snapshot()
+        return {"queued": True, **state.snapshot()}
+    threading.Thread(target=_until_done, args=(state, once, scope), daemon=True).start()
+    return {"started": True, **state.snapshot()}
+
+
+def _until_done(state: RunState, once, scope: str | None) -> None:
+    try:
+        _loop(state, once, scope)
+    except Exception:  # noqa: BLE001 - kept in the state
+        pass
+
+
+def _loop(state: RunState, once, scope: str | None) -> None:
     try:
         while True:
             state.record(once(scope))
@@ -385,4 +480,11 @@ def run_reasoning(state: RunState, once, scope: str | None = None) -> dict:
     except Exception as e:
         state.fail(e)
         raise
+
+
+def run_reasoning(state: RunState, once, scope: str | None = None) -> dict:
+    """Runs ``once(scope)`` until no request is pending; a second caller only queues."""
+    if not state.begin(scope):
+        return state.snapshot()
+    _loop(state, once, scope)
     return state.snapshot()

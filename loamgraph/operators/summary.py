@@ -101,8 +101,11 @@ def bucket_index(t: Column, lo: Column, hi: Column, buckets: int = BUCKETS) -> C
     return F.when(hi <= lo, F.lit(0)).when(t >= hi, buckets - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((t - lo) / width)))).cast("int")
 
 
-def time_buckets(df: DataFrame, keys: list[str], when: str, buckets: int = BUCKETS) -> DataFrame:
-    """(keys, bucket, n, min_ms, max_ms): what each of a group's time buckets holds; empty buckets have no row.
+def time_buckets(df: DataFrame, keys: list[str], when: str, buckets: int = BUCKETS, empty: bool = False) -> DataFrame:
+    """(keys, bucket, n, min_ms, max_ms): what each of a group's time buckets holds.
+
+    Empty buckets have no row, or with ``empty`` one of n 0 and null times; a group
+    whose times are all one has a single bucket either way.
 
     The bounds of a group come from one aggregate and return by a join, not by a
     window over the group, so that a large group stays in many tasks.
@@ -112,7 +115,12 @@ def time_buckets(df: DataFrame, keys: list[str], when: str, buckets: int = BUCKE
     named = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
     bounds = bounds.select(*[F.col(k).alias(f"b_{k}") for k in keys], "lo", "hi")
     placed = timed.join(bounds, reduce(lambda a, b: a & b, named)).withColumn("bucket", bucket_index(F.col("t"), F.col("lo"), F.col("hi"), buckets))
-    return placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("min_ms"), F.max("t").alias("max_ms"))
+    held = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("min_ms"), F.max("t").alias("max_ms"))
+    if not empty:
+        return held
+    every = bounds.select(*[F.col(f"b_{k}").alias(k) for k in keys], F.explode(F.when(F.col("lo") < F.col("hi"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))).alias("bucket"))
+    lacking = every.select(*keys, "bucket", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("min_ms"), F.lit(None).cast("bigint").alias("max_ms"))
+    return held.unionByName(lacking).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"))
 
 
 def type_counts(collections: dict[str, DataFrame], types: str = "at_type", located: Column | None = None, by_collection: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.zones import ABBREVIATIONS, wall_to_utc, zone_files, zone_version
@@ -254,6 +254,33 @@ def normalise_times(df: DataFrame, id_col: str, value_cols: dict[str, str], zone
     return slim.mapInArrow(convert, _OUT)
 
 
+def instant_of(value: Column, zone: str) -> Column:
+    """Epoch milliseconds of written times, read as ``normalise_times`` reads them, days first where slashes leave no doubt."""
+    files = {zone: data for z, data in zone_files().items() if z == zone}
+
+    def of(v: pd.Series) -> pd.Series:
+        texts = pa.array(v, pa.string(), from_pandas=True)
+        there = np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False))
+        out = np.full(len(v), None, dtype=object)
+        if len(there):
+            utc, good, _, _ = to_utc_ms(clean(texts.take(pa.array(there))), np.full(len(there), zone, dtype=object), np.full(len(there), np.nan), files)
+            out[there] = np.where(good, utc, None)
+        return pd.Series(out, dtype=object)
+
+    of.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return F.pandas_udf(of, "bigint")(value.cast("string"))
+
+
+#: Text that names wall-clock fields: a date, and perhaps a time, without a zone.
+ZONELESS = r"^\s*\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\s*$"
+
+
+def zoneless_instant(value: Column, zone: str) -> Column:
+    """struct(matched, utc_ms): whether text has the form of a zone-less ISO time, and its instant in ``zone`` if it is a real one."""
+    matched = F.coalesce(value.rlike(ZONELESS), F.lit(False))
+    return F.struct(matched.alias("matched"), instant_of(F.when(matched, value), zone).alias("utc_ms"))
+
+
 def publication_bounds(individuals: DataFrame, profiles: DataFrame) -> DataFrame:
     """The bounds of each individual's first delivery, with masks, by its zone and its source's day order."""
     values = F.struct("time_zone", "dcterms_source", "bold_publicdatastart", "bold_publicdataend")
