@@ -52,16 +52,17 @@ EDGES_SQL = """edges as (
 
 
 def customer_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Publication bounds of a part of the users: start by key, a bare-date end or an instant."""
-    c = table(spark, d, "customer").where("c_custkey % 3 = 0")
+    """Publication bounds of all users, of which two thirds have none: start by key, a bare-date end or an instant."""
+    c = table(spark, d, "customer")
+    third = F.col("c_custkey") % 3 == 0
     k = F.col("c_custkey")
     start = F.unix_millis(F.to_timestamp(F.lit("2024-01-03"))) + (k % 7) * 86_400_000
     end = F.unix_millis(F.to_timestamp(F.lit("2024-01-15"))) + (k % 11) * 86_400_000
     return c.select(
         F.concat(F.lit("user:"), k).alias("individual_id"),
-        F.when(k % 2 == 0, start).alias("start_ms"),
-        F.when(k % 5 == 0, end).alias("end_ms"),
-        F.when(k % 5 == 1, end).alias("end_before_ms"),
+        F.when(third & (k % 2 == 0), start).alias("start_ms"),
+        F.when(third & (k % 5 == 0), end).alias("end_ms"),
+        F.when(third & (k % 5 == 1), end).alias("end_before_ms"),
     )
 
 

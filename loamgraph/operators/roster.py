@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from loamgraph.functions.cells import STORED_RESOLUTIONS, cell_field, cell_parent
@@ -115,3 +116,13 @@ def group_report(sources: list[Source], group: str, when: str, resolution: int =
         "regions_available": any(available.values()), "region_sets": available, "truncated": counts.get(ladder[0], 0) > max_cells,
     }
     return GroupReport(summary, tags, first_suppliers(ids, [s.resources for s in sources], id_col), known, meta)
+
+
+def unmatched_groups(groups: DataFrame, group: str, known: DataFrame, id_col: str = "_id") -> DataFrame:
+    """(group_id, n): groups of rows that name no known resource, with their rows; an array names several, blank names none.
+
+    Groups are counted map-side first, so the known side meets distinct groups only.
+    """
+    many = isinstance(groups.schema[group].dataType, T.ArrayType)
+    each = groups.select((F.explode(F.array_distinct(group)) if many else F.col(group)).alias("group_id")).where("length(group_id) > 0")
+    return each.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).join(known.select(F.col(id_col).alias("group_id")), "group_id", "left_anti")

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from loamgraph import lift
-from loamgraph.functions import cells, display, shapes
-from loamgraph.functions.geometry import polygons_of
-from loamgraph.operators import documents, hierarchy, ranges, rdf, reasoning, summary, windows
-from loamgraph.operators.spatial import points_in_regions, position_counts
+from loamgraph.functions import cells, display
+from loamgraph.functions.jsonpath import path_values
+from loamgraph.operators import documents, hexcells, hierarchy, ranges, rdf, reasoning, regions, roster, summary, windows
+from loamgraph.operators.ids import qname, read_context
+from loamgraph.operators.spatial import position_counts
 from loamgraph.plans.selector import aggregate, find
 from loamgraph.queries.records import _EDGES, _ID
 from loamgraph.runtime import table
 
+SHAPE = "bold_spatialdepiction"
 COLLECTIONS = ("tracking_report", "individual", "observation", "study_region")
 CUTOFF_MS = 1705622400000  # 2024-01-19
 GEO = "geo_lat", "geo_long"
@@ -26,7 +24,7 @@ def _t(name):
     return lambda s, d: table(s, d, name)
 
 
-_reports, _orders, _customers = _t("tracking_report"), _t("orders"), _t("customer")
+_reports, _orders, _customers, _regions = _t("tracking_report"), _t("orders"), _t("customer"), _t("study_region")
 _sorted_join = lambda c: F.array_join(F.array_sort(c), ",")
 
 
@@ -101,16 +99,17 @@ _WINDOW = f"from {lift.EVENTS_SQL} v left join bounds on group_id = who where (w
 
 
 def _unmatched(s, d):
-    from loamgraph.operators.ids import qname, read_context
-
     ctx = read_context(table(s, d, "jsonld_context"))
-    named = _reports(s, d).groupBy("bold_animal").agg(F.count(F.lit(1)).alias("n")).select(qname(F.col("bold_animal"), ctx).alias("animal_id"), "n").where("length(animal_id) > 0")
-    return named.groupBy("animal_id").agg(F.sum("n").alias("n_rows")).join(table(s, d, "individual").select(F.col("_id").alias("animal_id")), "animal_id", "left_anti")
+    named = _reports(s, d).select(qname(F.col("bold_animal"), ctx).alias("animal_id"))
+    return roster.unmatched_groups(named, "animal_id", table(s, d, "individual")).select(F.col("group_id").alias("animal_id"), F.col("n").alias("n_rows"))
 
 
 def _roster(s, d):
-    ids = _orders(s, d).select(F.col("o_custkey").alias("c_custkey"))
-    return _customers(s, d).join(ids, "c_custkey", "left_semi").select(F.concat(F.lit("customer:"), "c_custkey").alias("_id"), "c_name")
+    """Customers named by orders; the first table that has an id supplies it."""
+    ids = _orders(s, d).select(F.concat(F.lit("customer:"), "o_custkey").alias("_id"))
+    people = _customers(s, d).select(F.concat(F.lit("customer:"), "c_custkey").alias("_id"), "c_name")
+    again = table(s, d, "supplier").select(F.concat(F.lit("customer:"), "s_suppkey").alias("_id"), F.col("s_name").alias("c_name"))
+    return roster.first_suppliers(ids, [people, again])
 
 
 def _triples(s, d):
@@ -192,8 +191,9 @@ def _merged_individuals(s, d):
 
 
 def _outer_merge(s, d):
-    old = _customers(s, d).where("c_custkey % 2 = 0").select(F.concat(F.lit("c:"), "c_custkey").alias("_id"), F.col("c_name").alias("name"), F.lit("old").alias("since"))
-    new = _customers(s, d).where("c_custkey % 3 = 0").select(F.concat(F.lit("c:"), "c_custkey").alias("_id"), F.when(F.col("c_custkey") % 9 != 0, F.upper("c_name")).alias("name"), F.lit("new").alias("since"))
+    """Customers with parts of the same numbers over them; some part names are missing."""
+    old = _customers(s, d).select(F.concat(F.lit("c:"), "c_custkey").alias("_id"), F.col("c_name").alias("name"), F.lit("old").alias("since"))
+    new = table(s, d, "part").select(F.concat(F.lit("c:"), "p_partkey").alias("_id"), F.when(F.col("p_size") % 9 != 0, F.upper("p_name")).alias("name"), F.lit("new").alias("since"))
     return documents.upsert(old, new, merge=True, first_wins=("since",))
 
 
@@ -208,60 +208,28 @@ def _detail(s, d):
 
 
 def _region_tags(s, d):
-    """Cells of reports tagged with the regions that hold any report of them."""
-    r = _reports(s, d).select(F.col("_h3_7").alias("cell"), F.col("geo_lat").alias("lat"), F.col("geo_long").alias("lng")).where("cell is not null")
-    centres = r.where(position_counts(F.col("lat"), F.col("lng"))).groupBy("cell").agg(F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lng"), 4).alias("lng"))
-    tags = points_in_regions(centres.withColumnRenamed("cell", "id"), table(s, d, "study_region"), "_id", "bold_spatialdepiction")
-    return tags.groupBy(F.col("right_id").alias("region_id")).agg(F.count(F.lit(1)).alias("n_cells"))
-
-
-def _shape_rows(s, d, fn, schema):
-    def run(batches):
-        for pdf in batches:
-            rows = [x for i, t in zip(pdf["_id"], pdf["t"]) for x in fn(i, t)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return table(s, d, "study_region").select("_id", F.col("bold_spatialdepiction").alias("t")).mapInPandas(run, schema)
+    """Cells of reports tagged with the regions that hold their centres."""
+    tags = hexcells.tag_regions(_reports(s, d), "_h3_7", _regions(s, d), "_id", SHAPE)
+    return tags.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def _boxes(s, d):
-    def box(i, t):
-        outer = [p[0] for p in polygons_of(t)]
-        if outer:
-            xy = np.concatenate(outer)
-            yield (i, *xy.min(axis=0), *xy.max(axis=0), sum(shapes.polygon_area([np.vstack([r, r[:1]]) for r in p]) for p in polygons_of(t)) / 1e6, len(polygons_of(t)))
-
-    out = _shape_rows(s, d, box, "region_id string, west double, south double, east double, north double, area_km2 double, n_polygons bigint")
-    return out.withColumn("area_km2", F.round("area_km2", 3))
-
-
-def _simplified(s, d):
-    def simple(i, t):
-        polys = polygons_of(t)
-        out = shapes.simplify_rings(polys, 0.02)
-        if out:
-            yield i, sum(len(r) for p in polys for r in p), sum(len(r) for p in out for r in p), json.dumps(shapes.to_geojson(out))
-
-    return _shape_rows(s, d, simple, "region_id string, vertices_in bigint, vertices_out bigint, shape string")
+    return regions.region_boxes(_regions(s, d), "_id", SHAPE).withColumn("area_km2", F.round("area_km2", 3))
 
 
 def _united(s, d):
-    """All regions of one first letter as one shape."""
+    """Regions in six groups by the hash of their id, each as one shape."""
+    return regions.united_regions(_regions(s, d), F.pmod(F.crc32("_id"), F.lit(6)), SHAPE)
 
-    def unite(key, pdf):
-        polys = [p for t in pdf["t"] for p in polygons_of(t)]
-        u = shapes.union_polygons(polys)
-        area = sum(shapes.polygon_area([np.vstack([r, r[:1]]) for r in p]) for p in u) / 1e6
-        return pd.DataFrame([(key[0], len(polys), len(u), area)], columns=["letter", "n_in", "n_out", "area_km2"])
 
-    r = table(s, d, "study_region").select(F.pmod(F.crc32("_id"), F.lit(6)).cast("string").alias("letter"), F.col("bold_spatialdepiction").alias("t"))
-    return r.groupBy("letter").applyInPandas(unite, "letter string, n_in bigint, n_out bigint, area_km2 double")
+def _placed(s, d):
+    return _reports(s, d).where(position_counts(*map(F.col, GEO)) & (F.length("bold_animal") > 0)).select(F.col("bold_animal").alias("group_id"), *[F.col(c) for c in GEO])
 
 
 def _hulls(s, d):
     """Hull, centroid and area of each animal's places."""
-    r = _reports(s, d).where(position_counts(*map(F.col, GEO)) & (F.length("bold_animal") > 0)).select(F.col("bold_animal").alias("group_id"), *[F.col(c) for c in GEO])
-    stats = r.groupBy("group_id").agg(F.avg("geo_long").alias("lng"), F.avg("geo_lat").alias("lat"), F.count(F.lit(1)).alias("n"))
+    r = _placed(s, d)
+    stats = regions.position_summary(r, "group_id", *GEO)
     return ranges.group_hulls(r, "group_id", *GEO).join(stats, "group_id").select("group_id", "vertices", "area_km2", _rounded("lng"), _rounded("lat"), "n")
 
 
@@ -280,8 +248,8 @@ def _options(s, d):
 
 
 def _json_props(s, d):
-    e = table(s, d, "events")
-    return e.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(s, d, "events").select(F.get(path_values(F.col("props"), "$.k"), F.lit(0)).alias("k"))
+    return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CLOSURE = f"with recursive {lift.EDGES_SQL}, up as (select child node, parent ancestor, 1 distance from edges union select up.node, edges.parent, distance + 1 from up join edges on up.ancestor = edges.child)"
@@ -300,7 +268,7 @@ def queries() -> dict:
         "cell_ladder": _ladder,
         "cell_cluster": _clusters,
         "cell_top_groups": _top,
-        "cell_raw": lambda s, d: summary.cell_raw(_reports(s, d), F.col(_CELL7), 20).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_id").alias("n_ids")),
+        "cell_raw": lambda s, d: summary.cell_raw(_reports(s, d), F.col(_CELL7)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_id").alias("n_ids")),
         "cell_time_buckets": lambda s, d: summary.time_buckets(lift.event_documents(s, d).withColumn("kind", F.element_at("at_type", 1)), ["kind"], "when_ms"),
         "geohash_cells": lambda s, d: lift.event_documents(s, d).select("_id", cells.geohash(F.col("lat"), F.col("lng"), 5).alias("cell")).groupBy(F.substring("cell", 1, 2).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("n_cells")),
         "window_cutoff": lambda s, d: _windowed(s, d, CUTOFF_MS, False).select("_id", "when_ms"),
@@ -341,7 +309,8 @@ def queries() -> dict:
         "region_tags": _region_tags,
         "region_bbox": lambda s, d: _boxes(s, d).drop("area_km2"),
         "region_boxes": _boxes,
-        "region_simplified": _simplified,
+        "region_simplified": lambda s, d: regions.region_simplified(_regions(s, d), "_id", SHAPE, 0.02),
+        "group_centroids": lambda s, d: regions.position_summary(_placed(s, d), "group_id", *GEO).select("group_id", _rounded("lng"), _rounded("lat"), "n"),
         "region_union": _united,
         "spatial_range": _hulls,
         "label_fallback": _labels,
@@ -363,7 +332,7 @@ def oracle_sql() -> dict[str, str]:
         "cell_parents": f"select c, {_PARENT(5)} p5, {_PARENT(3)} p3 from (select distinct _h3_7 c from tracking_report where _h3_7 is not null)",
         "cell_cluster": "select _h3_7 cell, count(*) n, round(avg(geo_lat) + 1e-9, 6) avg_lat, round(avg(geo_long) + 1e-9, 6) avg_lng, min(_when_ms) min_ms, max(_when_ms) max_ms, case when count(*) <= 1000 then 'raw' else 'cluster' end shape from tracking_report where _h3_7 is not null group by 1",
         "cell_top_groups": "select * from (select _h3_7 cell, bold_animal group_id, count(*) n, min(_when_ms) min_ms, max(_when_ms) max_ms, row_number() over (partition by _h3_7 order by count(*) desc, bold_animal nulls last) rank from tracking_report where _h3_7 is not null group by 1, 2) where rank <= 10",
-        "cell_raw": "select _h3_7 cell, count(*) n, count(distinct _id) n_ids from tracking_report where _h3_7 is not null group by 1 having count(*) <= 20",
+        "cell_raw": "select _h3_7 cell, count(*) n, count(distinct _id) n_ids from tracking_report where _h3_7 is not null group by 1 having count(*) <= 1000",
         "cell_time_buckets": f"with v as (select at_type[1] kind, when_ms t from {ev}), b as (select kind, min(t) lo, max(t) hi from v group by 1) select kind, (case when hi <= lo then 0 when t >= hi then 15 else greatest(0, least(15, floor((t - lo) / ((hi - lo) / 16.0)))) end)::int bucket, count(*) n, min(t) min_ms, max(t) max_ms from v join b using (kind) group by 1, 2",
         "window_cutoff": f"select _id, when_ms from {ev} where when_ms <= {CUTOFF_MS}",
         "window_bounds": f"with {lift.BOUNDS_SQL} select _id, group_id, when_ms {_WINDOW}",
@@ -381,8 +350,16 @@ def oracle_sql() -> dict[str, str]:
         "pipeline_top": f"select group_id _id, max_by(_id, when_ms) newest, count(*) n from {ev} where value >= 10 group by 1 order by n desc, group_id limit 40",
         "semi_roster": "select 'customer:' || c_custkey _id, c_name from customer where c_custkey in (select o_custkey from orders)",
         "unmatched_keys": f"with named as ({_ID % 'select bold_animal raw from tracking_report'}) select id animal_id, count(*) n_rows from named where id <> '' and id not in (select _id from individual) group by 1",
+        "region_boxes": f"""with {_EDGES}, closed as (select *, [list_extract(r, (i - 1) % len(r) + 1) for i in range(1, len(r) + 3)] c from rings), areas as (
+          select _id, poly, r = o outer_ring, abs(list_sum([(radians(c[k + 2][1]) - radians(c[k][1])) * sin(radians(c[k + 1][2])) for k in range(1, len(r) + 1)])) * 6371008.8 * 6371008.8 / 2 a from (select closed.*, polygons.rings[1] o from closed join polygons using (_id, poly))),
+          per_poly as (select _id, poly, abs(sum(case when outer_ring then a else -a end)) a from areas group by 1, 2), areas_of as (select _id, sum(a) / 1e6 area from per_poly group by 1),
+          boxes as (select _id, min(p[1]) west, min(p[2]) south, max(p[1]) east, max(p[2]) north, count(distinct poly) n_polygons from (select _id, poly, unnest(rings[1]) p from polygons) group by 1)
+          select _id region_id, west, south, east, north, round(area, 3) area_km2, n_polygons from boxes join areas_of using (_id)""",
+        "group_centroids": "select bold_animal group_id, round(avg(geo_long) + 1e-9, 6) lng, round(avg(geo_lat) + 1e-9, 6) lat, count(*) n from tracking_report where bold_animal <> '' and geo_lat between -90 and 90 and geo_long between -180 and 180 and not isnan(geo_lat) and not isnan(geo_long) and not (geo_lat = 0 and geo_long = 0) group by 1",
+        "cell_ladder": "with c as (select distinct bold_animal g, _h3_7 c from tracking_report where bold_animal is not null and _h3_7 is not null), n as (select 7 r, count(distinct (g, p7)) n from (select g, " + _PARENT(7) + " p7 from c) where p7 is not null union all select 5, count(distinct (g, p5)) from (select g, " + _PARENT(5) + " p5 from c) where p5 is not null union all select 3, count(distinct (g, p3)) from (select g, " + _PARENT(3) + " p3 from c) where p3 is not null), m as (select unnest([1000, 20000, 10])::int max_cells) select max_cells, coalesce(max(r) filter (n <= max_cells), 3)::int resolution, count(*) filter (n <= max_cells) = 0 truncated from m, n group by 1",
+        "geohash_cells": f"with v as (select floor((lng + 180) / 360 * 8192)::bigint x, floor((lat + 90) / 180 * 4096)::bigint y from {ev}), h as (select array_to_string([('0123456789bcdefghjkmnpqrstuvwxyz')[1 + list_sum([((case when (5 * c + k) % 2 = 0 then least(x, 8191) >> (12 - (5 * c + k) // 2) else least(y, 4095) >> (11 - (5 * c + k) // 2) end) & 1) << (4 - k) for k in range(5)])::int] for c in range(5)], '') cell from v) select substr(cell, 1, 2) prefix, count(*) n, count(distinct cell) n_cells from h group by 1",
         "region_bbox": f"with {_EDGES} select _id region_id, min(p[1]) west, min(p[2]) south, max(p[1]) east, max(p[2]) north, count(distinct poly) n_polygons from (select _id, poly, unnest(rings[1]) p from polygons) group by 1",
-        "outer_merge": "select 'c:' || c_custkey _id, case when c_custkey % 3 = 0 and c_custkey % 9 <> 0 then upper(c_name) when c_custkey % 2 = 0 then c_name end \"name\", case when c_custkey % 2 = 0 then 'old' else 'new' end since from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0",
+        "outer_merge": "select 'c:' || coalesce(c_custkey, p_partkey) _id, coalesce(case when p_size % 9 <> 0 then upper(p_name) end, c_name) \"name\", case when c_custkey is not null then 'old' else 'new' end since from customer full join part on c_custkey = p_partkey",
         "triples": f"with {_TRIPLES} select * from triples",
         "json_triples": "with t as (select _id s, unnest(list_distinct(['at:' || x for x in at_type])) o, 'rdf:type' p from individual union select _id, rdfs_label, 'rdfs:label' from individual where rdfs_label is not null union select _id, species, 'species' from individual where species is not null) "
         "select p, (select count(*) from (select unnest(case p when 'rdf:type' then at_type when 'rdfs:label' then [rdfs_label] else [species] end) v from individual) where v is not null) n, count(distinct s) n_subjects, count(distinct o) n_objects from t group by 1",
