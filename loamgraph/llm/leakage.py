@@ -39,8 +39,8 @@ class LeakRules:
     rare_least: int = 3  # ... or as few documents as this
     block: int = 60  # letters of an item of which ...
     per_block: int = 12  # ... the rarest so many seeds are kept, however frequent
-    min_seeds: int = 15  # different seeds that join a document to an item
-    gram_share: float = 0.35  # ... or this share of all n-grams of min_words words of it, rare or not
+    min_seeds: int = 15  # seeds among the n-grams of min_words words of an item that join a document to it
+    gram_share: float = 0.35  # ... or this share of those n-grams, rare or not
     line_grams: int = 4  # fine grams on one diagonal for which a line is aligned
     pair_grams: int = 30  # ... and all lines of a pair together, or it is dropped
     band: int = 4
@@ -73,12 +73,15 @@ class Items:
         self.fine_at = at[order]
         self.fine_key, self.fine_first, self.fine_n = np.unique(key[order], return_index=True, return_counts=True)
         self.fine = GramSet(self.fine_key)
+        self._count_words()
 
-    def reach(self, n_words: int) -> np.ndarray:
-        """For each letter, where the run of ``n_words`` words that begins with its word ends, within its item."""
+    def window(self, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each letter, the run of ``n_words`` whole words of its item that begins with its word, or ends with the item."""
         word = np.searchsorted(self.word_at, np.arange(len(self.code)), side="right") - 1
-        begins = np.append(self.word_at, np.full(n_words, len(self.code)))
-        return np.minimum(begins[word + n_words], self.start[self.owner + 1])
+        last = np.searchsorted(self.word_at, self.start[self.owner + 1])
+        first = np.minimum(word, last - n_words)
+        edge = np.append(self.word_at, len(self.code))
+        return edge[first], edge[first + n_words]
 
     def least_letters(self, item: int, n_words: int) -> int:
         """Letters without which ``words_in`` can not count so many words."""
@@ -86,14 +89,28 @@ class Items:
         edge = np.append(self.word_at[lo:hi], self.start[item + 1])
         return int((edge[n_words:] - edge[:-n_words]).min()) - 8 if len(edge) > n_words else 1 << 30
 
+    def _count_words(self) -> None:
+        """For each place of each item, the words that begin at or after it and end at or before it, up to a few letters."""
+        n = len(self.code)
+        last = np.append(self.word_at[1:], n)
+        slack = np.minimum(4, (last - self.word_at) // 3)
+        item = self.owner[self.word_at] if n else np.zeros(0, np.int64)
+        # An item's places stand apart by one, as it has one more of them than letters.
+        size = n + len(self.ids) + 1
+        after = np.bincount(np.minimum(self.word_at + slack, last) + item, minlength=size)
+        until = np.bincount(last - slack + item, minlength=size)
+        begin = self.start[:-1] + np.arange(len(self.ids))
+        total = np.bincount(item, minlength=len(self.ids))
+        cut = np.cumsum(after) - after
+        self.not_before = np.repeat(total, np.diff(self.start) + 1) - (cut[:-1] - np.repeat(cut[begin], np.diff(self.start) + 1))
+        done = np.cumsum(until)
+        self.not_after = done[:-1] - np.repeat(done[begin] - until[begin], np.diff(self.start) + 1)
+        self.n_words = total
+
     def words_in(self, item: int, a: int, b: int) -> int:
         """Words of an item that its letters a..b cover, up to a few letters at either end."""
-        lo, hi = np.searchsorted(self.word_at, [self.start[item], self.start[item + 1]])
-        first = self.word_at[lo:hi] - self.start[item]
-        last = np.append(first[1:], self.start[item + 1] - self.start[item])
-        size = last - first
-        missing = np.maximum(0, a - first) + np.maximum(0, last - b)
-        return int((missing <= np.minimum(4, size // 3)).sum())
+        begin = self.start[item] + item
+        return max(0, int(self.not_before[begin + a] + self.not_after[begin + b] - self.n_words[item]))
 
 
 def shared_openings(texts: list[str], rules: LeakRules) -> set[str]:
@@ -167,7 +184,7 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, rules: LeakRules):
-    """Pairs of document and item with enough different seeds, or enough of all n-grams of some words, wherever they stand."""
+    """Pairs of document and item with enough seeds, or enough of all n-grams, of some run of words, wherever they stand in the document."""
     place = np.flatnonzero(items.seed >= 0)
     order = np.argsort(items.seed[place], kind="stable")
     sorted_seed, place = items.seed[place][order], place[order]
@@ -178,18 +195,15 @@ def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, r
     hi = np.searchsorted(sorted_seed, known.values, side="right")
     row, k = _expand(hi[j] - lo[j])
     where = place[lo[j[row]] + k]
-    # Different seeds of a pair, as a gram may stand at several places of an item.
-    picked = np.isin(known.values, seeds)[j[row]]
-    pair = _distinct((doc[row] * n_items + items.owner[where])[picked] * n_grams + j[row][picked]) // n_grams
-    pair, n = np.unique(pair, return_counts=True)
-    # N-grams of the words that follow each place, found and in all.
+    # N-grams found in the run of words at each place that was found: all of them, and the seeds among them.
     key = np.sort(doc[row] * n_letters + where)
+    seed = np.sort((doc[row] * n_letters + where)[np.isin(known.values, seeds)[j[row]]])
     at = key % n_letters
-    last = np.maximum(at + 1, items.reach(rules.min_words)[at] - SEED + 1)
-    found = np.searchsorted(key, key - at + last) - np.arange(len(key))
-    crowd = found >= rules.gram_share * (last - at)
-    crowd &= found >= rules.min_seeds  # the item's end may leave few
-    pair = np.union1d(pair[n >= rules.min_seeds], (key // n_letters * n_items + items.owner[at])[crowd])
+    first, end = items.window(rules.min_words)
+    last = np.maximum(end[at] - SEED + 1, first[at] + 1)
+    inside = lambda keys: np.searchsorted(keys, key - at + last) - np.searchsorted(keys, key - at + first[at])
+    good = (inside(key) >= rules.gram_share * (last - first[at])) | (inside(seed) >= rules.min_seeds)
+    pair = _distinct((key // n_letters * n_items + items.owner[at])[good])
     return pair // n_items, pair % n_items
 
 
