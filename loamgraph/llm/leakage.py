@@ -29,6 +29,8 @@ BLOCK_ITEMS = 5_000
 BLOCK_LETTERS = 2_000_000
 #: Letters of documents that are aligned at a time, each counted once a pair (about 150 bytes of memory a letter).
 PAIR_LETTERS = 1_000_000
+#: Lines that are compared at a time to find those that bridge others (about 2 KB each).
+BRIDGE_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,9 @@ class LeakRules:
     block: int = 60  # letters of an item of which ...
     per_block: int = 12  # ... the rarest so many seeds are kept, however frequent
     min_seeds: int = 15  # seeds among the n-grams of min_words words of an item that join a document to it
-    gram_share: float = 0.35  # ... or this share of those n-grams, rare or not
+    gram_share: float = 0.45  # ... or this share of those n-grams, rare or not ...
+    mixed_share: float = 0.35  # ... or this share ...
+    seed_share: float = 0.2  # ... with this share of the seeds among them
     line_grams: int = 4  # fine grams on one diagonal for which a line is aligned
     pair_grams: int = 30  # ... and all lines of a pair together, or it is dropped
     band: int = 4
@@ -83,12 +87,6 @@ class Items:
         edge = np.append(self.word_at, len(self.code))
         return edge[first], edge[first + n_words]
 
-    def least_letters(self, item: int, n_words: int) -> int:
-        """Letters without which ``words_in`` can not count so many words."""
-        lo, hi = np.searchsorted(self.word_at, [self.start[item], self.start[item + 1]])
-        edge = np.append(self.word_at[lo:hi], self.start[item + 1])
-        return int((edge[n_words:] - edge[:-n_words]).min()) - 8 if len(edge) > n_words else 1 << 30
-
     def _count_words(self) -> None:
         """For each place of each item, the words that begin at or after it and end at or before it, up to a few letters."""
         n = len(self.code)
@@ -112,6 +110,11 @@ class Items:
         begin = self.start[item] + item
         return max(0, int(self.not_before[begin + a] + self.not_after[begin + b] - self.n_words[item]))
 
+    def words_between(self, item: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``words_in`` of several stretches of one item."""
+        begin = self.start[item] + item
+        return self.not_before[begin + a] + self.not_after[begin + b] - self.n_words[item]
+
 
 def shared_openings(texts: list[str], rules: LeakRules) -> set[str]:
     """Opening sentences, and what follows them, that several items have in common."""
@@ -202,7 +205,11 @@ def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, r
     first, end = items.window(rules.min_words)
     last = np.maximum(end[at] - SEED + 1, first[at] + 1)
     inside = lambda keys: np.searchsorted(keys, key - at + last) - np.searchsorted(keys, key - at + first[at])
-    good = (inside(key) >= rules.gram_share * (last - first[at])) | (inside(seed) >= rules.min_seeds)
+    seed_at = np.sort(place[np.isin(sorted_seed, seeds)])
+    seeds_there = np.searchsorted(seed_at, last) - np.searchsorted(seed_at, first[at])
+    n_seeds = inside(seed)
+    share = inside(key) / (last - first[at])
+    good = (share >= rules.gram_share) | (share >= rules.mixed_share) & (n_seeds >= rules.seed_share * seeds_there) | (n_seeds >= rules.min_seeds)
     pair = _distinct((key // n_letters * n_items + items.owner[at])[good])
     return pair // n_items, pair % n_items
 
@@ -250,18 +257,21 @@ def _diagonals(code, owner, line, items: Items, doc_of, item_of, rules: LeakRule
     # Shifts lie between minus the letters of a piece and the letters of an item.
     stride = int(np.diff(items.start).max()) + 2 * rules.piece + 2
     group = row[hit].astype(np.int64) * stride + shift + rules.piece
-    values, counts = np.unique(group, return_counts=True)
+    group = np.sort(group)
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    values, counts = group[begins], np.diff(np.append(begins, len(group)))
     of = values // stride
     # Shifts next to each other are one diagonal with a letter more or less.
     near = counts.copy()
-    for step in (1, -1):
-        other = np.searchsorted(values, values + step)
-        other = np.minimum(other, len(values) - 1) if len(values) else other
-        near += np.where(values[other] == values + step, counts[other], 0) if len(values) else 0
+    beside = values[1:] == values[:-1] + 1
+    near[:-1] += np.where(beside, counts[1:], 0)
+    near[1:] += np.where(beside, counts[:-1], 0)
     order = np.lexsort((-counts, -near, of))
     of, shift_sorted, near = of[order], values[order] % stride - rules.piece, near[order]
-    rank = np.arange(len(of)) - np.searchsorted(of, of, side="left")
-    best = shift_sorted[np.searchsorted(of, of, side="left")]
+    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    head = np.repeat(heads, np.diff(np.append(heads, len(of))))
+    rank = np.arange(len(of)) - head
+    best = shift_sorted[head]
     other = (rank > 0) & (np.abs(shift_sorted - best) > rules.band)
     # Of the diagonals away from the best one, the first.
     first_other = np.zeros(len(of), bool)
@@ -279,43 +289,46 @@ def _diagonals(code, owner, line, items: Items, doc_of, item_of, rules: LeakRule
 def _align(code, items: Items, t: Tasks, rules: LeakRules) -> dict:
     """Banded Smith-Waterman of all tasks at once: score and both intervals of each best local alignment.
 
-    Score and place of origin are packed in one number, so the greatest carries
-    its origin along.
+    Score and place of origin (row and place in the band) are packed in one number,
+    so the greatest carries its origin along.
     """
     n, width = len(t.cand), 2 * rules.band + 1
-    best = np.zeros(n, np.int64)
+    bits = (rules.piece - 1).bit_length()
+    unit = np.int32(1 << (bits + width.bit_length()))
+    loss = np.int32(rules.mismatch) * unit
+    best = np.zeros(n, np.int32)
     end_i, end_j = np.zeros(n, np.int64), np.zeros(n, np.int64)
     rows = int(t.size.max()) if n else 0
-    unit = 1 << 40
-    h = np.zeros((n, width), np.int64)
+    h = np.zeros((n, width), np.int32)
     band = np.arange(width) - rules.band
+    first = (t.item_begin + t.shift)[:, None] + band[None, :]  # letter of the item against each document letter 0
+    low, high = t.item_begin[:, None], t.item_end[:, None]
+    live = np.arange(n)
     for i in range(rows):
-        live = np.flatnonzero(t.size > i)
+        live = live[t.size[live] > i]
         if not len(live):
             break
-        j = t.shift[live, None] + i + band[None, :]
-        ok = (j >= 0) & (j < (t.item_end - t.item_begin)[live, None])
-        letter = items.code[np.clip(t.item_begin[live, None] + j, 0, len(items.code) - 1)]
-        same = ok & (letter == code[t.begin[live] + i][:, None])
-        origin = (i << 32) | np.maximum(j, 0)
+        at = first[live] + i
+        ok = (at >= low[live]) & (at < high[live])
+        same = ok & (items.code[np.clip(at, 0, len(items.code) - 1)] == code[t.begin[live] + i][:, None])
+        origin = ((i << width.bit_length()) | np.arange(width)).astype(np.int32)
         prev = h[live]
-        cur = np.maximum(prev, origin)
-        cur = np.where(same, cur + unit, np.where(prev >= rules.mismatch * unit, prev - rules.mismatch * unit, 0))
-        up = np.zeros_like(prev)
-        up[:, :-1] = prev[:, 1:]  # a letter of the document that the item lacks
-        cur = np.maximum(cur, np.where(up >= rules.mismatch * unit, up - rules.mismatch * unit, 0))
-        for _ in range(2):  # letters of the item that the document lacks
-            left = np.zeros_like(cur)
-            left[:, 1:] = cur[:, :-1]
-            cur = np.maximum(cur, np.where(left >= rules.mismatch * unit, left - rules.mismatch * unit, 0))
+        cur = np.where(same, np.maximum(prev, origin) + unit, np.where(prev >= loss, prev - loss, 0))
+        # A letter of the document that the item lacks, then letters of the item that the document lacks.
+        np.maximum(cur[:, :-1], np.where(prev[:, 1:] >= loss, prev[:, 1:] - loss, 0), out=cur[:, :-1])
+        for _ in range(2):
+            left = np.where(cur[:, :-1] >= loss, cur[:, :-1] - loss, 0)
+            cur[:, 1:] = np.maximum(cur[:, 1:], left)
         cur = np.where(ok & (cur >= unit), cur, 0)
         h[live] = cur
         top = cur.argmax(axis=1)
         value = cur[np.arange(len(live)), top]
-        better = (value >> 40) > (best[live] >> 40)
+        better = value // unit > best[live] // unit
         w = live[better]
-        best[w], end_i[w], end_j[w] = value[better], i + 1, j[better, top[better]] + 1
-    return {"cand": t.cand, "piece": t.piece, "line": t.line, "score": best >> 40, "i0": (best >> 32) & 255, "i1": end_i, "j0": best & 0xFFFFFFFF, "j1": end_j, "size": t.size, "pieces": t.pieces}
+        best[w], end_i[w], end_j[w] = value[better], i + 1, (t.shift[live] + i)[better] + band[top[better]] + 1
+    begin_i = ((best % unit) >> width.bit_length()).astype(np.int64)
+    begin_j = t.shift + begin_i + (best & ((1 << width.bit_length()) - 1)) - rules.band
+    return {"cand": t.cand, "piece": t.piece, "line": t.line, "score": (best // unit).astype(np.int64), "i0": begin_i, "i1": end_i, "j0": begin_j, "j1": end_j, "size": t.size, "pieces": t.pieces}
 
 
 def _chains(code, line, items: Items, item_of, s: dict, rules: LeakRules):
@@ -328,63 +341,88 @@ def _chains(code, line, items: Items, item_of, s: dict, rules: LeakRules):
     if not len(cand):
         return
     p = s["pieces"]
-    col = {k: s[k][order].tolist() for k in ("piece", "line", "i0", "i1", "j0", "j1", "size")}
+    col = {k: s[k][order] for k in ("piece", "line", "i0", "i1", "j0", "j1", "size")}
     bounds = np.flatnonzero(np.concatenate([[True], cand[1:] != cand[:-1]]))
+    pairs = []
     for a, b in zip(bounds, np.append(bounds[1:], len(cand))):
         item = int(item_of[cand[a]])
-        piece, ln, i0, i1, j0, j1, size = (col[k][a:b] for k in ("piece", "line", "i0", "i1", "j0", "j1", "size"))
-        links = _links(code, items, item, p, *(np.array(v) for v in (piece, ln, i0, i1, j0, j1, size)), rules)
-        best, tried = 0, set()
-        for upwards, nearest in ((False, False), (False, True), (True, True), (True, False)):
-            if best >= rules.min_words:
-                break
-            start, link = _join(links, j0, upwards, nearest)
-            for y in sorted(range(len(piece)), key=lambda y: start[y] - j1[y]):
-                if items.words_in(item, start[y], j1[y]) < max(rules.min_words, best + 1):
-                    break
-                chain = _members(y, link, piece)
-                if tuple(chain) not in tried:
-                    tried.add(tuple(chain))
-                    best = max(best, _verified(code, items, item, p, chain, i0, i1, start[y], j1[y], rules))
+        pairs.append((int(cand[a]), item, {k: v[a:b] for k, v in col.items()}, *_links(items, item, {k: v[a:b] for k, v in col.items()}, rules)))
+    # Lines to bridge are sought for all pairs at once.
+    bridges = _bridged(code, items, p, *(np.concatenate([m[k] for _, _, _, _, m in pairs]) for k in ("item", "x", "y", "a", "b")))
+    at = 0
+    for pair, item, segments, joined, maybe in pairs:
+        via = bridges[at : at + len(maybe["x"])]
+        at += len(via)
+        best = _longest(code, items, item, p, segments, joined, maybe, via, rules)
         if best >= rules.min_words:
-            yield int(cand[a]), best
+            yield pair, best
 
 
-def _links(code, items: Items, item: int, p: dict, piece, ln, i0, i1, j0, j1, size, rules: LeakRules) -> list[tuple[int, int, int, int]]:
-    """(from, to, bridged line or -1, lines between) of segments that continue each other, in order of the item.
+def _longest(code, items: Items, item: int, p: dict, segments: dict, joined: list, maybe: dict, via: np.ndarray, rules: LeakRules) -> int:
+    """Words of the longest chain of a pair's segments, or of the first found that is long enough."""
+    piece, i0, i1, j0, j1 = (segments[k].tolist() for k in ("piece", "i0", "i1", "j0", "j1"))
+    links = _passable(items, item, j0, j1, joined, maybe, via.tolist(), rules)
+    best, tried = 0, set()
+    for upwards, nearest in ((False, False), (False, True), (True, True), (True, False)):
+        if best >= rules.min_words:
+            break
+        start, link = _join(links, j0, upwards, nearest)
+        for y in sorted(range(len(piece)), key=lambda y: start[y] - j1[y]):
+            if items.words_in(item, start[y], j1[y]) < max(rules.min_words, best + 1):
+                break
+            chain = _members(y, link, piece)
+            if tuple(chain) not in tried:
+                tried.add(tuple(chain))
+                best = max(best, _verified(code, items, item, p, chain, i0, i1, start[y], j1[y], rules))
+    return best
+
 
-    Lines above, where a column begins anew, have negative distances, however far they are.
+def _links(items: Items, item: int, s: dict, rules: LeakRules) -> tuple[list[tuple[int, int, int]], dict]:
+    """(from, to, lines between) of segments that continue each other, in order of the item; and those that may over a bridged line.
+
+    Lines above, where a column begins anew, have negative distances, however far
+    they are. A line is bridged only where a chain could have enough words if every
+    link held.
     """
-    tail = size - i1
+    piece, ln, i0, i1, j0, j1 = (s[k] for k in ("piece", "line", "i0", "i1", "j0", "j1"))
+    tail = s["size"] - i1
     gap, cut = j0[None, :] - j1[:, None], tail[:, None] + i0[None, :]
     lines, pieces = ln[None, :] - ln[:, None], piece[None, :] - piece[:, None]
     down = (lines > 0) | ((lines == 0) & (pieces > 0))
-    up = lines < 0
     rising = j0[:, None] < j0[None, :]
-    joined = rising & (down | up) & (cut <= 10) & (np.abs(gap - cut) <= 3) & (gap >= -3)
+    joined = rising & (down | (lines < 0)) & (cut <= 10) & (np.abs(gap - cut) <= 3) & (gap >= -3)
     maybe = rising & down & ~joined & (tail[:, None] <= 5) & (i0[None, :] <= 5) & (gap > 0) & (gap <= 2 * rules.piece) & (pieces > 1)
-    out = [(int(x), int(y), -1, int(lines[x, y])) for x, y in np.argwhere(joined)]
-    if maybe.any():
-        out += _bridges(code, items, item, p, out, np.argwhere(maybe).tolist(), piece.tolist(), lines, (j1 + tail).tolist(), (j0 - i0).tolist(), j0.tolist(), j1.tolist(), rules)
-    return sorted(out, key=lambda v: (v[1], v[0]))
-
-
-def _bridges(code, items: Items, item: int, p: dict, joined: list, maybe: list, piece: list, lines, after: list, before: list, j0: list, j1: list, rules: LeakRules) -> list[tuple[int, int, int, int]]:
-    """The links over a bridged line, sought only where a chain could have enough words if every later link held."""
-    links = [(j0[x], x, y, False) for x, y, _, _ in joined] + [(j0[x], x, y, True) for x, y in maybe]
-    start, end, out, enough, least = list(j0), list(j1), [], {}, items.least_letters(item, rules.min_words)
-    for _, x, y, _ in sorted(links, reverse=True):
+    sure = np.argwhere(joined)
+    out = list(zip(sure[:, 0].tolist(), sure[:, 1].tolist(), lines[joined].tolist()))
+    open_ = np.argwhere(maybe)
+    if len(open_):
+        start, end = j0.tolist(), j1.tolist()
+        both = np.concatenate([sure, open_])
+        both = both[np.lexsort((both[:, 1], both[:, 0], j0[both[:, 0]]))].tolist()
+        for x, y in reversed(both):
+            end[x] = max(end[x], end[y])
+        for x, y in both:
+            start[y] = min(start[y], start[x])
+        first, last = np.array(start)[open_[:, 0]], np.array(end)[open_[:, 1]]
+        open_ = open_[items.words_between(item, first, last) >= rules.min_words]
+    x, y = open_[:, 0], open_[:, 1]
+    return out, {"item": np.full(len(x), item), "x": piece[x], "y": piece[y], "a": j1[x] + tail[x], "b": j0[y] - i0[y], "from": x, "to": y, "lines": lines[x, y]}
+
+
+def _passable(items: Items, item: int, j0: list, j1: list, joined: list, maybe: dict, via: list, rules: LeakRules) -> list[tuple[int, int, int, int]]:
+    """(from, to, bridged line or -1, lines between), by where they lead: joined segments, and those that a line bridges in a chain that can have enough words."""
+    over = list(zip(maybe["from"].tolist(), maybe["to"].tolist(), via, maybe["lines"].tolist()))
+    links = [(j0[x], x, y, False, -1, n) for x, y, n in joined] + [(j0[x], x, y, True, v, n) for x, y, v, n in over if v >= 0]
+    every = [(j0[x], x, y) for x, y, _ in joined] + [(j0[x], x, y) for x, y, _, _ in over]
+    start, end, out = list(j0), list(j1), []
+    for _, x, y in sorted(every, reverse=True):
         end[x] = max(end[x], end[y])
-    for _, x, y, open_ in sorted(links):  # all links to x come before those from it
-        if open_:
-            if (v := (start[x], end[y])) not in enough:
-                enough[v] = v[1] - v[0] >= least and items.words_in(item, *v) >= rules.min_words
-            via = _bridged(code, items, item, p, piece[x], piece[y], after[x], before[y]) if enough[v] else -1
-            if via < 0:
-                continue
-            out.append((x, y, via, int(lines[x, y])))
+    for _, x, y, bridged, v, n in sorted(links):  # all links to x come before those from it
+        if bridged and items.words_in(item, start[x], end[y]) < rules.min_words:
+            continue
+        out.append((x, y, v, n))
         start[y] = min(start[y], start[x])
-    return out
+    return sorted(out, key=lambda v: (v[1], v[0]))
 
 
 def _join(links, j0, upwards: bool, nearest: bool) -> tuple[list[int], list]:
@@ -469,41 +507,60 @@ def _letter_errors(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
     return wrong
 
 
-def _bridged(code, items: Items, item: int, p: dict, x: int, y: int, a: int, b: int) -> int:
-    """The line between two others that holds just the letters of the item between theirs, or -1."""
+def _bridged(code, items: Items, p: dict, item: np.ndarray, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each two lines x and y the first line between them that holds just the item's letters a..b, or -1."""
+    out = np.full(len(x), -1, np.int64)
     want = b - a
-    if want <= 0:
-        return -1
-    text = items.code[items.start[item] + a : items.start[item] + b]
-    z = x + 1 + np.flatnonzero(np.abs(p["size"][x + 1 : y] - want) <= max(2, want // 6))
-    if not len(z):
-        return -1
-    size, k = p["size"][z][:, None], np.arange(want)
-    first = p["begin"][z][:, None]
-    n, inside = np.minimum(size, want), k < size
+    row, k = _expand(np.where(want > 0, np.maximum(0, y - x - 1), 0))
+    z = x[row] + 1 + k
+    near = np.abs(p["size"][z] - want[row]) <= np.maximum(2, want[row] // 6)
+    row, z = row[near], z[near]
     # Letters that agree from the front, and from the back.
-    ahead = (inside & (code[np.minimum(first + k, len(code) - 1)] == text)).sum(axis=1)
-    behind = (inside & (code[np.maximum(first + size - 1 - k, 0)] == text[::-1])).sum(axis=1)
-    for i in np.flatnonzero(np.maximum(ahead, behind) >= 0.25 * n[:, 0]):
-        most = max(2, int(0.34 * want))
-        if _edits(code[p["begin"][z[i]] :][: p["size"][z[i]]], text, most) <= most:
-            return int(z[i])
-    return -1
-
-
-def _edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two texts; once it must exceed ``most``, any greater number."""
-    row = np.arange(len(b) + 1)
-    offset = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - offset) + offset
-        if row.min() > most:
+    keep = []
+    for lo in range(0, len(row), BRIDGE_ROWS):
+        r, line = row[lo : lo + BRIDGE_ROWS], z[lo : lo + BRIDGE_ROWS]
+        size, n, text = p["size"][line][:, None], want[r][:, None], (items.start[item[r]] + a[r])[:, None]
+        at = np.arange(int(n.max()))
+        first, both = p["begin"][line][:, None], at < np.minimum(size, n)
+        letter = lambda where: code[np.clip(where, 0, len(code) - 1)]
+        wanted = lambda where: items.code[np.clip(where, 0, len(items.code) - 1)]
+        ahead = (both & (letter(first + at) == wanted(text + at))).sum(axis=1)
+        behind = (both & (letter(first + size - 1 - at) == wanted(text + n - 1 - at))).sum(axis=1)
+        keep.append(np.maximum(ahead, behind) >= 0.25 * np.minimum(size, n)[:, 0])
+    if keep:
+        kept = np.concatenate(keep)
+        row, z = row[kept], z[kept]
+        most = np.maximum(2, (0.34 * want[row]).astype(np.int64))
+        good = np.concatenate([_edits(code, p["begin"][z[c]], p["size"][z[c]], items.code, (items.start[item[row]] + a[row])[c], want[row[c]], most[c]) <= most[c] for c in (slice(i, i + BRIDGE_ROWS) for i in range(0, len(row), BRIDGE_ROWS))] or [np.zeros(0, bool)])
+        row, z = row[good][::-1], z[good][::-1]
+        out[row] = z  # the first of each, as it is written last
+    return out
+
+
+def _edits(one, begin, size, two, start, length, most) -> np.ndarray:
+    """Edit distances of stretches of two letter streams, pair by pair; once one must exceed ``most``, any greater number."""
+    n, width = len(begin), int(length.max())
+    offset = np.arange(width + 1, dtype=np.int32)
+    text = two[np.clip(start[:, None] + offset[None, :-1], 0, len(two) - 1)]
+    row = np.repeat(offset[None], n, axis=0)
+    out = np.where(size == 0, length, 1 << 30).astype(np.int32)
+    live = np.arange(n)
+    for i in range(int(size.max())):
+        live = live[size[live] > i]
+        if not len(live):
             break
-    else:
-        return int(row[-1])
-    return most + 1
+        prev, letter = row[live], one[begin[live] + i]
+        cur = np.empty_like(prev)
+        cur[:, 0] = i + 1
+        np.minimum(prev[:, 1:] + 1, prev[:, :-1] + (text[live] != letter[:, None]), out=cur[:, 1:])
+        cur = np.minimum.accumulate(cur - offset, axis=1) + offset
+        row[live] = cur
+        ends = live[size[live] == i + 1]
+        out[ends] = row[ends, length[ends]]
+        # Beyond the text's end a row may still be low, so only its own places count.
+        alive = np.where(offset[None] <= length[live, None], cur, 1 << 29).min(axis=1) <= most[live]
+        live = live[alive]
+    return out
 
 
 def _texts(column: pa.Array) -> list[str]:
