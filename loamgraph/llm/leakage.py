@@ -29,6 +29,8 @@ BLOCK_ITEMS = 5_000
 BLOCK_LETTERS = 2_000_000
 #: Letters of documents that are aligned at a time, each counted once a pair (about 150 bytes of memory a letter).
 PAIR_LETTERS = 1_000_000
+#: Numbers up to which pairs of documents and items are tallied in one array (8 bytes each); beyond, they are only sorted.
+MAX_TALLY = 20_000_000
 #: Lines that are compared at a time to find those that bridge others (about 2 KB each).
 BRIDGE_ROWS = 20_000
 
@@ -198,11 +200,18 @@ def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, r
     hi = np.searchsorted(sorted_seed, known.values, side="right")
     row, k = _expand(hi[j] - lo[j])
     where = place[lo[j[row]] + k]
+    # Pairs with fewer places found than any rule asks for are left out before the places are sorted.
+    first, end = items.window(rules.min_words)
+    need = min(rules.min_seeds, rules.mixed_share * np.maximum(end - SEED + 1 - first, 1).min())
+    pair = doc[row] * n_items + items.owner[where]
+    if len(pair) and int(pair.max()) < MAX_TALLY:
+        some = np.flatnonzero(np.bincount(pair)[pair] >= need)
+        row, where = row[some], where[some]
     # N-grams found in the run of words at each place that was found: all of them, and the seeds among them.
-    key = np.sort(doc[row] * n_letters + where)
-    seed = np.sort((doc[row] * n_letters + where)[np.isin(known.values, seeds)[j[row]]])
+    key = doc[row] * n_letters + where
+    seed = np.sort(key[np.isin(known.values, seeds)[j[row]]])
+    key = np.sort(key)
     at = key % n_letters
-    first, end = items.window(rules.min_words)
     last = np.maximum(end[at] - SEED + 1, first[at] + 1)
     inside = lambda keys: np.searchsorted(keys, key - at + last) - np.searchsorted(keys, key - at + first[at])
     seed_at = np.sort(place[np.isin(sorted_seed, seeds)])
