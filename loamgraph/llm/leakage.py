@@ -43,10 +43,11 @@ class LeakRules:
     rare_least: int = 3  # ... or as few documents as this
     block: int = 60  # letters of an item of which ...
     per_block: int = 12  # ... the rarest so many seeds are kept, however frequent
-    min_seeds: int = 15  # seeds among the n-grams of min_words words of an item that join a document to it
-    gram_share: float = 0.45  # ... or this share of those n-grams, rare or not ...
-    mixed_share: float = 0.35  # ... or this share ...
-    seed_share: float = 0.2  # ... with this share of the seeds among them
+    # A document is joined to an item by a run of min_words of its words ...
+    gram_share: float = 0.5  # of whose n-grams it has this share, rare or not
+    mixed_share: float = 0.35  # ... or this share,
+    min_seeds: int = 15  # or as many seeds,
+    seed_share: float = 0.3  # and in either case this share of the seeds there
     line_grams: int = 4  # fine grams on one diagonal for which a line is aligned
     pair_grams: int = 30  # ... and all lines of a pair together, or it is dropped
     band: int = 4
@@ -218,7 +219,7 @@ def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, r
     seeds_there = np.searchsorted(seed_at, last) - np.searchsorted(seed_at, first[at])
     n_seeds = inside(seed)
     share = inside(key) / (last - first[at])
-    good = (share >= rules.gram_share) | (share >= rules.mixed_share) & (n_seeds >= rules.seed_share * seeds_there) | (n_seeds >= rules.min_seeds)
+    good = (share >= rules.gram_share) | ((share >= rules.mixed_share) | (n_seeds >= rules.min_seeds)) & (n_seeds >= rules.seed_share * seeds_there)
     pair = _distinct((key // n_letters * n_items + items.owner[at])[good])
     return pair // n_items, pair % n_items
 
