@@ -32,9 +32,8 @@ def resolve_references(refs: DataFrame, ref_cols: list[str], keys: DataFrame, ke
     non-null columns leaves; the others take their facts from the keys they meet.
     Nulls follow ``match``; repeated keys are one key; repeated reference rows are
     kept; empty tables give no matches or no rows. Columns of ``keys`` never reach
-    the output except through ``facts``, so names may clash. A mask that no row has
-    costs empty joins, as masks come from the number of columns and not from the
-    data; ``refs`` and ``keys`` are read once a mask, so give tables.
+    the output except through ``facts``, so names may clash. Only masks that some
+    row has are joined; ``refs`` and ``keys`` are read once a mask, so give tables.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}, not {match!r}")
@@ -44,8 +43,9 @@ def resolve_references(refs: DataFrame, ref_cols: list[str], keys: DataFrame, ke
     n, everything = len(ref_cols), (1 << len(ref_cols)) - 1
     mask = reduce(lambda a, b: a + b, [F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(ref_cols)])
     marked = refs.withColumn("__mask", mask)
+    present = {r[0] for r in marked.select("__mask").distinct().collect()}  # at most 2 ** n
     parts, types = [], None
-    for m in range(1 << n):
+    for m in sorted(present | {0}):
         rows = marked.where(F.col("__mask") == m).drop("__mask")
         use = [i for i in range(n) if not m >> i & 1]
         if m == everything or (m and match == "simple"):
