@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamgraph.runtime import materialize
+
 SELECTOR_OPERATORS = ("$eq", "$in", "$nin", "$exists", "$gte", "$gt", "$lt", "$lte", "$or", "$and")
 STAGES = ("$match", "$unwind", "$group", "$sort", "$limit", "$facet", "$project")
 ACCUMULATORS = ("$sum", "$avg", "$min", "$max", "$addToSet", "$push", "$top")
@@ -162,7 +164,9 @@ def aggregate(df: DataFrame, pipeline: list[dict]):
         elif op == "$facet":
             if i + 1 != len(pipeline):
                 raise UnsupportedOperator("$facet must be the last stage")
-            return {name: aggregate(df, p) for name, p in arg.items()}
+            # Every facet reads what the stages before gave, so that is written once if there were any.
+            shared = materialize(df) if i and len(arg) > 1 else df
+            return {name: aggregate(shared, p) for name, p in arg.items()}
         else:
             raise UnsupportedOperator(op)
     return df
@@ -190,6 +194,26 @@ def _value(df: DataFrame, expr):
     return F.lit(expr)
 
 
+def _top(df: DataFrame, sort: list[tuple[str, int]], output: Column) -> Column:
+    """The output of the first row by several fields; nulls come first in ascending order and last in descending.
+
+    Fields that go against the direction of the first are turned by their sign, so they must be numbers or times.
+    """
+    if len(sort) == 1:
+        return (F.max_by if sort[0][1] < 0 else F.min_by)(output, column_of(df, sort[0][0])[0])
+    keys = []
+    for field, direction in sort:
+        col, kind = column_of(df, field)
+        if direction != sort[0][1]:
+            if not isinstance(kind, (T.NumericType, T.TimestampType, T.DateType)):
+                raise UnsupportedOperator(f"$top can not sort {field} against the direction of the first field")
+            col = F.negative(col if isinstance(kind, T.NumericType) else F.unix_micros(col.cast("timestamp")))
+            keys += [col.isNull(), col]
+        else:
+            keys += [col.isNotNull(), col]
+    return (F.max_by if sort[0][1] < 0 else F.min_by)(output, F.struct(*keys))
+
+
 def group(df: DataFrame, spec: dict) -> DataFrame:
     """``_id`` null groups all rows; an object groups by its fields; a missing key is the null group."""
     key, aggs = spec["_id"], []
@@ -212,10 +236,7 @@ def group(df: DataFrame, spec: dict) -> DataFrame:
         elif op == "$push":
             a = F.collect_list(_value(df, arg))
         elif op == "$top":
-            (field, direction), *rest = arg["sortBy"].items()
-            if rest:
-                raise UnsupportedOperator("$top sorts by one field")
-            a = (F.max_by if direction < 0 else F.min_by)(_value(df, arg["output"]), column_of(df, field)[0])
+            a = _top(df, list(arg["sortBy"].items()), _value(df, arg["output"]))
         else:
             raise UnsupportedOperator(op)
         aggs.append(a.alias(name))

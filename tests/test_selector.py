@@ -51,3 +51,14 @@ def test_pipelines(docs):
     for bad in ([{"$lookup": {}}], [{"$group": {"_id": 1, "n": {"$first": "$x"}}}], [{"$facet": {}}, {"$limit": 1}], [{"$match": {}, "$limit": 1}]):
         with pytest.raises(UnsupportedOperator):
             aggregate(docs, bad)
+
+
+def test_top_by_several_fields_and_facets(spark):
+    df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 7, "y"), ("a", 2, 1, "z"), ("a", 2, 3, "w"), ("b", None, 1, "n"), ("b", 4, None, "m")], "g string, p int, q int, v string")
+    top = lambda sort: {r["_id"]: r["t"] for r in aggregate(df, [{"$group": {"_id": "$g", "t": {"$top": {"sortBy": sort, "output": "$v"}}}}]).collect()}
+    assert top({"p": -1, "q": -1}) == {"a": "w", "b": "m"} and top({"p": -1, "q": 1}) == {"a": "z", "b": "m"}
+    assert top({"p": 1, "q": -1}) == {"a": "y", "b": "n"} and top({"p": 1, "q": 1}) == {"a": "x", "b": "n"}
+    with pytest.raises(UnsupportedOperator):
+        top({"p": 1, "v": -1})
+    out = aggregate(df, [{"$match": {"p": {"$gte": 1}}}, {"$facet": {"n": [{"$group": {"_id": None, "n": {"$sum": 1}}}], "g": [{"$group": {"_id": "$g", "n": {"$sum": 1}}}]}}])
+    assert out["n"].first()["n"] == 5 and {r["_id"]: r["n"] for r in out["g"].collect()} == {"a": 4, "b": 1}
