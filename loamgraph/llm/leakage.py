@@ -156,7 +156,7 @@ def pick_seeds(items: Items, values: np.ndarray, df: np.ndarray, n_docs: int, ru
     return np.unique(items.seed[at[rare]])
 
 
-def find_leaks(doc_ids: np.ndarray, texts: list[str], items: Items, known: GramSet, seeds: np.ndarray, rules: LeakRules) -> list[tuple[int, int, int]]:
+def find_leaks(doc_ids: np.ndarray, texts: list[str], items: Items, known: GramSet, places: Places, rules: LeakRules) -> list[tuple[int, int, int]]:
     """(doc_id, item_id, words): the longest run of each pair that is long enough; ``known`` are all n-grams of the items."""
     if not len(texts) or not len(items.ids):
         return []
@@ -165,7 +165,7 @@ def find_leaks(doc_ids: np.ndarray, texts: list[str], items: Items, known: GramS
     at, j = known.hits(g)
     if not len(at):
         return []
-    docs, its = _candidates(at, j, owner, items, known, seeds, rules)
+    docs, its = _candidates(at, j, owner, items, known, places, rules)
     out = []
     # So many pairs at a time that their lines have about PAIR_LETTERS letters.
     run = np.cumsum(np.bincount(owner, minlength=len(texts))[docs]) // PAIR_LETTERS
@@ -189,37 +189,44 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
-def _candidates(at, j, owner, items: Items, known: GramSet, seeds: np.ndarray, rules: LeakRules):
+class Places:
+    """Where the items' n-grams stand, and what is asked of the run of words at each place; made once for all documents."""
+
+    def __init__(self, items: Items, known: GramSet, seeds: np.ndarray, rules: LeakRules):
+        place = np.flatnonzero(items.seed >= 0)
+        order = np.argsort(items.seed[place], kind="stable")
+        gram, self.place = items.seed[place][order], place[order]
+        self.lo, self.hi = np.searchsorted(gram, known.values), np.searchsorted(gram, known.values, side="right")
+        self.is_seed = np.isin(known.values, seeds)
+        self.first, end = items.window(rules.min_words)
+        self.last = np.maximum(end - SEED + 1, self.first + 1)
+        seed_at = np.sort(self.place[np.isin(gram, seeds)])
+        self.seeds_there = np.searchsorted(seed_at, self.last) - np.searchsorted(seed_at, self.first)
+        # Fewer places than this satisfy no rule.
+        self.need = min(rules.min_seeds, rules.mixed_share * (self.last - self.first).min(initial=1 << 30))
+
+
+def _candidates(at, j, owner, items: Items, known: GramSet, places: Places, rules: LeakRules):
     """Pairs of document and item with enough seeds, or enough of all n-grams, of some run of words, wherever they stand in the document."""
-    place = np.flatnonzero(items.seed >= 0)
-    order = np.argsort(items.seed[place], kind="stable")
-    sorted_seed, place = items.seed[place][order], place[order]
     n_items, n_grams, n_letters = len(items.ids), len(known.values), len(items.code)
     once = _distinct(owner[at].astype(np.int64) * n_grams + j)
     doc, j = once // n_grams, once % n_grams
-    lo = np.searchsorted(sorted_seed, known.values)
-    hi = np.searchsorted(sorted_seed, known.values, side="right")
-    row, k = _expand(hi[j] - lo[j])
-    where = place[lo[j[row]] + k]
-    # Pairs with fewer places found than any rule asks for are left out before the places are sorted.
-    first, end = items.window(rules.min_words)
-    need = min(rules.min_seeds, rules.mixed_share * np.maximum(end - SEED + 1 - first, 1).min())
+    row, k = _expand(places.hi[j] - places.lo[j])
+    where = places.place[places.lo[j[row]] + k]
+    # Pairs with too few places are left out before the places are sorted.
     pair = doc[row] * n_items + items.owner[where]
     if len(pair) and int(pair.max()) < MAX_TALLY:
-        some = np.flatnonzero(np.bincount(pair)[pair] >= need)
+        some = np.flatnonzero(np.bincount(pair)[pair] >= places.need)
         row, where = row[some], where[some]
     # N-grams found in the run of words at each place that was found: all of them, and the seeds among them.
     key = doc[row] * n_letters + where
-    seed = np.sort(key[np.isin(known.values, seeds)[j[row]]])
+    seed = np.sort(key[places.is_seed[j[row]]])
     key = np.sort(key)
     at = key % n_letters
-    last = np.maximum(end[at] - SEED + 1, first[at] + 1)
-    inside = lambda keys: np.searchsorted(keys, key - at + last) - np.searchsorted(keys, key - at + first[at])
-    seed_at = np.sort(place[np.isin(sorted_seed, seeds)])
-    seeds_there = np.searchsorted(seed_at, last) - np.searchsorted(seed_at, first[at])
-    n_seeds = inside(seed)
-    share = inside(key) / (last - first[at])
-    good = (share >= rules.gram_share) | ((share >= rules.mixed_share) | (n_seeds >= rules.min_seeds)) & (n_seeds >= rules.seed_share * seeds_there)
+    first, last = key - at + places.first[at], key - at + places.last[at]
+    n_seeds = np.searchsorted(seed, last) - np.searchsorted(seed, first)
+    share = (np.searchsorted(key, last) - np.searchsorted(key, first)) / (last - first)
+    good = (share >= rules.gram_share) | ((share >= rules.mixed_share) | (n_seeds >= rules.min_seeds)) & (n_seeds >= rules.seed_share * places.seeds_there[at])
     pair = _distinct((key // n_letters * n_items + items.owner[at])[good])
     return pair // n_items, pair % n_items
 
@@ -652,12 +659,13 @@ def _leaks_of_block(docs: DataFrame, items: Items, rules: LeakRules) -> DataFram
     n_docs = int(n[gram < 0].sum())
     df = np.zeros(len(known.value.values), np.int64)
     df[gram[gram >= 0]] = n[gram >= 0]
-    shared = sc.broadcast((items, pick_seeds(items, known.value.values, df, n_docs, rules)))
+    seeds = pick_seeds(items, known.value.values, df, n_docs, rules)
+    shared = sc.broadcast((items, Places(items, known.value, seeds, rules)))
 
     def search(batches):
-        its, seeds = shared.value
+        its, places = shared.value
         for b in (x for whole in batches for x in slices(whole, 1)):
-            found = find_leaks(b.column(0).to_numpy(), _texts(b.column(1)), its, known.value, seeds, rules)
+            found = find_leaks(b.column(0).to_numpy(), _texts(b.column(1)), its, known.value, places, rules)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["doc_id", "item_id", "n_words"])
 
     return docs.mapInArrow(search, "doc_id bigint, item_id bigint, n_words bigint")
